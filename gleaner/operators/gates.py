@@ -174,30 +174,30 @@ def top_by_score(df: DataFrame, n: int) -> DataFrame:
     """Top ``n`` by (score desc, ord): a per-partition top-k then one small merge."""
     if "score_tenths" not in df.columns:
         df = item_score(df)
-    return df.orderBy(F.col("score_tenths").desc(), F.col("ord").asc()).limit(n)
+    return df.orderBy(F.col("score_tenths").desc_nulls_last(), F.col("ord").asc()).limit(n)
 
 
-def hard_cap(df: DataFrame, n: int = P.HARD_CAP) -> DataFrame:
+def hard_cap(df: DataFrame, n: int = P.HARD_CAP, alive: str | None = None) -> DataFrame:
     """Unchanged when at most ``n`` rows; else the top ``n`` with ``hard_cap_score``.
 
     Only the top n+1 rows are ever brought together (TakeOrderedAndProject);
     whether the cap applies is read from that small frame, not from a global
-    count over the input.
+    count over the input.  With ``alive`` (a boolean column) rows where it is
+    false must carry a null ``score_tenths``: they sort last and are dropped
+    after the limit.
     """
     scored = df if "score_tenths" in df.columns else item_score(df)
     head = top_by_score(scored, n + 1)
+    if alive is not None:
+        head = head.filter(F.col(alive))
+    # head has at most n+1 rows; when it has n or fewer it is the whole input
     w = Window.orderBy(F.col("score_tenths").desc(), F.col("ord").asc())
-    head = (head.withColumn("_rank", F.row_number().over(w))
-                .withColumn("_capped", F.max("_rank").over(Window.partitionBy()) > n))
-    capped = (head.filter(F.col("_capped") & (F.col("_rank") <= n))
-                  .withColumn("hard_cap_score", F.round(F.col("score"), 2))
-                  .drop("_rank", "_capped"))
-    # at most one row: broadcast it and semi-join on a constant key
-    small = F.broadcast(head.filter(~F.col("_capped")).select(F.lit(1).alias("_k")).limit(1))
-    not_capped = (scored.withColumn("_k", F.lit(1)).join(small, "_k", "left_semi")
-                  .drop("_k")
-                  .withColumn("hard_cap_score", F.lit(None).cast("double")))
-    return capped.unionByName(not_capped)
+    return (head.withColumn("_rank", F.row_number().over(w))
+                .withColumn("_capped", F.max("_rank").over(Window.partitionBy()) > n)
+                .filter(F.col("_rank") <= n)
+                .withColumn("hard_cap_score",
+                            F.when(F.col("_capped"), F.round(F.col("score"), 2)).otherwise(F.lit(None).cast("double")))
+                .drop("_rank", "_capped"))
 
 
 def top_for_synthesis(df: DataFrame, n: int = P.SYNTHESIS_TOP) -> DataFrame:

@@ -22,11 +22,20 @@ def rule_funnel(items: DataFrame,
                 core_patterns: Sequence[str] = P.CORE_PATTERNS,
                 shopping_words: Sequence[str] = P.SHOPPING_WORDS,
                 cap: int = P.HARD_CAP) -> DataFrame:
-    """Tier → quality gate → pre-kill → hard cap (the rule-only funnel)."""
-    tiered = gates.classify_tier(items, core_patterns)
-    gated = gates.quality_kept(gates.quality_gate(tiered))
-    alive = gates.pre_kill_kept(gates.pre_kill(gated, shopping_words, core_patterns))
-    return gates.hard_cap(alive, cap)
+    """Tier → quality gate → pre-kill → hard cap (the rule-only funnel).
+
+    The gate outcome is folded into the top-k sort key (rejected rows sort
+    last) and rows are dropped only after the limit, on at most cap+1 rows.
+    A filter on the labelled frame would instead have Catalyst inline every
+    gate expression into the scan-side predicate, evaluated without common
+    subexpression elimination.
+    """
+    flags = stage_flags(items, core_patterns, shopping_words)
+    scored = gates.item_score(flags)
+    keyed = scored.withColumn("score_tenths",
+                              F.when(F.col("passed_pre_kill"), F.col("score_tenths")))
+    return (gates.hard_cap(keyed, cap, alive="passed_pre_kill")
+            .drop("passed_quality", "passed_pre_kill"))
 
 
 def stage_flags(items: DataFrame,

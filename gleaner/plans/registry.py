@@ -8,6 +8,7 @@ BOOLEAN) so the two engines can be compared value by value.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,27 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> None:
+    """Session settings the jobs rely on.
+
+    Constraint propagation is switched off: the gate and report operators build
+    wide alias chains, and inferring constraints over them costs the optimizer
+    far more than it can save (seconds per plan with no rule ever firing).
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
