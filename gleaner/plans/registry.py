@@ -27,6 +27,8 @@ def tune(spark: SparkSession) -> None:
     far more than it can save (seconds per plan with no rule ever firing).
     """
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    # event times are zone-less; interval arithmetic and watermarks run in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def register(name: str, oracle: str | None = None):
@@ -50,4 +52,5 @@ def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
     from . import (  # noqa: F401
         q_funnel,
+        q_monitor,
     )
