@@ -53,4 +53,5 @@ def load_all() -> None:
     from . import (  # noqa: F401
         q_funnel,
         q_monitor,
+        q_cluster,
     )
