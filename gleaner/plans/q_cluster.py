@@ -109,7 +109,7 @@ def _div_duck(label_sql: str, src: str, name: str) -> str:
 SELECT round(coalesce(avg(d), 0), 6) AS {name} FROM (
   SELECT cluster_id, CASE WHEN count(*) > 1 THEN -sum(c / t * log2(c / t)) / log2(count(*)) ELSE 0 END AS d
   FROM (SELECT cluster_id, lbl, count(*) AS c, sum(count(*)) OVER (PARTITION BY cluster_id) AS t
-        FROM (SELECT cluster_id, {label_sql} AS lbl FROM {src}) WHERE cluster_id <> -1 GROUP BY 1, 2)
+        FROM (SELECT cluster_id, {label_sql} AS lbl FROM {src}) WHERE cluster_id <> -1 AND lbl IS NOT NULL GROUP BY 1, 2)
   WHERE cluster_id IN (SELECT cluster_id FROM csize WHERE n >= 2) GROUP BY 1)"""
 
 

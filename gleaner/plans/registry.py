@@ -54,4 +54,5 @@ def load_all() -> None:
         q_funnel,
         q_monitor,
         q_cluster,
+        q_dedup,
     )
