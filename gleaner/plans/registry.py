@@ -29,6 +29,29 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     # event times are zone-less; interval arithmetic and watermarks run in UTC
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_code(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make the package importable on executors (UDF and kernel code) of a cluster.
+
+    Local sessions share the driver's interpreter path; on a cluster the
+    package is zipped once and sent with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or id(sc) in _SHIPPED:
+        return
+    import os
+    import shutil
+    import tempfile
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="gleaner-code-")
+    archive = shutil.make_archive(os.path.join(out, "gleaner"), "zip", os.path.dirname(pkg), "gleaner")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
 
 
 def register(name: str, oracle: str | None = None):
@@ -55,4 +78,5 @@ def load_all() -> None:
         q_monitor,
         q_cluster,
         q_dedup,
+        q_text,
     )
