@@ -135,3 +135,41 @@ REALITY_STATUSES = [
 ]
 
 JUDGMENTS = ["ALIGNED", "TENSION", "VIOLATION", "N/A"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — rule (axiom) dimension: id, title
+# ---------------------------------------------------------------------------
+RULES = [
+    (1, "Institutions matter more than intent"),
+    (2, "Legitimacy is a hard constraint"),
+    (3, "Adaptability beats ambition"),
+    (4, "Errors must be localized and costly"),
+    (5, "Knowledge is dispersed; central intelligence is a liability"),
+    (6, "Incentives overpower intentions every time"),
+    (7, "Rules and markets beat ownership"),
+    (8, "Architecture determines sustainability"),
+    (9, "AI should narrow the judgment-consequence distance"),
+    (10, "Symbolism is stabilizing but non-operative"),
+    (11, "Buy outcomes, not subsidize ambition"),
+    (12, "Most failures are structural, not ideological"),
+]
+
+# FIXED VALUES — thesis dimension: id, title, category
+THESES = [
+    (1, "Delegation is Power Transfer", "control"),
+    (2, "Efficiency ≠ Sovereignty", "tradeoffs"),
+    (3, "Virtue is Survival", "ethics"),
+    (4, "Updates are Economic Events", "dependencies"),
+    (5, "Exit is a Technical Mirage", "lock-in"),
+    (6, "Survivability > Exit", "resilience"),
+    (7, "Update Authority is the Chokepoint", "control"),
+    (8, "Hybrid is Structural", "architecture"),
+    (9, "Procurement is Enforcement", "procurement"),
+    (10, "Habits Persist by UX", "adoption"),
+    (11, "The Agentic Divide", "inequality"),
+    (12, "Democratic Sovereignty is Non-Default", "policy"),
+    (13, "Retail = Governor of Cognition", "retail"),
+    (14, "Context is Shelf Space", "discovery"),
+]
+
+REGIONS = [("US", "United States"), ("EU", "European Union"), ("CN", "China"), ("ASIA", "Rest of Asia")]

@@ -79,4 +79,5 @@ def load_all() -> None:
         q_cluster,
         q_dedup,
         q_text,
+        q_verdicts,
     )

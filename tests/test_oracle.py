@@ -12,7 +12,7 @@ ORACLES = E.oracle_sql()
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is __import__("pandas").NA or v is __import__("pandas").NaT:
         return None
     if hasattr(v, "item") and not isinstance(v, (list, tuple)):
         try:
