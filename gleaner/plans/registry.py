@@ -80,4 +80,5 @@ def load_all() -> None:
         q_dedup,
         q_text,
         q_verdicts,
+        q_clustering,
     )
