@@ -81,4 +81,5 @@ def load_all() -> None:
         q_text,
         q_verdicts,
         q_clustering,
+        q_stream,
     )
