@@ -82,4 +82,5 @@ def load_all() -> None:
         q_verdicts,
         q_clustering,
         q_stream,
+        q_plugins,
     )

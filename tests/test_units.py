@@ -1,0 +1,244 @@
+"""Unit tests: brute-force twins for the iterative jobs and the hand-made edge rows."""
+
+import json
+import math
+import os
+import tempfile
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.functions.html import html_text_exact, html_to_text
+from gleaner.functions.jsonfix import sanitize_text
+from gleaner.operators import alerts as AL
+from gleaner.operators import clustering as CL
+from gleaner.operators import dedup as DD
+from gleaner.operators import gates
+from gleaner.operators import series as S
+from gleaner.operators import sovereignty as SV
+from gleaner.operators import verdicts as VD
+from gleaner.sources import event_views as V
+from gleaner.sources.fixtures import items
+from tests.conftest import SF_SMALL
+
+rng = np.random.default_rng(7)
+
+
+def _vec_df(spark, X):
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(X)], "id long, embedding array<double>")
+
+
+# ---------------------------------------------------------------------------
+def _naive_ward_heights(X):
+    clusters = {i: (1, X[i].copy()) for i in range(len(X))}
+    hs = []
+    while len(clusters) > 1:
+        best = None
+        ks = sorted(clusters)
+        for ai, a in enumerate(ks):
+            for b in ks[ai + 1:]:
+                na, sa = clusters[a]
+                nb, sb = clusters[b]
+                d = math.sqrt(2 * na * nb / (na + nb)) * np.linalg.norm(sa / na - sb / nb)
+                if best is None or d < best[0]:
+                    best = (d, a, b)
+        d, a, b = best
+        na, sa = clusters.pop(a)
+        nb, sb = clusters.pop(b)
+        clusters[min(a, b)] = (na + nb, sa + sb)
+        hs.append(d)
+    return sorted(hs)
+
+
+@pytest.mark.parametrize("local_limit", [4096, 8])
+def test_ward_matches_sequential(spark, local_limit):
+    X = rng.normal(size=(40, 5))
+    m = CL.ward_dendrogram(_vec_df(spark, X), local_limit=local_limit).toPandas()
+    assert len(m) == 39
+    assert np.allclose(sorted(m["height"]), _naive_ward_heights(X))
+
+
+def test_elbow_wcss_equals_direct(spark):
+    X = rng.normal(size=(30, 4))
+    df = _vec_df(spark, X)
+    m = CL.ward_dendrogram(df)
+    wc = {r.k: r.wcss for r in CL.elbow_table(m, 30, 5).collect()}
+    for k in (1, 3, 5):
+        lab = CL.cut_k(df, m, k).toPandas().sort_values("id")["cluster_id"].to_numpy()
+        direct = sum(((X[lab == c] - X[lab == c].mean(0)) ** 2).sum() for c in np.unique(lab))
+        assert math.isclose(wc[k], direct, rel_tol=1e-9)
+
+
+def _naive_mst_weight(X, core):
+    n = len(X)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    W = np.maximum(np.maximum(D, core[:, None]), core[None, :])
+    in_t = [0]
+    total = 0.0
+    while len(in_t) < n:
+        best = min((W[i, j], j) for i in in_t for j in range(n) if j not in in_t)
+        total += best[0]
+        in_t.append(best[1])
+    return total
+
+
+@pytest.mark.parametrize("local_limit", [4096, 0])
+def test_mst_weight_matches_prim(spark, local_limit):
+    X = rng.normal(size=(50, 3))
+    df = _vec_df(spark, X)
+    core = CL.core_distances(df, 2)
+    mst = CL.mutual_reachability_mst(df, core, local_limit=local_limit).toPandas()
+    c = core.toPandas().sort_values("id")["core"].to_numpy()
+    assert len(mst) == 49
+    assert math.isclose(mst["w"].sum(), _naive_mst_weight(X, c), rel_tol=1e-9)
+
+
+def test_leaf_clusters_two_groups_and_noise():
+    ids = np.arange(7)
+    edges = pd.DataFrame({"u": [0, 1, 3, 4, 2, 6], "v": [1, 2, 4, 5, 3, 5],
+                          "w": [0.1, 0.1, 0.1, 0.1, 5.0, 9.0]})
+    lab, _ = CL.leaf_clusters_local(ids, edges, 3)
+    got = dict(zip(lab["id"], lab["cluster_id"]))
+    assert got[0] == got[1] == got[2] != -1
+    assert got[3] == got[4] == got[5] != -1 and got[3] != got[0]
+    assert got[6] == -1
+
+
+def test_single_pure_root_is_noise():
+    lab, _ = CL.leaf_clusters_local(np.arange(4), pd.DataFrame({"u": [0, 1, 2], "v": [1, 2, 3], "w": [1.0, 1.0, 1.0]}), 2)
+    assert set(lab["cluster_id"]) == {-1}
+
+
+def test_merge_small_two_undersized_choose_each_other(spark):
+    rows = [(0, 0, [0.0, 0.0]), (1, 1, [0.1, 0.0]), (2, 2, [10.0, 0.0]), (3, 2, [10.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, cluster_id int, embedding array<double>")
+    out = {r.id: r.cluster_id for r in CL.merge_small(df, 2).collect()}
+    # cluster 0 (singleton) joins 1; then 1 has two rows and stays
+    assert out[0] == out[1] == 1 and out[2] == out[3] == 2
+
+
+# ---------------------------------------------------------------------------
+def _seq_cooldown(pdf, minutes=15):
+    sent = []
+    for _, g in pdf.sort_values(["ts", "alert_id"]).groupby("alert_type"):
+        last = None
+        for aid, ts in zip(g["alert_id"], g["ts"]):
+            if last is None or ts >= last + pd.Timedelta(minutes=minutes):
+                sent.append(aid)
+                last = ts
+    return sorted(sent)
+
+
+def test_cooldown_doubling_matches_sequential(spark):
+    al = V.alerts(spark, SF_SMALL)
+    got = sorted(r.alert_id for r in AL.alert_cooldown(al, 15).select("alert_id").collect())
+    assert got == _seq_cooldown(al.toPandas())
+
+
+def test_dedup_matches_sequential_scan(spark):
+    it = items(spark, SF_SMALL)
+    keyed = DD.story_keys(it).select("item_id", "ord", "story_key", "violation_count", "axiom_check").toPandas()
+    keys = keyed.groupby("story_key")["ord"].min().sort_values()
+    gen = set(DD.P.GENERIC_WORDS)
+
+    def similar(a, b):
+        if len(a) > 10 and len(b) > 10 and (a in b or b in a):
+            return True
+        wa, wb = set(a.split()), set(b.split())
+        if not wa or not wb:
+            return False
+        inter = wa & wb
+        return len(inter) / len(wa | wb) >= 0.4 and len(inter - gen) >= 1
+
+    order = list(keys.index)
+    merged, leader = set(), {}
+    for i, k1 in enumerate(order):
+        if k1 in merged:
+            continue
+        leader[k1] = k1
+        for k2 in order[i + 1:]:
+            if k2 not in merged and similar(k1, k2):
+                merged.add(k2)
+                leader[k2] = k1
+    want = {keys[leader[k]] for k in order}
+    got = {r.leader_ord for r in DD.dedup_stories(it).select("leader_ord").collect()}
+    assert got == want
+
+
+def test_prefix_agg_equals_window(spark):
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 200), "t": np.arange(200), "v": rng.integers(0, 9, 200)})
+    df = spark.createDataFrame(pdf)
+    got = S.prefix_agg(df, ["k"], ["t"], F.floor(F.col("t") / 17), {"run": ("sum", "v"), "mx": ("max", "v")}).toPandas()
+    pdf = pdf.sort_values(["k", "t"])
+    pdf["run"] = pdf.groupby("k")["v"].cumsum()
+    pdf["mx"] = pdf.groupby("k")["v"].cummax()
+    m = got.merge(pdf, on=["k", "t"])
+    assert (m["run_x"] == m["run_y"]).all() and (m["mx_x"] == m["mx_y"]).all()
+
+
+# ---------------------------------------------------------------------------
+def test_sanitize_only_inside_strings():
+    assert sanitize_text('{"a":"x\ny"}\n') == '{"a":"x\\ny"}\n'
+    assert sanitize_text('{"a":"q\\"\t"}') == '{"a":"q\\"\\t"}'
+    assert sanitize_text('"abc\\') == '"abc\\'
+
+
+def test_html_twin_matches_parser_on_pages(spark):
+    from gleaner.sources.tables import table
+    pg = table(spark, SF_SMALL, "pages").select("page_id", "html", html_to_text("html").alias("twin")).toPandas()
+    for html, twin in zip(pg["html"], pg["twin"]):
+        assert twin == html_text_exact(html)
+
+
+def test_core_with_three_aligned_fails(spark):
+    ax = [(a, "ALIGNED", "a long enough reason") for a in (1, 2, 3)]
+    df = spark.createDataFrame(
+        [(1, 1, "h tion on", "d", "CONFIRMED", 1, "x" * 150, ax, ["c"], ["t"])],
+        "item_id long, ord long, headline string, short_description string, reality_status string, "
+        "violation_count int, linkedin_angle string, axiom_check array<struct<axiom_id:int,judgment:string,reason:string>>, "
+        "companies array<string>, technologies array<string>")
+    g = gates.quality_gate(gates.classify_tier(df, ["tion on"])).first()
+    assert g.relevance_tier == "CORE" and g.quality_gate == "FAIL"
+    assert "CORE with zero violations AND zero tensions" in g.quality_gate_detail
+
+
+def test_bid_hits_forbidden(spark):
+    df = spark.createDataFrame([(1, "forbidden fruit", "", [])], "item_id long, headline string, short_description string, technologies array<string>")
+    assert gates.keyword_any(df, ["bid"]).first().has_keyword
+
+
+def test_empty_headline_takes_first_verdict(spark):
+    it = spark.createDataFrame([(1, ""), (2, "alpha beta")], "item_id long, headline string")
+    vd = spark.createDataFrame([(5, "zzz", "KILL", "r5"), (3, "gamma", "KEEP", "r3")],
+                               "v_ord long, v_headline string, verdict string, reason string")
+    got = {r.item_id: r.kill_gate for r in VD.match_verdicts(it, vd).collect()}
+    assert got == {1: "KEEP", 2: "NEEDS_REVIEW"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 20])
+def test_floor_index_percentile(spark, n):
+    vals = list(range(n))
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    r = df.agg(F.array_sort(F.collect_list("v")).alias("s"), F.count(F.lit(1)).alias("n")).select(
+        S.discrete_percentile(F.col("s"), F.col("n"), 0.95).alias("p")).first().p
+    assert r == vals[min(int(0.95 * n), n - 1)]
+
+
+def test_trend_first_half_zero_is_stable(spark):
+    df = spark.createDataFrame([(0.0, 5.0, 4)], "a double, b double, n long")
+    assert df.select(S.trend_label(F.col("a"), F.col("b"), F.col("n"))).first()[0] == "stable"
+
+
+def test_load_rules_rejects_missing_field(spark):
+    d = tempfile.mkdtemp(prefix="rules-", dir="/tmp")
+    p = os.path.join(d, "rules.json")
+    with open(p, "w") as f:
+        json.dump({"axioms": [{"id": 1, "title": "t", "description": "d", "keywords": []},
+                              {"id": 2, "title": "t2", "keywords": []}]}, f)
+    with pytest.raises(Exception):
+        SV.load_rules(spark, p).collect()
+    with open(p, "w") as f:
+        json.dump({"axioms": [{"id": 1, "title": "t", "description": "d", "keywords": ["k"]}]}, f)
+    assert SV.load_rules(spark, p).count() == 1
