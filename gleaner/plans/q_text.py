@@ -140,12 +140,12 @@ RESP = with_ctes(ITEMS_DUCK, TV.RESPONSES_DUCK, _FENCE_DUCK)
 
 @register("t09_strip_code_fence", RESP + "SELECT doc_id, md5(t) AS text_md5 FROM stripped")
 def t09_strip_code_fence(spark, sf):
-    return TV.responses(spark, sf).select("doc_id", F.md5(J.strip_code_fence("response")).alias("text_md5"))
+    return TV.responses_table(spark, sf).select("doc_id", F.md5(J.strip_code_fence("response")).alias("text_md5"))
 
 
 @register("t10_sanitize_json_strings", RESP + "SELECT doc_id, md5(replace(t, chr(10), '\\n')) AS text_md5 FROM stripped")
 def t10_sanitize_json_strings(spark, sf):
-    r = TV.responses(spark, sf)
+    r = TV.responses_table(spark, sf)
     return r.select("doc_id", F.md5(J.sanitize_json_strings(J.strip_code_fence("response"))).alias("text_md5"))
 
 
@@ -171,7 +171,7 @@ listed AS (SELECT doc_id, CASE WHEN json_type(CAST(c AS JSON)) = 'OBJECT' THEN '
 SELECT doc_id, j IS NOT NULL AS ok, CAST(json_array_length(CAST(j AS JSON)) AS BIGINT) AS n_items,
        json_extract_string(CAST(j AS JSON), '$[0].headline') AS first_headline FROM listed""".replace("\n, cand AS", ",\ncand AS", 1))
 def t11_repair_parse_json(spark, sf):
-    r = TV.responses(spark, sf).select("doc_id", J.repair_parse_json("response").alias("j"))
+    r = TV.responses_table(spark, sf).select("doc_id", J.repair_parse_json("response").alias("j"))
     return r.select("doc_id", F.col("j").isNotNull().alias("ok"),
                     F.json_array_length("j").cast("long").alias("n_items"),
                     F.get_json_object("j", "$[0].headline").alias("first_headline"))
@@ -200,7 +200,7 @@ EXTR = with_ctes(ITEMS_DUCK, TV.RESPONSES_DUCK, _EXTRACT_DUCK)
 
 
 def _parsed(spark, sf):
-    return J.parse_items(TV.responses(spark, sf), "response", "doc_id")
+    return J.parse_items(TV.responses_table(spark, sf), "response", "doc_id")
 
 
 def _exploded(spark, sf):
@@ -209,7 +209,7 @@ def _exploded(spark, sf):
 
 @register("t12_extract_item_json", EXTR + "SELECT doc_id, md5(js) AS json_md5 FROM extracted")
 def t12_extract_item_json(spark, sf):
-    return TV.responses(spark, sf).select("doc_id", F.md5(J.extract_item_json("response")).alias("json_md5"))
+    return TV.responses_table(spark, sf).select("doc_id", F.md5(J.extract_item_json("response")).alias("json_md5"))
 
 
 @register("t13_explode_items", EXTR + """

@@ -144,6 +144,14 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     return it.select(F.col("item_id").alias("doc_id"), text.alias("response"))
 
 
+def responses_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The responses as a persisted table (reliable checkpoint in the shared folder), as the
+    pipeline keeps model output: parsing then starts from stored text, not from the
+    expression that built it."""
+    from ..session import cut_lineage
+    return cut_lineage(responses(spark, sf))
+
+
 RESPONSES_DUCK = """
 resp_parts AS (
   SELECT item_id AS doc_id, ord,
