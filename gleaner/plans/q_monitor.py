@@ -801,3 +801,46 @@ def a26_hit_rate(spark, sf):
         (F.get_json_object("props", "$.k").cast("int") >= 20).alias("hit"))
     return lk.agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("lookups"),
                   _r6(F.coalesce(F.try_divide(F.count_if("hit"), F.count(F.lit(1))), F.lit(0.0))).alias("hit_rate"))
+
+
+# ----------------------------------------------------------------------------
+# operation event log: a start row per operation and an end row once it has ended
+# (ops whose end lies after the report time are still running)
+# ----------------------------------------------------------------------------
+def _op_log(spark, sf):
+    ops = V.operations(spark, sf)
+    now = as_of(spark, sf)
+    start = ops.select("op_id", "op", F.lit("start").alias("phase"), "ts",
+                       (F.col("user_id") + 100.0).alias("memory"))
+    end_ts = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("duration"))
+    end = ops.filter(end_ts <= now).select("op_id", "op", F.lit("end").alias("phase"), end_ts.alias("ts"),
+                                           (F.col("user_id") + 100.0 + F.col("memory_delta")).alias("memory"))
+    return start.unionByName(end)
+
+
+_OPLOG_D = f"""
+op_log AS (
+  SELECT op_id, op, 'start' AS phase, ts, user_id + 100.0 AS memory FROM operations
+  UNION ALL
+  SELECT op_id, op, 'end', ts + to_microseconds(CAST(round(duration * 1e6) AS BIGINT)), user_id + 100.0 + memory_delta
+  FROM operations WHERE ts + to_microseconds(CAST(round(duration * 1e6) AS BIGINT)) <= {AS_OF_D}
+)"""
+
+
+@register("m22_operation_durations", with_ctes(V.OPERATIONS_DUCK, _OPLOG_D) + """
+SELECT op_id, op, duration_us, round(memory_delta, 6) AS memory_delta FROM (
+  SELECT s.op_id, s.op, epoch_us(e.ts) - epoch_us(s.ts) AS duration_us, e.memory - s.memory AS memory_delta, e.ts AS end_ts
+  FROM op_log s JOIN op_log e ON s.op_id = e.op_id AND s.phase = 'start' AND e.phase = 'end')
+QUALIFY row_number() OVER (PARTITION BY op ORDER BY end_ts DESC, op_id DESC) <= 1000""")
+def m22_operation_durations(spark, sf):
+    d = M.operation_durations(_op_log(spark, sf), 1000)
+    return d.select("op_id", "op", "duration_us", F.round("memory_delta", 6).alias("memory_delta"))
+
+
+@register("m21_long_running", with_ctes(V.OPERATIONS_DUCK, _OPLOG_D) + f"""
+SELECT op_id, op, round((epoch_us({AS_OF_D}) - epoch_us(ts)) / 1e6, 6) AS age_seconds FROM op_log s
+WHERE phase = 'start' AND op_id NOT IN (SELECT op_id FROM op_log WHERE phase = 'end')
+  AND (epoch_us({AS_OF_D}) - epoch_us(ts)) / 1e6 > 10""")
+def m21_long_running(spark, sf):
+    r = M.long_running(_op_log(spark, sf), as_of(spark, sf), 10.0)
+    return r.select("op_id", "op", F.round("age_seconds", 6).alias("age_seconds"))
