@@ -242,3 +242,56 @@ def test_load_rules_rejects_missing_field(spark):
     with open(p, "w") as f:
         json.dump({"axioms": [{"id": 1, "title": "t", "description": "d", "keywords": ["k"]}]}, f)
     assert SV.load_rules(spark, p).count() == 1
+
+
+def _naive_linkage_heights(X, method):
+    clusters = {i: [i] for i in range(len(X))}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    hs = []
+    while len(clusters) > 1:
+        best = None
+        ks = sorted(clusters)
+        for ai, a in enumerate(ks):
+            for b in ks[ai + 1:]:
+                sub = D[np.ix_(clusters[a], clusters[b])]
+                d = {"single": sub.min(), "complete": sub.max(), "average": sub.mean()}[method]
+                if best is None or d < best[0]:
+                    best = (d, a, b)
+        d, a, b = best
+        clusters[min(a, b)] = clusters.pop(a) + clusters.pop(b) if a != min(a, b) else clusters.pop(a) + clusters.pop(b)
+        hs.append(d)
+    return sorted(hs)
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_other_linkages_match_naive(spark, method):
+    X = rng.normal(size=(25, 3))
+    m = CL.linkage_dendrogram(_vec_df(spark, X), method).toPandas()
+    assert np.allclose(sorted(m["height"]), _naive_linkage_heights(X, method))
+
+
+def test_single_linkage_distributed_mst_path(spark):
+    X = rng.normal(size=(30, 3))
+    df = _vec_df(spark, X)
+    a = CL.linkage_dendrogram(df, "single", local_limit=4096).toPandas()
+    b = CL.linkage_dendrogram(df, "single", local_limit=0).toPandas()
+    assert np.allclose(sorted(a["height"]), sorted(b["height"]))
+    lab, _ = CL.hierarchical_cluster(df, n_clusters=3, linkage="single")
+    assert lab.select("cluster_id").distinct().count() == 3
+
+
+def test_cluster_job_empty_and_unknown(spark):
+    empty = spark.createDataFrame([], "id long, embedding array<double>")
+    out = CL.cluster_job(empty, "density")
+    r = out["run"].first()
+    assert (r.total_items, r.total_clusters, r.noise_items, r.is_valid) == (0, 0, 0, False)
+    assert out["assignments"].count() == 0
+    with pytest.raises(ValueError):
+        CL.cluster_job(empty, "kmeans-ish")
+
+
+def test_cluster_job_density_runs(spark):
+    X = np.vstack([rng.normal(0, 0.05, size=(10, 2)), rng.normal(5, 0.05, size=(10, 2))])
+    out = CL.cluster_job(_vec_df(spark, X), "density")
+    r = out["run"].first()
+    assert r.total_items == 20 and r.total_clusters >= 2
