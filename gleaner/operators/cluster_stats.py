@@ -219,9 +219,13 @@ def normalised_mutual_info(cont: DataFrame) -> DataFrame:
 
 def value_counts_topk(df: DataFrame, value_col: str, k: int, key: str = "cluster_id", ord_col: str = "ord",
                       explode: bool = False) -> DataFrame:
-    """Per cluster the top-k values by count (ties: first seen), as 'v:n,...'."""
-    d = df.select(key, ord_col, (F.explode(value_col) if explode else F.col(value_col)).alias("v"))
-    c = d.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"), F.min(ord_col).alias("first"))
+    """Per cluster the top-k values by count; ties go to the value seen first
+    (row order, then position inside the row's list), as a counter keeps them."""
+    if explode:
+        d = df.select(key, ord_col, F.posexplode(value_col).alias("_pos", "v"))
+    else:
+        d = df.select(key, ord_col, F.lit(0).alias("_pos"), F.col(value_col).alias("v"))
+    c = d.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(ord_col, "_pos")).alias("first"))
     w = Window.partitionBy(key).orderBy(F.col("c").desc(), F.col("first").asc())
     top = c.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     return top.groupBy(key).agg(F.array_join(F.transform(

@@ -220,20 +220,22 @@ def a15_compare_runs(spark, sf):
                                                   F.col("noise_2").cast("long").alias("noise_2"), "adjusted_rand")
 
 
-def _topk_duck(expr: str, k: int, name: str, src: str = "clusters") -> str:
+def _topk_duck(expr: str, k: int, name: str, src: str = "clusters", listed: bool = False) -> str:
+    v = f"unnest({expr})" if listed else expr
+    p = f"generate_subscripts({expr}, 1)" if listed else "0"
     return f"""
 {name} AS (
   SELECT cluster_id, array_to_string(list(v || ':' || CAST(c AS VARCHAR) ORDER BY r), ',') AS top_{name}
-  FROM (SELECT cluster_id, v, c, row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, f) AS r
-        FROM (SELECT cluster_id, v, count(*) AS c, min(ord) AS f FROM (SELECT cluster_id, ord, {expr} AS v FROM {src})
-              GROUP BY 1, 2))
+  FROM (SELECT cluster_id, v, c, row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, fo, fp) AS r
+        FROM (SELECT cluster_id, v, count(*) AS c, arg_min(ord, (ord, pos)) AS fo, arg_min(pos, (ord, pos)) AS fp
+              FROM (SELECT cluster_id, ord, {v} AS v, {p} AS pos FROM {src}) GROUP BY 1, 2))
   WHERE r <= {k} GROUP BY 1
 )"""
 
 
 @register("a16_value_counts_topk", with_ctes(ITEMS_DUCK, CLUSTERS_DUCK, _topk_duck("source", 3, "source"),
-                                             _topk_duck("unnest(technologies)", 5, "technologies"),
-                                             _topk_duck("unnest(companies)", 5, "companies")) + """
+                                             _topk_duck("technologies", 5, "technologies", listed=True),
+                                             _topk_duck("companies", 5, "companies", listed=True)) + """
 SELECT s.cluster_id, top_source, top_technologies, top_companies FROM source s
 LEFT JOIN technologies USING (cluster_id) LEFT JOIN companies USING (cluster_id)""")
 def a16_value_counts_topk(spark, sf):

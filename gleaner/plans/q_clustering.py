@@ -233,7 +233,7 @@ def c15_validate_partition(spark, sf):
 , dist AS (SELECT c.id, c.cluster_id, c.headline, c.source, c.ord,
                   sqrt(list_sum(list_transform(range(1, len(c.v) + 1), lambda k: (c.v[k] - t.c[k]) * (c.v[k] - t.c[k])))) AS d
            FROM clusters c JOIN cent t USING (cluster_id)),
-reps AS (SELECT cluster_id, array_to_string(list(headline ORDER BY d, ord), ' | ') AS representatives FROM (
+reps AS (SELECT cluster_id, coalesce(array_to_string(list_filter(list(headline ORDER BY d, ord), lambda x: x IS NOT NULL), ' | '), '') AS representatives FROM (
            SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY d, ord) AS r FROM dist) WHERE r <= 3 GROUP BY 1),
 srcs AS (SELECT cluster_id, array_to_string(list(v || ':' || CAST(c AS VARCHAR) ORDER BY r), ',') AS top_sources
          FROM (SELECT cluster_id, v, c, row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, f) AS r

@@ -310,10 +310,10 @@ hourly AS (
   FROM readings GROUP BY 1
 )""") + f"""
 SELECT strftime(h, '{TSD}') AS hour,
-  CAST((memory_gb > 2.0)::INT + (disk_percent > 90)::INT AS BIGINT) AS n_issues,
-  CAST((memory_gb <= 2.0 AND memory_gb > 1.6)::INT + (cpu_percent > 90)::INT
-       + (disk_percent <= 90 AND disk_percent > 80)::INT AS BIGINT) AS n_warnings,
-  NOT (memory_gb > 2.0 OR disk_percent > 90) AS healthy
+  CAST(coalesce((memory_gb > 2.0)::INT, 0) + coalesce((disk_percent > 90)::INT, 0) AS BIGINT) AS n_issues,
+  CAST(coalesce((memory_gb <= 2.0 AND memory_gb > 1.6)::INT, 0) + coalesce((cpu_percent > 90)::INT, 0)
+       + coalesce((disk_percent <= 90 AND disk_percent > 80)::INT, 0) AS BIGINT) AS n_warnings,
+  NOT coalesce(memory_gb > 2.0, FALSE) AND NOT coalesce(disk_percent > 90, FALSE) AS healthy
 FROM hourly""")
 def m23_pressure_report(spark, sf):
     from ..sources.tables import table
