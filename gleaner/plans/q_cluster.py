@@ -349,13 +349,16 @@ def s14_batch_files(spark, sf):
     return global_cluster_ids(c).select("id", "batch", "global_cluster_id")
 
 
-def global_cluster_ids(df: DataFrame, batch: str = "batch", key: str = "cluster_id") -> DataFrame:
-    """Per-batch cluster ids made globally unique: offset = clusters of earlier batches."""
+def global_cluster_ids(df: DataFrame, batch: str = "batch", key: str = "cluster_id",
+                       span: int = 10_000) -> DataFrame:
+    """Per-batch cluster ids made globally unique: offset = clusters of earlier batches.
+
+    The batch table grows with the data (one row per batch), so the running total
+    of earlier batches is a two-level running sum, not one ordered window."""
     per = df.groupBy(batch).agg((F.max(key) + 1).alias("_k"))
-    # one row per batch: an ordered window over it is small
-    off = per.select(batch, F.coalesce(F.sum("_k").over(
-        Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    j = df.join(F.broadcast(off), batch)
+    off = prefix_agg(per, [], [batch], F.floor(F.col(batch) / span), {"_upto": ("sum", "_k")}).select(
+        batch, (F.col("_upto") - F.col("_k")).alias("_o"))
+    j = df.join(off, batch)
     return j.withColumn("global_cluster_id", F.when(F.col(key) == -1, F.lit(-1))
                         .otherwise(F.col(key) + F.col("_o")).cast("long")).drop("_o")
 

@@ -36,13 +36,13 @@ _SHIPPED: set[int] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Make the package importable on executors (UDF and kernel code) of a cluster.
+    """Make the package importable by the Python workers (UDF and kernel code).
 
-    Local sessions share the driver's interpreter path; on a cluster the
-    package is zipped once and sent with ``addPyFile``.
-    """
+    Workers do not see the driver's ``sys.path``; the package is zipped once per
+    SparkContext and sent with ``addPyFile`` (on a cluster this reaches every
+    executor)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or id(sc) in _SHIPPED:
+    if id(sc) in _SHIPPED:
         return
     import os
     import shutil
