@@ -295,3 +295,41 @@ def test_cluster_job_density_runs(spark):
     out = CL.cluster_job(_vec_df(spark, X), "density")
     r = out["run"].first()
     assert r.total_items == 20 and r.total_clusters >= 2
+
+
+# ---------------------------------------------------------------------------
+# properties
+# ---------------------------------------------------------------------------
+from gleaner.plans.funnel import rule_funnel, stage_flags  # noqa: E402
+from gleaner.sources.fixtures import FIXTURE_CORE_PATTERNS as CORE, FIXTURE_SHOPPING_WORDS as SHOP  # noqa: E402
+
+
+def test_kept_plus_rejects_is_input_and_gates_shrink(spark):
+    it = items(spark, SF_SMALL)
+    f = stage_flags(it, CORE, SHOP)
+    n = it.count()
+    kept = f.filter("passed_pre_kill").count()
+    rej_q = f.filter(F.col("quality_gate") == "FAIL").count()
+    rej_k = f.filter(F.col("passed_quality") & (F.col("kill_gate") == "PRE_KILL")).count()
+    assert kept + rej_q + rej_k == n
+    q = f.filter("passed_quality").count()
+    capped = rule_funnel(it, CORE, SHOP).count()
+    assert capped <= kept <= q <= n
+
+
+def test_dedup_is_idempotent(spark):
+    it = items(spark, SF_SMALL)
+    once = DD.dedup_stories(it).select(it.columns)
+    twice = DD.dedup_stories(once)
+    assert sorted(r.item_id for r in once.select("item_id").collect()) == \
+        sorted(r.item_id for r in twice.select("item_id").collect())
+
+
+def test_partitioning_changes_nothing(spark):
+    it = items(spark, SF_SMALL)
+    a = gates.quality_gate(gates.classify_tier(it.repartition(7), CORE)).select("item_id", "quality_gate_detail")
+    b = gates.quality_gate(gates.classify_tier(it.repartition(2), CORE)).select("item_id", "quality_gate_detail")
+    assert sorted(a.collect()) == sorted(b.collect())
+    c1 = sorted(r.leader_ord for r in DD.dedup_stories(it.repartition(5)).collect())
+    c2 = sorted(r.leader_ord for r in DD.dedup_stories(it.repartition(1)).collect())
+    assert c1 == c2
