@@ -15,9 +15,13 @@ one join and one grouped aggregate over the edges; rounds are checkpointed.
 
 Edges never come from a cross join:
 
-* Jaccard candidates come from prefix filtering: with tokens ordered rarest
-  first, two sets with J ≥ t share a token among the first
-  |x| − ⌈t·|x|⌉ + 1 tokens of each.  Candidates are verified exactly.
+* Jaccard candidates come from prefix filtering (the all-pairs / MapReduce
+  set-similarity join of Bayardo et al. 2007 and Vernica et al. 2010): with
+  tokens ordered rarest first, two sets with J ≥ t share a token among the
+  first |x| − ⌈t·|x|⌉ + 1 tokens of each, and their sizes are within a factor
+  t.  Candidates are verified exactly.  Frequent tokens reach a prefix only in
+  keys made of frequent tokens, which bounds the candidate groups in practice;
+  nothing is capped.
 * Containment candidates: if s (≥ 11 chars) is inside l, the first 11
   characters of s are one of l's 11-character substrings; grams are joined
   and candidates verified with ``contains``.

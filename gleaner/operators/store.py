@@ -41,6 +41,13 @@ def cache_misses(requests: DataFrame, store: DataFrame, as_of, ttl_hours: float
     return requests.join(_fresh(store, as_of, ttl_hours).select("key"), "key", "left_anti")
 
 
+def cache_lookup(requests: DataFrame, store: DataFrame, as_of, ttl_hours: float = P.CACHE_TTL_HOURS) -> DataFrame:
+    """J08 in one pass: every request with ``hit`` (an unexpired entry exists); the store
+    side is reduced to distinct fresh keys before the join."""
+    fresh = _fresh(store, as_of, ttl_hours).select("key").distinct().withColumn("_hit", F.lit(True))
+    return requests.join(fresh, "key", "left").withColumn("hit", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+
+
 def evict_to_size(store: DataFrame, max_bytes: int, target: float = P.CACHE_TRIM_TARGET,
                   bucket_seconds: int = 86_400) -> DataFrame:
     """Once the total passes ``max_bytes``, the oldest entries go until the rest is

@@ -223,10 +223,7 @@ SELECT doc_id, key IN (SELECT key FROM fresh) AS hit FROM requests""")
 def j08_cache_hits(spark, sf):
     from ..sources.tables import table
     req = table(spark, sf, "documents").select("doc_id", T.content_key(TV.STORE_MODEL, F.col("text")).alias("key"))
-    st = _store(spark, sf)
-    hits = ST.cache_hits(req, st, AS_OF_STORE).select("doc_id", F.lit(True).alias("hit"))
-    miss = ST.cache_misses(req, st, AS_OF_STORE).select("doc_id", F.lit(False).alias("hit"))
-    return hits.unionByName(miss)
+    return ST.cache_lookup(req, _store(spark, sf), AS_OF_STORE).select("doc_id", "hit")
 
 
 @register("w09_evict_to_size", _STORE_EN + """
