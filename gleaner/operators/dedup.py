@@ -22,9 +22,9 @@ Edges never come from a cross join:
   t.  Candidates are verified exactly.  Frequent tokens reach a prefix only in
   keys made of frequent tokens, which bounds the candidate groups in practice;
   nothing is capped.
-* Containment candidates: if s (≥ 11 chars) is inside l, the first 11
-  characters of s are one of l's 11-character substrings; grams are joined
-  and candidates verified with ``contains``.
+* Containment candidates: if s (≥ 11 chars) is inside l, every 11-character
+  substring of s is one of l's; s probes with its rarest one, grams are
+  joined and candidates verified with ``contains``.
 """
 
 from __future__ import annotations
@@ -84,18 +84,15 @@ def jaccard_pairs(keys: DataFrame, threshold: float = P.SIMILAR_JACCARD,
 
 
 def containment_pairs(keys: DataFrame, min_len: int = P.CONTAIN_MIN_LEN) -> DataFrame:
-    """Key pairs (a < b by key_ord), both longer than ``min_len``, one inside the other."""
-    g = min_len + 1
-    long_ = keys.filter(F.col("key_len") > min_len)
-    grams = long_.select("key_ord", "story_key", "key_len",
-                         F.explode(F.sequence(F.lit(1), F.col("key_len") - g + 1)).alias("p")).select(
-        "key_ord", "story_key", "key_len", F.substring("story_key", F.col("p"), g).alias("gram")).distinct()
-    heads = long_.select(F.col("key_ord").alias("s_ord"), F.col("story_key").alias("s_key"),
-                         F.col("key_len").alias("s_len"), F.substring("story_key", 1, g).alias("gram"))
-    cand = heads.join(grams, "gram").filter(
-        (F.col("key_ord") != F.col("s_ord")) & (F.col("key_len") >= F.col("s_len")))
-    hit = cand.filter(F.instr(F.col("story_key"), F.col("s_key")) > 0)
-    return hit.select(F.least("s_ord", "key_ord").alias("a"), F.greatest("s_ord", "key_ord").alias("b")).distinct()
+    """Key pairs (a < b by key_ord), both longer than ``min_len``, one inside the other.
+
+    The contained key probes with its rarest (min_len + 1)-gram among the other
+    keys' grams (exact: every gram of a contained key occurs in the container)."""
+    from .verdicts import contained_pairs
+    long_ = keys.filter(F.col("key_len") > min_len).select("key_ord", "story_key")
+    hit = contained_pairs(long_, long_, "key_ord", "story_key", "key_ord", "story_key", g=min_len + 1) \
+        .filter(F.col("oid") != F.col("iid"))
+    return hit.select(F.least("oid", "iid").alias("a"), F.greatest("oid", "iid").alias("b")).distinct()
 
 
 def similar_edges(keys: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from .. import params as P
 _G = 3
 
 
-def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i_id: str, i_txt: str) -> DataFrame:
+def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i_id: str, i_txt: str,
+                    g: int = _G) -> DataFrame:
     """All (outer id, inner id) with the inner string a substring of the outer string.
 
     Exact for every non-empty inner string: length ≥ 3 probes with its rarest
@@ -31,20 +32,20 @@ def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i
     """
     o = outer.select(F.col(o_id).alias("oid"), F.col(o_txt).alias("ot")).filter(F.col("ot").isNotNull())
     i = inner.select(F.col(i_id).alias("iid"), F.col(i_txt).alias("it")).filter(F.col("it").isNotNull())
-    og = o.select("oid", "ot", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - _G + 1, F.lit(1)))).alias("p")) \
-          .select("oid", "ot", F.substring("ot", F.col("p"), _G).alias("gram")).filter(F.length("gram") == _G).distinct()
+    og = o.select("oid", "ot", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - g + 1, F.lit(1)))).alias("p")) \
+          .select("oid", "ot", F.substring("ot", F.col("p"), g).alias("gram")).filter(F.length("gram") == g).distinct()
     freq = og.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    ilong = i.filter(F.length("it") >= _G)
-    ig = ilong.select("iid", "it", F.explode(F.sequence(F.lit(1), F.length("it") - _G + 1)).alias("p")) \
-              .select("iid", "it", "p", F.substring("it", F.col("p"), _G).alias("gram"))
+    ilong = i.filter(F.length("it") >= g)
+    ig = ilong.select("iid", "it", F.explode(F.sequence(F.lit(1), F.length("it") - g + 1)).alias("p")) \
+              .select("iid", "it", "p", F.substring("it", F.col("p"), g).alias("gram"))
     probe = (ig.join(freq, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
                .groupBy("iid", "it").agg(F.min_by("gram", F.struct("f", "p")).alias("gram"),
                                          F.min("f").alias("f")))
     # an inner string with a gram that no outer string has is inside nothing
     probe = probe.filter(F.col("f") > 0)
     long_hits = probe.join(og, "gram").filter(F.instr("ot", F.col("it")) > 0).select("oid", "iid")
-    ishort = i.filter((F.length("it") > 0) & (F.length("it") < _G))
-    subs = o.select("oid", F.explode(F.sequence(F.lit(1), F.lit(_G - 1))).alias("n"), "ot").select(
+    ishort = i.filter((F.length("it") > 0) & (F.length("it") < g))
+    subs = o.select("oid", F.explode(F.sequence(F.lit(1), F.lit(g - 1))).alias("n"), "ot").select(
         "oid", "ot", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - F.col("n") + 1, F.lit(1)))).alias("p")) \
         .select("oid", F.substring("ot", F.col("p"), F.col("n")).alias("s"), "n").filter(F.length("s") == F.col("n")) \
         .select("oid", "s").distinct()
