@@ -333,3 +333,25 @@ def test_partitioning_changes_nothing(spark):
     c1 = sorted(r.leader_ord for r in DD.dedup_stories(it.repartition(5)).collect())
     c2 = sorted(r.leader_ord for r in DD.dedup_stories(it.repartition(1)).collect())
     assert c1 == c2
+
+
+@pytest.mark.parametrize("m", [3])
+def test_distributed_leaf_pass_matches_local(spark, m):
+    X = np.vstack([rng.normal(c, 0.3, size=(4, 2)) for c in (0, 9)] + [rng.normal(30, 8, size=(2, 2))])
+    df = _vec_df(spark, X)
+    core = CL.core_distances(df, 2)
+    mst = CL.mutual_reachability_mst(df, core)
+    ids = df.select("id")
+    dist = CL.leaf_clusters_distributed(ids, mst, m).toPandas().sort_values("id")
+    loc, _ = CL.leaf_clusters_local(np.arange(len(X)), mst.toPandas(), m)
+    loc = loc.sort_values("id")
+
+    def partition(lab):
+        groups = {}
+        for i, c in zip(lab["id"], lab["cluster_id"]):
+            groups.setdefault(int(c), set()).add(int(i))
+        noise = groups.pop(-1, set())
+        return noise, sorted(sorted(g) for g in groups.values())
+
+    assert partition(dist) == partition(loc)
+    assert np.allclose(dist["cluster_probability"].to_numpy(), loc["cluster_probability"].to_numpy())
