@@ -206,7 +206,7 @@ def a14_normalised_mutual_info(spark, sf):
 @register("a15_compare_runs", (CTE + _CONT).replace("\n, ct AS", ",\nct AS", 1) + """
 SELECT (SELECT count(DISTINCT cluster_id) FILTER (WHERE cluster_id <> -1) FROM clusters) AS clusters_1,
        (SELECT count(DISTINCT label2) FROM clusters) AS clusters_2,
-       (SELECT count_if(cluster_id = -1) FROM clusters) AS noise_1, CAST(0 AS BIGINT) AS noise_2,
+       (SELECT CAST(count_if(cluster_id = -1) AS BIGINT) FROM clusters) AS noise_1, CAST(0 AS BIGINT) AS noise_2,
        (SELECT round(CASE WHEN mx = ex THEN 1.0 ELSE (sij - ex) / (mx - ex) END, 6) FROM (
           SELECT sij, sa * sb / (nn * (nn - 1) / 2.0) AS ex, (sa + sb) / 2.0 AS mx FROM
           (SELECT sum(n * (n - 1) / 2.0) AS sij FROM ct), (SELECT sum(a * (a - 1) / 2.0) AS sa FROM ra),
@@ -280,7 +280,7 @@ def k04_order_summaries(spark, sf):
     s = CS.cluster_sizes(clusters(spark, sf).filter(F.col("cluster_id") != -1))
     # one row per cluster: a single ordered window over the summary is cheap
     return s.select("cluster_id", "size",
-                    F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster_id")).alias("position"))
+                    F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster_id")).cast("long").alias("position"))
 
 
 @register("g11_demote_oversized", CTE + """

