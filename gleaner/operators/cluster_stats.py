@@ -89,11 +89,6 @@ def coherence(df: DataFrame, vec: str = "embedding", key: str = "cluster_id") ->
     return per.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("coherence"))
 
 
-def _entropy_norm(counts: Column, total: Column, distinct: Column) -> Column:
-    """Normalised entropy from per-value counts: −Σ p log2 p / log2(k), 0 when k ≤ 1."""
-    return F.when(distinct > 1, counts / F.log2(distinct)).otherwise(F.lit(0.0))
-
-
 def size_entropy(df: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Normalised entropy of cluster sizes (noise excluded); 1.0 with ≤ 1 cluster."""
     s = cluster_sizes(df.filter(F.col(key) != -1), key)

@@ -9,10 +9,8 @@ from .. import params as P
 from ..operators import cluster_stats as CS
 from ..operators import clustering as CL
 from ..operators import vectors as VX
-from ..operators import runs as R
 from ..sources.fixtures import ITEMS_DUCK, with_ctes
 from ..sources.tables import table
-from . import duck as D
 from .q_cluster import CLUSTERS_DUCK, _SIL_DUCK, _div_duck, clusters, exemplars
 from .registry import register
 
@@ -290,5 +288,3 @@ def c02_featurize_text(spark, sf):
     v = featurize_text(d, 1024)
     return v.select("id", _r6(F.sqrt(CS.sq_norm(F.col("embedding")))).alias("norm"))
 
-
-__all__ = ["D", "R"]
