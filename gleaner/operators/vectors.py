@@ -137,18 +137,18 @@ def silhouette_rows(df: DataFrame, id_col: str = "id", vec_col: str = "embedding
     g = j.groupBy("id").agg(
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))).alias("a"),
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("cnt"))).alias("own_others"),
-        F.min(F.when((F.col("cluster") != F.col("own")) & (F.col("cnt") > 0), F.col("mean"))).alias("b"))
+        F.min(F.when((F.col("cluster") != F.col("own")) & (F.col("cnt") > 0), F.col("mean"))).alias("b"),
+        F.first("own").alias("own"))
     s = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
-    return g.select("id", "a", "b", s.alias("silhouette"))
+    return g.select("id", "own", "a", "b", s.alias("silhouette"))
 
 
 def silhouette(df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
                cluster_col: str = "cluster_id", block_rows: int = 1024) -> DataFrame:
     """Mean silhouette over non-noise rows; null unless there are ≥ 2 clusters."""
     rows = silhouette_rows(df, id_col, vec_col, cluster_col, block_rows)
-    k = df.filter(F.col(cluster_col) != -1).agg(F.countDistinct(cluster_col).alias("k"))
-    return rows.agg(F.avg("silhouette").alias("s")).crossJoin(k).select(
+    return rows.agg(F.avg("silhouette").alias("s"), F.countDistinct("own").alias("k")).select(
         F.when(F.col("k") > 1, F.col("s")).alias("silhouette"))
 
 
