@@ -355,3 +355,14 @@ def test_distributed_leaf_pass_matches_local(spark, m):
 
     assert partition(dist) == partition(loc)
     assert np.allclose(dist["cluster_probability"].to_numpy(), loc["cluster_probability"].to_numpy())
+
+
+def test_split_recursive_chunks_fit_and_cover_the_text():
+    from gleaner.functions.plugins import split_recursive
+    text = "\n\n".join(" ".join(f"w{i}{j}" for j in range(40)) for i in range(30))
+    chunks = split_recursive(text, 200, 20)
+    assert chunks and all(len(c) <= 200 for c in chunks)
+    words = set(text.split())
+    assert words == set(" ".join(chunks).split())
+    assert split_recursive("short", 200, 20) == ["short"]
+    assert split_recursive("", 200, 20) == []
