@@ -366,3 +366,10 @@ def test_split_recursive_chunks_fit_and_cover_the_text():
     assert words == set(" ".join(chunks).split())
     assert split_recursive("short", 200, 20) == ["short"]
     assert split_recursive("", 200, 20) == []
+
+
+def test_cooldown_is_partitioning_invariant(spark):
+    al = V.alerts(spark, SF_SMALL)
+    a = sorted(r.alert_id for r in AL.alert_cooldown(al.repartition(1), 15).select("alert_id").collect())
+    b = sorted(r.alert_id for r in AL.alert_cooldown(al.repartition(6), 15).select("alert_id").collect())
+    assert a == b
