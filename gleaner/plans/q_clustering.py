@@ -282,7 +282,7 @@ def featurize_text(df, num_features: int = 4096):
     return model.transform(df).select("id", vector_to_array("_n").alias("embedding"))
 
 
-@register("c02_featurize_text")
+@register("c02_featurize_text", "SELECT doc_id AS id, CASE WHEN regexp_matches(lower(text), '[a-zA-Z0-9_]{2,}') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm FROM documents")
 def c02_featurize_text(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     v = featurize_text(d, 1024)
