@@ -7,8 +7,8 @@ only for tests, the bench and the smoke entry point.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,19 +44,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     setting (tests, the bench) gets a fresh temporary folder.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if configured:
+    if not current.isDefined():
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError(
+                    "spark.checkpoint.dir is not set; iterative jobs need a shared folder to cut lineage")
+            configured = tempfile.mkdtemp(prefix="gleaner-ckpt-")
         sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; iterative jobs need a shared folder to cut lineage")
-    path = tempfile.mkdtemp(prefix="gleaner-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+        current = sc._jsc.sc().getCheckpointDir()  # qualified by the session's file system
+    return current.get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -70,12 +68,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the checkpoint folder for intermediate tables."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" in base:
-        import uuid
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """Path of a fresh folder under the checkpoint folder for an intermediate table.
+
+    Only a path: Spark's writers create it through the session's file system,
+    so nothing here touches the driver's own disk.
+    """
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
