@@ -99,3 +99,16 @@ def dense_positions(ids: DataFrame, name: str, *order) -> DataFrame:
     offsets = F.broadcast(spark.createDataFrame(rows, "_p int, _off long"))
     return s.join(offsets, part == F.col("_p")).select(
         *ids.columns, (F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("pos"))
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the other columns as x0, x1, ...: no name can clash with a working column."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *(docs[f"`{c}`"].alias(f"x{i}") for i, c in enumerate(rest)))
+
+
+def restored(df: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """Back to the columns of ``docs``, then ``added``; an added column replaces one of its name."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {"doc_id": "doc_id", "text": "text"} | {c: f"x{i}" for i, c in enumerate(rest)}
+    return df.select(*(F.col(names[c]).alias(c) for c in docs.columns if c not in added), *added)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cover, materialize, prepare, runs_of, texts_of
+from .common import cover, materialize, plain, prepare, restored, runs_of, texts_of
 
 WINDOW, SHARD, STEP = 13, 1 << 18, 16
 #: ASCII other than digits and letters separates words; capitals become small.
@@ -237,9 +237,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    rows = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    rows = materialize(plain(docs).withColumn("_rid", F.monotonically_increasing_id()), "rows")
     bad = hits(rows, benchmark, "_rid").filter(is_contaminated()).select("_rid")
-    return rows.join(bad, "_rid", "left_anti").drop("_rid")
+    return restored(rows.join(bad, "_rid", "left_anti"), docs)
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -19,8 +19,7 @@ judged on the input, not on what is left. Lines without words stay.
 
 Edge cases: null and empty texts have no lines to remove and stay as they are;
 very long lines and texts are whole; an empty table gives an empty result.
-Other columns pass through (names starting with ``_`` or equal to ``rid`` or
-``pos`` are reserved).
+Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_positions, keyed_table, materialize, partitions, prepare, texts_of
+from .common import dense_positions, keyed_table, materialize, partitions, plain, prepare, restored, texts_of
 
 NEAR_WORDS, LINE_BITS = 10, 23
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -174,17 +173,16 @@ def repeated_lines(rows: DataFrame, places: DataFrame) -> DataFrame:
     return copies.unionByName(edited).distinct()
 
 
-def _without(kind: str, schema):
-    def run(batches):
-        for b in batches:
-            texts, counts = [], []
-            for t, lns in zip(texts_of(b), b.column("_lns").to_pylist()):
-                gone = set(lns)
-                texts.append(b"\n".join(x for k, x in enumerate(t.split(b"\n")) if k not in gone))
-            i = b.schema.get_field_index("text")
-            text = pa.array(texts, pa.binary()).cast(b.schema.field("text").type)
-            yield b.set_column(i, "text", text).drop_columns(["_lns"])
-    return run
+def _without(batches):
+    """Takes the lines numbered in ``_lns`` out of ``text``."""
+    for b in batches:
+        texts = []
+        for t, lns in zip(texts_of(b), b.column("_lns").to_pylist()):
+            gone = set(lns)
+            texts.append(b"\n".join(x for k, x in enumerate(t.split(b"\n")) if k not in gone))
+        i = b.schema.get_field_index("text")
+        text = pa.array(texts, pa.binary()).cast(b.schema.field("text").type)
+        yield b.set_column(i, "text", text).drop_columns(["_lns"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -193,14 +191,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Every row stays, one that has lost all its lines with an empty text.
     """
     prepare(docs.sparkSession)
-    rows = keyed_table(docs, "lines_docs")
+    rows = keyed_table(plain(docs), "lines_docs")
     places = materialize(dense_positions(rows.select("rid", "doc_id"), "order", F.col("doc_id").asc_nulls_last(), "rid").select("rid", "pos"), "places")
     gone = _by_row(repeated_lines(rows, places), places).select("rid", F.col("lns").alias("_lns"))
     n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     both = rows.join(gone.hint("shuffle_hash"), "rid", "left").withColumns(
         {"n_lines": n, "n_removed": F.coalesce(F.size("_lns"), F.lit(0)).cast("long")}).drop("rid")
     whole = both.filter("_lns is null").drop("_lns")
-    return whole.unionByName(both.filter("_lns is not null").mapInArrow(_without("text", None), whole.schema))
+    done = whole.unionByName(both.filter("_lns is not null").mapInArrow(_without, whole.schema))
+    return restored(done, docs, "n_lines", "n_removed")
 
 
 def report(docs: DataFrame) -> DataFrame:

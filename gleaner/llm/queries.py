@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ..sources.tables import table
-from . import quality, simhash
+from . import decontaminate, lines, mix, quality, simhash, urls
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality)}
-ORACLES: dict[str, str] = {}
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.report(table(spark, sf_dir, "documents"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality, op6_urls, op9_mix, op10_lines, pipeline)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op6_urls": urls.ORACLE, "op9_mix": mix.ORACLE, "op10_lines": lines.ORACLE}

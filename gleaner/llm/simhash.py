@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, prepare, texts_of
+from .common import materialize, partitions, plain, prepare, restored, texts_of
 from .components import components
 
 MAX_BITS, SHINGLE, SEED, PIECE = 3, 3, 42, 1 << 15
@@ -169,10 +169,9 @@ def keep_first(docs: DataFrame, words: int = SHINGLE, bits: int = MAX_BITS) -> D
     doc_id keeps its first stored row. The columns are those of ``docs``.
     """
     prepare(docs.sparkSession)
-    rows = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    fps = materialize(rows.select("_rid", "doc_id").join(
-        fingerprints(rows, words, "_rid"), "_rid"), "fingerprints")
+    rows = materialize(plain(docs).withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    fps = materialize(fingerprints(rows, words, "_rid"), "fingerprints")
     by_fp = _grouped(fps, "_rid", bits)
-    keep = (fps.join(by_fp, "fp").groupBy("component_id")
+    keep = (fps.join(by_fp, "fp").join(rows.select("_rid", "doc_id"), "_rid").groupBy("component_id")
             .agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid")).select("_rid"))
-    return rows.join(keep, "_rid", "left_semi").drop("_rid")
+    return restored(rows.join(keep, "_rid", "left_semi"), docs)
