@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +50,7 @@ def keyed_table(docs: DataFrame, name: str) -> DataFrame:
     n = partitions(spark)
     table = f"{name}_{uuid.uuid4().hex}"
     (docs.withColumn("rid", F.monotonically_increasing_id()).repartition(n, "rid")
-     .write.format("parquet").bucketBy(n, "rid").option("path", scratch_path(spark, name)).saveAsTable(table))
+     .write.format("parquet").option("compression", "zstd").bucketBy(n, "rid").option("path", scratch_path(spark, name)).saveAsTable(table))
     return spark.table(table)
 
 

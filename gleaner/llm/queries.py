@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from ..sources.tables import table
-from . import chunks, decontaminate, lines, mix, pii, quality, simhash, urls
+from . import chunks, decontaminate, lines, mix, pii, quality, simhash, substrings, urls
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.report(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality, op5_pii, op6_urls, op7_chunks, op9_mix, op10_lines, pipeline)}
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_pii": pii.ORACLE, "op6_urls": urls.ORACLE, "op9_mix": mix.ORACLE, "op10_lines": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality, op5_pii, op6_urls, op7_chunks, op8_substrings, op9_mix, op10_lines, pipeline)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_pii": pii.ORACLE, "op6_urls": urls.ORACLE, "op8_substrings": substrings.ORACLE, "op9_mix": mix.ORACLE, "op10_lines": lines.ORACLE}
