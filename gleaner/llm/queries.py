@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from ..sources.tables import table
-from . import chunks, decontaminate, lines, mix, pii, quality, simhash, substrings, urls
+from . import chunks, decontaminate, lines, mix, pii, quality, simhash, substrings, suffixes, urls
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality, op5_pii, op6_urls, op7_chunks, op8_substrings, op9_mix, op10_lines, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality, op4_suffixes, op5_pii, op6_urls, op7_chunks, op8_substrings, op9_mix, op10_lines, pipeline)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_pii": pii.ORACLE, "op6_urls": urls.ORACLE, "op8_substrings": substrings.ORACLE, "op9_mix": mix.ORACLE, "op10_lines": lines.ORACLE}
