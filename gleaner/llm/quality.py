@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import plain, prepare, restored, texts_of
 
 #: Most labelled rows that the model is fitted on and broadcasts (a hash order picks them).
 SAMPLE = 4096
@@ -162,7 +162,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    schema = docs.schema
+    rows = plain(docs)
 
     def run(batches):
         for b in batches:
@@ -170,4 +170,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             for i in range(0, len(t), 256):
                 s = vote(shared.value, np.stack([term_counts(x) for x in t[i:i + 256]]))
                 yield b.slice(i, 256).filter(pa.array(s >= threshold))
-    return docs.mapInArrow(run, schema)
+    return restored(rows.mapInArrow(run, rows.schema), docs)
