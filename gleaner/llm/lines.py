@@ -154,6 +154,7 @@ def repeated_lines(rows: DataFrame, places: DataFrame) -> DataFrame:
     firsts = lines.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
     copies = (lines.select("h1", "h2", "ord").join(firsts.filter("copies > 1").withColumnRenamed("ord", "first"), ["h1", "h2"])
               .filter("ord > first").select("ord"))
+    copies = materialize(copies, "line_copies")
     # of equal lines the first stands for all
     keys = (lines.filter(f"n >= {NEAR_WORDS}").select("h1", "h2", "ord", "halves")
             .join(copies, "ord", "left_anti").select("ord", F.explode("halves").alias("half")))
