@@ -142,38 +142,33 @@ def temporal_diversity(df: DataFrame, key: str = "cluster_id", date_col: str = "
 
 
 def calinski_harabasz(df: DataFrame, vec: str = "embedding", key: str = "cluster_id") -> DataFrame:
-    """A10: (B/(k−1)) / (W/(n−k)) on non-noise rows; null unless k > 1."""
+    """A10: (B/(k−1)) / (W/(n−k)) on non-noise rows; null unless 1 < k < n; 1 when W is 0."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     s = centroids(df, vec, key)
-    tot = s.agg(F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_k"),
-                F.sum("sum_sq").alias("SS"),
-                F.aggregate(F.collect_list("sum_vec"), F.lit(None).cast("array<double>"),
-                            lambda acc, v: F.when(acc.isNull(), v).otherwise(F.zip_with(acc, v, lambda a, b: a + b)))
-                .alias("S"))
-    mu = tot.select("_tot", "_k", "SS", F.transform("S", lambda x: x / F.col("_tot")).alias("mu"))
-    j = s.crossJoin(F.broadcast(mu))
+    mu = (df.filter(F.col(key) != -1).agg(Summarizer.mean(array_to_vector(as_double(vec))).alias("m"))
+          .select(vector_to_array("m").alias("mu")))
+    j = s.crossJoin(F.broadcast(mu))  # one row
     parts = j.agg(F.sum(F.col("n") * sq_norm(F.zip_with("centroid", "mu", lambda a, b: a - b))).alias("B"),
                   F.sum(F.col("sum_sq") - sq_norm("sum_vec") / F.col("n")).alias("W"),
-                  F.max("_tot").alias("_tot"), F.max("_k").alias("_k"))
-    return parts.select(F.when(F.col("_k") > 1, (F.col("B") / (F.col("_k") - 1)) / (F.col("W") / (F.col("_tot") - F.col("_k"))))
-                        .alias("calinski_harabasz"))
+                  F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_k"))
+    ratio = F.try_divide(F.try_divide(F.col("B"), F.col("_k") - 1), F.try_divide(F.col("W"), F.col("_tot") - F.col("_k")))
+    return parts.select(F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_tot")),
+                               F.when(F.col("W") == 0, F.lit(1.0)).otherwise(ratio)).alias("calinski_harabasz"))
 
 
 def davies_bouldin(df: DataFrame, vec: str = "embedding", key: str = "cluster_id") -> DataFrame:
     """Mean over clusters of max_j (S_i + S_j) / d(c_i, c_j), S = mean distance to centroid.
 
-    The centroid table has one row per cluster and is broadcast; the pair
-    step runs over clusters, never over rows.
+    A pair of equal centroids counts 0.  Rows meet their centroid in an ordinary
+    join; clusters meet one another in blocks.
     """
+    from .vectors import worst_ratio
     c = centroids(df, vec, key)
-    rows = df.filter(F.col(key) != -1).join(F.broadcast(c.select(key, "centroid")), key)
+    rows = df.filter(F.col(key) != -1).join(c.select(key, "centroid"), key)
     S = rows.groupBy(key).agg(F.avg(l2_distance(as_double(vec), F.col("centroid"))).alias("S"))
     cs = c.join(S, key).select(key, "centroid", "S")
-    a, b = cs.alias("a"), cs.alias("b")
-    pairs = a.join(F.broadcast(b), F.col(f"a.{key}") != F.col(f"b.{key}")).select(
-        F.col(f"a.{key}").alias(key),
-        ((F.col("a.S") + F.col("b.S")) / l2_distance(F.col("a.centroid"), F.col("b.centroid"))).alias("r"))
-    worst = pairs.groupBy(key).agg(F.max("r").alias("r"))
-    return worst.agg(F.avg("r").alias("davies_bouldin"))
+    return worst_ratio(cs, key, "centroid", "S").agg(F.avg("r").alias("davies_bouldin"))
 
 
 def contingency(a: DataFrame, b: DataFrame, id_col: str, la: str, lb: str) -> DataFrame:

@@ -29,7 +29,6 @@ Edges never come from a cross join:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -99,33 +98,33 @@ def similar_edges(keys: DataFrame) -> DataFrame:
     return jaccard_pairs(keys).select("a", "b").unionByName(containment_pairs(keys)).distinct()
 
 
-def elect_leaders(keys: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def elect_leaders(keys: DataFrame, edges: DataFrame) -> DataFrame:
     """Lexicographically first maximal independent set by key order.
 
     Returns ``(key_ord, leader_ord)``: a leader points to itself, an absorbed
-    key to its earliest leader neighbour.
+    key to its earliest leader neighbour.  Keys without an earlier neighbour
+    lead at once; a round absorbs the leaders' later neighbours and keeps only
+    the edges whose two ends are still undecided.  The first undecided key is
+    decided in every round, so a round without progress is an error.
     """
     e = cut_lineage(edges.select("a", "b"))
-    state = cut_lineage(keys.select("key_ord", F.lit("U").alias("st")))
-    for _ in range(max_rounds):
-        undecided = state.filter(F.col("st") == "U")
-        if undecided.limit(1).count() == 0:
-            break
-        ea = e.join(state.withColumnRenamed("key_ord", "a").withColumnRenamed("st", "sa"), "a")
-        agg = ea.groupBy("b").agg(F.bool_or(F.col("sa") == "L").alias("has_leader"),
-                                  F.bool_and(F.col("sa") == "A").alias("all_absorbed"))
-        nxt = (state.join(agg.withColumnRenamed("b", "key_ord"), "key_ord", "left")
-               .select("key_ord", F.when(F.col("st") != "U", F.col("st"))
-                       .when(F.coalesce(F.col("has_leader"), F.lit(False)), F.lit("A"))
-                       .when(F.coalesce(F.col("all_absorbed"), F.lit(True)), F.lit("L"))
-                       .otherwise(F.lit("U")).alias("st")))
-        state = cut_lineage(nxt)
-    leaders = state.filter(F.col("st") == "L").select(F.col("key_ord").alias("a"))
-    lead_of = (e.join(leaders, "a").groupBy("b").agg(F.min("a").alias("leader_ord"))
-               .withColumnRenamed("b", "key_ord"))
-    out = state.join(lead_of, "key_ord", "left").select(
-        "key_ord", F.when(F.col("st") == "L", F.col("key_ord")).otherwise(F.col("leader_ord")).alias("leader_ord"))
-    return out
+    left, absorbed, n_left = e, None, e.count()
+    while n_left:
+        # undecided keys that no undecided key precedes are leaders
+        new = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = cut_lineage(left.join(new, "a").select("b").distinct())
+        absorbed = gone if absorbed is None else absorbed.unionByName(gone)
+        left = left.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+        left = cut_lineage(left.join(new, "a", "left_anti"))
+        before, n_left = n_left, left.count()
+        if n_left >= before:
+            raise RuntimeError("leader election made no progress")
+    if absorbed is None:
+        return keys.select("key_ord", F.col("key_ord").alias("leader_ord"))
+    lead_of = (e.join(absorbed.withColumnRenamed("b", "a"), "a", "left_anti").join(absorbed, "b")
+               .groupBy("b").agg(F.min("a").alias("leader_ord")).withColumnRenamed("b", "key_ord"))
+    return keys.select("key_ord").join(lead_of, "key_ord", "left").select(
+        "key_ord", F.coalesce("leader_ord", "key_ord").alias("leader_ord"))
 
 
 def best_of_group(rows: DataFrame, group: str = "leader_ord") -> DataFrame:
@@ -149,9 +148,5 @@ def dedup_stories(items: DataFrame) -> DataFrame:
     leaders = elect_leaders(keys, similar_edges(keys))
     rows = (keyed.join(keys.select("story_key", "key_ord"), "story_key")
             .join(leaders, "key_ord"))
-    best = best_of_group(rows)
-    return best.join(items, "item_id")
-
-
-def rounds_needed(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(n, 2))))
+    best = best_of_group(rows).select("leader_ord", F.col("item_id").alias("_best"))
+    return rows.join(best, "leader_ord").filter(F.col("item_id") == F.col("_best")).select("leader_ord", *items.columns)

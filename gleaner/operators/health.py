@@ -28,11 +28,14 @@ def overall_health(checks: DataFrame) -> DataFrame:
 def status_changes(rounds: DataFrame) -> DataFrame:
     """Rounds whose status differs from the previous round, with the alert type.
 
-    ``rounds`` has one row per check round (bounded by time, not by data), so
-    a single ordered window over it is cheap.
+    The previous round is found inside each day; a day's first round takes the
+    last status of the days before from a table with one row per day.
     """
-    w = Window.orderBy("check_ts")
-    d = rounds.withColumn("previous", F.lag("status").over(w))
+    d = rounds.withColumn("_day", F.date_trunc("day", "check_ts"))
+    last = d.groupBy("_day").agg(F.max_by("status", "check_ts").alias("_last"))
+    last = last.select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_before"))
+    d = d.join(last, "_day").withColumn("previous", F.coalesce(
+        F.lag("status").over(Window.partitionBy("_day").orderBy("check_ts")), F.col("_before"))).drop("_day", "_before")
     d = d.filter(F.col("previous").isNull() | (F.col("previous") != F.col("status")))
     return d.withColumn(
         "change",
@@ -127,21 +130,20 @@ def pressure_report(readings: DataFrame, memory_limit_gb: float = 2.0) -> DataFr
         "healthy", F.size("issues") == 0)
 
 
-def sustained_breach(df: DataFrame, partition: Sequence[str], flag, span_seconds: int, bucket=None) -> DataFrame:
+def sustained_breach(df: DataFrame, partition: Sequence[str], flag, span_seconds: int, bucket=None,
+                     order: Sequence[str] = ("ts",)) -> DataFrame:
     """Rows where the breach flag has held continuously for at least ``span_seconds``.
 
-    Gaps and islands: the start of the current breach run is a running max of
-    "last non-breach time", so the scan scales like ``prefix_agg``.
+    The span runs from the first breaching reading of the run.  Gaps and
+    islands: a run starts where its length is 1, and the current start is the
+    running maximum of those times, so the scan scales like ``prefix_agg``.
     """
-    from .series import prefix_agg
+    from .series import islands, prefix_agg
     b = bucket if bucket is not None else F.date_trunc("day", "ts")
     d = df.withColumn("_breach", flag).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    d = prefix_agg(d, partition, ["ts"], b,
-                   {"_last_ok": ("max", F.when(~F.col("_breach"), F.col("_us")))})
-    first_bad = prefix_agg(d, partition, ["ts"], b,
-                           {"_first_any": ("min", F.col("_us"))})
-    start = F.coalesce(F.col("_last_ok"), F.col("_first_any"))
-    return first_bad.withColumn(
-        "breach_seconds", F.when(F.col("_breach"), (F.col("_us") - start) / 1e6).otherwise(F.lit(0.0))
+    d = islands(d, partition, list(order), "_breach", b)
+    d = prefix_agg(d, partition, list(order), b, {"_start": ("max", F.when(F.col("run_length") == 1, F.col("_us")))})
+    return d.withColumn(
+        "breach_seconds", F.when(F.col("_breach"), (F.col("_us") - F.col("_start")) / 1e6).otherwise(F.lit(0.0))
     ).withColumn("sustained", F.col("_breach") & (F.col("breach_seconds") >= span_seconds)).drop(
-        "_breach", "_us", "_last_ok", "_first_any")
+        "_breach", "_us", "_start", "run_length")

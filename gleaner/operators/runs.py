@@ -221,19 +221,32 @@ def sla_report(metric_rows: DataFrame, slas: DataFrame, as_of) -> DataFrame:
 
     ``metric_rows(ts, metric, value)`` ⋈ SLA rows on metric with
     ``ts >= as_of − window`` (broadcast SLA table), then one aggregate per SLA.
+    Every SLA is reported: without points it has no observation and is not
+    met.  A p95 is the value at rank min(floor(0.95·n), n − 1).
     """
-    j = metric_rows.join(F.broadcast(slas), "metric").filter(
+    from .series import value_at_rank
+    j = metric_rows.filter(F.col("value").isNotNull()).join(F.broadcast(slas), "metric").filter(
         F.col("ts") >= as_of - F.make_dt_interval(F.lit(0), F.col("window_hours").cast("int")))
     g = j.groupBy("sla", "metric", "target", "kind").agg(
         F.avg("value").alias("avg_value"), F.max("value").alias("max_value"), F.min("value").alias("min_value"),
         F.count(F.lit(1)).alias("points"))
-    observed = (F.when(F.col("kind").isin("min_avg", "max_avg"), F.col("avg_value"))
+    p95 = None
+    for r in slas.filter(F.col("kind").endswith("p95")).select("sla").collect():  # configuration rows
+        one = value_at_rank(j.filter(F.col("sla") == r.sla), "value",
+                            F.least(F.floor(F.col("_n") * 0.95), F.col("_n") - 1)).select(
+            F.lit(r.sla).alias("sla"), F.col("value").alias("p95")).limit(1)
+        p95 = one if p95 is None else p95.unionByName(one)
+    g = slas.select("sla", "metric", "target", "kind").join(g.drop("metric", "target", "kind"), "sla", "left")
+    g = g.join(p95, "sla", "left") if p95 is not None else g.withColumn("p95", F.lit(None).cast("double"))
+    g = g.withColumn("points", F.coalesce("points", F.lit(0)))
+    observed = (F.when(F.col("kind").endswith("p95"), F.col("p95"))
+                 .when(F.col("kind").isin("min_avg", "max_avg"), F.col("avg_value"))
                  .when(F.col("kind") == "max", F.col("max_value"))
                  .when(F.col("kind") == "min", F.col("min_value"))
                  .otherwise(F.col("avg_value")))
     met = (F.when(F.col("kind").startswith("min"), F.col("observed") >= F.col("target"))
             .otherwise(F.col("observed") <= F.col("target")))
-    return g.withColumn("observed", observed).withColumn("met", met)
+    return g.withColumn("observed", observed).withColumn("met", F.coalesce(met, F.lit(False)))
 
 
 def service_status(health_ok: DataFrame, memory: DataFrame, quality: DataFrame,

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -122,3 +124,22 @@ def value_at_rank(df: DataFrame, value: str, index: Column) -> DataFrame:
     w = Window.partitionBy("_b").orderBy("_v")
     return rows.withColumn("_r", F.row_number().over(w) - 1).filter(F.col("_r") == F.col("_off")).select(
         F.col("_v").alias(value))
+
+
+def dense_positions(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` plus ``pos``: 0, 1, 2, ... in the given order, without a global window.
+
+    The rows are range-partitioned and sorted; a row's position is its place in
+    its partition plus the sizes of the partitions before (one number for each).
+    """
+    spark = rows.sparkSession
+    s = cut_lineage(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33).cast("int")
+    sizes = sorted((r.p, r.n) for r in s.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    table = F.broadcast(spark.createDataFrame(offsets, "_p int, _off long"))
+    return s.join(table, part == F.col("_p")).select(
+        *rows.columns, (F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("pos"))

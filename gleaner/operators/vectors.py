@@ -128,19 +128,19 @@ def cluster_distance_sums(df: DataFrame, id_col: str = "id", vec_col: str = "emb
 
 def silhouette_rows(df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
                     cluster_col: str = "cluster_id", block_rows: int = 1024) -> DataFrame:
-    """Per-row silhouette (Euclidean) over non-noise rows: singleton → 0,
-    a = mean distance to own cluster, b = least mean distance to another."""
+    """Per-row silhouette (Euclidean) over non-noise rows: singleton → 0, a = b = 0 (copies
+    in several clusters) → 0, a = mean distance to own cluster, b = least mean to another."""
     d = df.filter(F.col(cluster_col) != -1)
     sums = cluster_distance_sums(d, id_col, vec_col, cluster_col, block_rows)
     own = d.select(F.col(id_col).cast("long").alias("id"), F.col(cluster_col).cast("long").alias("own"))
-    j = sums.join(own, "id").withColumn("mean", F.col("sum_dist") / F.col("cnt"))
+    j = sums.join(own, "id").withColumn("mean", F.try_divide("sum_dist", "cnt"))
     g = j.groupBy("id").agg(
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))).alias("a"),
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("cnt"))).alias("own_others"),
         F.min(F.when((F.col("cluster") != F.col("own")) & (F.col("cnt") > 0), F.col("mean"))).alias("b"),
         F.first("own").alias("own"))
     s = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return g.select("id", "own", "a", "b", s.alias("silhouette"))
 
 
@@ -192,41 +192,60 @@ def similar_pairs(df: DataFrame, threshold: float, id_col: str = "id", vec_col:
 
 def nearest_centroid(df: DataFrame, cents: DataFrame, id_col: str = "id", vec_col: str = "embedding",
                      cent_id: str = "cluster_id", cent_vec: str = "centroid", metric: str = "l2",
-                     exclude_col: str | None = None, max_broadcast: int = 20_000) -> DataFrame:
+                     exclude_col: str | None = None, block_rows: int = 1024) -> DataFrame:
     """Best centroid per row — least L2 distance or greatest cosine — ``(id, best, score)``.
 
-    The centroid table has one row per cluster.  When its size is checked to
-    be at most ``max_broadcast`` it goes to every task as a broadcast side;
-    beyond that the exact blocked kNN kernel runs instead.  ``exclude_col``
-    skips the row's own cluster.
+    Blocks of rows meet blocks of centroids; each pair of blocks gives one
+    candidate per row.  ``exclude_col`` skips the row's own cluster.  Ties go to
+    the smaller cluster id; the cosine of a zero vector is 0.
     """
-    from .cluster_stats import dot, l2_distance, normalize, sq_norm
-    n_cent = cents.count()
-    if n_cent > max_broadcast:
-        left = df.select(F.col(id_col).alias("id"),
-                         (normalize(vec_col) if metric != "l2" else F.col(vec_col)).alias("v"),
-                         *( [F.col(exclude_col).alias("_own")] if exclude_col else []))
-        right = cents.select(F.col(cent_id).alias("id"),
-                             (normalize(cent_vec) if metric != "l2" else F.col(cent_vec)).alias("v"))
-        nn = knn(left, right, 2 if exclude_col else 1, "id", "v", exclude_self=False)
-        if exclude_col:
-            nn = nn.join(left.select("id", "_own"), "id").filter(F.col("nbr") != F.col("_own"))
-        w = Window.partitionBy("id").orderBy("dist", "nbr")
-        nn = nn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-        score = F.col("dist") if metric == "l2" else 1.0 - F.col("dist") * F.col("dist") / 2.0
-        return nn.select("id", F.col("nbr").alias("best"), score.alias("score"))
-    c = F.broadcast(cents.select(F.col(cent_id).alias("_cid"),
-                                 F.transform(cent_vec, lambda x: x.cast("double")).alias("_cv")))
-    cols = [F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("_v")]
-    if exclude_col:
-        cols.append(F.col(exclude_col).alias("_own"))
-    d = df.select(*cols)
-    cond = (F.col("_own") != F.col("_cid")) if exclude_col else F.lit(True)
-    j = d.join(c, cond, "inner")
-    if metric == "l2":
-        score = l2_distance(F.col("_v"), F.col("_cv"))
-        return j.groupBy("id").agg(F.min_by("_cid", F.struct(score, F.col("_cid"))).alias("best"),
-                                   F.min(score).alias("score"))
-    cos = dot(F.col("_v"), F.col("_cv")) / (F.sqrt(sq_norm(F.col("_v"))) * F.sqrt(sq_norm(F.col("_cv"))))
-    return j.groupBy("id").agg(F.max_by("_cid", F.struct(cos, -F.col("_cid"))).alias("best"),
-                               F.max(cos).alias("score"))
+    left = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
+                     (F.col(exclude_col) if exclude_col else F.lit(None)).cast("long").alias("own"))
+    right = cents.select(F.col(cent_id).alias("id"), F.col(cent_vec).alias("v"))
+    inp = _pairs_input(left, right, "id", "v", "own", None, block_rows)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        lft, rgt, L, R = _split(pdf)
+        if len(lft) == 0 or len(rgt) == 0:
+            return pd.DataFrame({"id": [], "best": [], "cost": []})
+        order = np.argsort(rgt["id"].to_numpy())
+        rid, R = rgt["id"].to_numpy()[order], R[order]
+        lid, own = lft["id"].to_numpy(), lft["tag"].to_numpy()
+        outs = []
+        for s, D in _dist_chunks(L, R):
+            if metric != "l2":
+                den = np.linalg.norm(L[s:s + len(D)], axis=1)[:, None] * np.linalg.norm(R, axis=1)[None, :]
+                D = -np.divide(L[s:s + len(D)] @ R.T, den, out=np.zeros_like(D), where=den > 0)
+            if exclude_col:
+                D = np.where(own[s:s + len(D), None] == rid[None, :], np.inf, D)
+            j = D.argmin(axis=1)
+            best = D[np.arange(len(D)), j]
+            ok = np.isfinite(best)
+            outs.append(pd.DataFrame({"id": lid[s:s + len(D)][ok], "best": rid[j][ok], "cost": best[ok]}))
+        return pd.concat(outs, ignore_index=True)
+
+    cand = inp.groupBy("bl", "br").applyInPandas(kernel, "id long, best long, cost double")
+    g = cand.groupBy("id").agg(F.min_by("best", F.struct("cost", "best")).alias("best"), F.min("cost").alias("cost"))
+    return g.select("id", "best", (F.col("cost") if metric == "l2" else -F.col("cost")).alias("score"))
+
+
+def worst_ratio(clusters: DataFrame, id_col: str, vec_col: str, spread_col: str, block_rows: int = 1024) -> DataFrame:
+    """A11's inner step, ``(id, r)``: per cluster the greatest (S_i + S_j) / d(c_i, c_j); 0 for equal centroids."""
+    side = clusters.select(F.col(id_col).alias("id"), F.array_append(vec_col, F.col(spread_col)).alias("v"))
+    inp = _pairs_input(side, side, "id", "v", None, None, block_rows)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        lft, rgt, L, R = _split(pdf)
+        if len(lft) == 0 or len(rgt) == 0:
+            return pd.DataFrame({"id": [], "r": []})
+        lid, rid = lft["id"].to_numpy(), rgt["id"].to_numpy()
+        outs = []
+        for s, D in _dist_chunks(L[:, :-1], R[:, :-1]):
+            sums = L[s:s + len(D), -1][:, None] + R[:, -1][None, :]
+            ratio = np.divide(sums, D, out=np.zeros_like(D), where=D > 0)
+            ratio = np.where(lid[s:s + len(D), None] == rid[None, :], -np.inf, ratio)
+            outs.append(pd.DataFrame({"id": lid[s:s + len(D)], "r": ratio.max(axis=1)}))
+        out = pd.concat(outs, ignore_index=True)
+        return out[np.isfinite(out["r"])]
+
+    return inp.groupBy("bl", "br").applyInPandas(kernel, "id long, r double").groupBy("id").agg(F.max("r").alias("r"))

@@ -32,18 +32,17 @@ def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i
     """
     o = outer.select(F.col(o_id).alias("oid"), F.col(o_txt).alias("ot")).filter(F.col("ot").isNotNull())
     i = inner.select(F.col(i_id).alias("iid"), F.col(i_txt).alias("it")).filter(F.col("it").isNotNull())
-    og = o.select("oid", "ot", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - g + 1, F.lit(1)))).alias("p")) \
-          .select("oid", "ot", F.substring("ot", F.col("p"), g).alias("gram")).filter(F.length("gram") == g).distinct()
+    # only ids and hashed grams are shuffled; the texts come back for the check
+    og = o.select("oid", F.explode(_grams("ot", g)).alias("gram"))
     freq = og.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
     ilong = i.filter(F.length("it") >= g)
-    ig = ilong.select("iid", "it", F.explode(F.sequence(F.lit(1), F.length("it") - g + 1)).alias("p")) \
-              .select("iid", "it", "p", F.substring("it", F.col("p"), g).alias("gram"))
+    ig = ilong.select("iid", F.explode(_grams("it", g)).alias("gram"))
     probe = (ig.join(freq, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-               .groupBy("iid", "it").agg(F.min_by("gram", F.struct("f", "p")).alias("gram"),
-                                         F.min("f").alias("f")))
+               .groupBy("iid").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"), F.min("f").alias("f")))
     # an inner string with a gram that no outer string has is inside nothing
     probe = probe.filter(F.col("f") > 0)
-    long_hits = probe.join(og, "gram").filter(F.instr("ot", F.col("it")) > 0).select("oid", "iid")
+    long_hits = (probe.join(og, "gram").select("oid", "iid").distinct().join(o, "oid").join(i, "iid")
+                 .filter(F.instr("ot", F.col("it")) > 0).select("oid", "iid"))
     ishort = i.filter((F.length("it") > 0) & (F.length("it") < g))
     subs = o.select("oid", F.explode(F.sequence(F.lit(1), F.lit(g - 1))).alias("n"), "ot").select(
         "oid", "ot", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - F.col("n") + 1, F.lit(1)))).alias("p")) \
@@ -53,6 +52,13 @@ def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i
     return long_hits.unionByName(short_hits).distinct()
 
 
+def _grams(text: str, g: int):
+    """Hashes of the distinct g-character substrings (an equal hash is only a candidate)."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - g + 1, F.lit(1)))
+    grams = F.filter(F.transform(at, lambda p: F.substring(F.col(text), p, F.lit(g))), lambda x: F.length(x) == g)
+    return F.transform(F.array_distinct(grams), lambda x: F.xxhash64(x))
+
+
 def verdict_table(raw: DataFrame) -> DataFrame:
     """Per headline: the last verdict written (value) at its first insertion (order)."""
     return raw.filter(F.col("v_headline").isNotNull()).groupBy("v_headline").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster_stats as CS
 from ..operators import vectors as VX
-from ..operators.series import prefix_agg
+from ..operators.series import dense_positions, prefix_agg
 from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from ..sources.tables import table
 from .registry import register
@@ -136,7 +136,7 @@ def a09_temporal_diversity(spark, sf):
 @register("a10_calinski_harabasz", CTE + f"""
 , mu AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (
     SELECT unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM clusters WHERE cluster_id <> -1) GROUP BY 1))
-SELECT round(CASE WHEN k > 1 THEN (b / (k - 1)) / (w / (n - k)) END, 6) AS calinski_harabasz FROM
+SELECT round(CASE WHEN k > 1 AND k < n THEN CASE WHEN w = 0 THEN 1.0 ELSE (b / (k - 1)) / (w / (n - k)) END END, 6) AS calinski_harabasz FROM
   (SELECT sum(s.n * pow({_l2('t.c', 'mu.c')}, 2)) AS b, count(*) AS k FROM cent t JOIN csize s USING (cluster_id), mu),
   (SELECT sum(pow({_l2('c.v', 't.c')}, 2)) AS w, count(*) AS n FROM clusters c JOIN cent t USING (cluster_id))""".replace(
     "\n, mu AS", ",\nmu AS", 1).replace("csize AS (SELECT cluster_id, count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY 1)\n,", "csize AS (SELECT cluster_id, count(*) AS n FROM clusters WHERE cluster_id <> -1 GROUP BY 1),"))
@@ -147,7 +147,7 @@ def a10_calinski_harabasz(spark, sf):
 @register("a11_davies_bouldin", CTE + f"""
 , sc AS (SELECT c.cluster_id, avg({_l2('c.v', 't.c')}) AS s FROM clusters c JOIN cent t USING (cluster_id) GROUP BY 1)
 SELECT round(avg(r), 6) AS davies_bouldin FROM (
-  SELECT a.cluster_id, max((sa.s + sb.s) / {_l2('a.c', 'b.c')}) AS r
+  SELECT a.cluster_id, max(CASE WHEN {_l2('a.c', 'b.c')} = 0 THEN 0 ELSE (sa.s + sb.s) / {_l2('a.c', 'b.c')} END) AS r
   FROM cent a JOIN cent b ON a.cluster_id <> b.cluster_id JOIN sc sa ON sa.cluster_id = a.cluster_id
   JOIN sc sb ON sb.cluster_id = b.cluster_id GROUP BY 1)""".replace("\n, sc AS", ",\nsc AS", 1))
 def a11_davies_bouldin(spark, sf):
@@ -165,7 +165,7 @@ _SIL_DUCK = f"""
 
 
 @register("a12_silhouette", (CTE + _SIL_DUCK).replace("\n, pd AS", ",\npd AS", 1) + """
-SELECT round(avg(CASE WHEN coalesce(own_n, 0) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM rs""")
+SELECT round(avg(CASE WHEN coalesce(own_n, 0) = 0 THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM rs""")
 def a12_silhouette(spark, sf):
     return VX.silhouette(clusters(spark, sf)).select(_r6("silhouette").alias("silhouette"))
 
@@ -268,7 +268,7 @@ def w02_exemplars(spark, sf):
 def exemplars(c: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows nearest their centroid per cluster (ties by ord)."""
     cent = CS.centroids(c)
-    d = c.filter(F.col("cluster_id") != -1).join(F.broadcast(cent.select("cluster_id", "centroid")), "cluster_id")
+    d = c.filter(F.col("cluster_id") != -1).join(cent.select("cluster_id", "centroid"), "cluster_id")
     d = d.withColumn("dist", CS.l2_distance(CS.as_double("embedding"), F.col("centroid")))
     w = Window.partitionBy("cluster_id").orderBy("dist", "ord")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -278,9 +278,8 @@ def exemplars(c: DataFrame, n: int) -> DataFrame:
 SELECT cluster_id, n AS size, row_number() OVER (ORDER BY n DESC, cluster_id) AS position FROM csize""")
 def k04_order_summaries(spark, sf):
     s = CS.cluster_sizes(clusters(spark, sf).filter(F.col("cluster_id") != -1))
-    # one row per cluster: a single ordered window over the summary is cheap
-    return s.select("cluster_id", "size",
-                    F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster_id")).cast("long").alias("position"))
+    p = dense_positions(s.select("cluster_id", "size"), F.col("size").desc(), F.col("cluster_id"))
+    return p.select("cluster_id", "size", (F.col("pos") + 1).alias("position"))
 
 
 @register("g11_demote_oversized", CTE + """
@@ -376,7 +375,7 @@ def j09_nearest_cluster(spark, sf):
 
 @register("c14_reassign_outliers", (CTE + f"""
 , cs AS (SELECT c.id, t.cluster_id AS cand,
-         {_dot('c.v', 't.c')} / (sqrt({_dot('c.v', 'c.v')}) * sqrt({_dot('t.c', 't.c')})) AS cosv
+         coalesce({_dot('c.v', 't.c')} / nullif(sqrt({_dot('c.v', 'c.v')}) * sqrt({_dot('t.c', 't.c')}), 0), 0) AS cosv
          FROM clusters c, cent t WHERE c.cluster_id = -1)""").replace("\n, cs AS", ",\ncs AS", 1) + """
 SELECT c.id, CASE WHEN b.cosv > 0.15 THEN b.cand ELSE c.cluster_id END AS cluster_id FROM clusters c
 LEFT JOIN (SELECT id, arg_max(cand, (cosv, -cand)) AS cand, max(cosv) AS cosv FROM cs GROUP BY 1) b USING (id)""")

@@ -327,14 +327,14 @@ def m23_pressure_report(spark, sf):
 
 @register("m26_sustained_breach", with_ctes(V.OPERATIONS_DUCK, """
 o AS (SELECT *, duration > 100 AS breach, epoch_us(ts) AS us FROM operations)""", """
-o2 AS (SELECT *, max(CASE WHEN NOT breach THEN us END) OVER (PARTITION BY op ORDER BY ts ROWS UNBOUNDED PRECEDING) AS last_ok,
-              min(us) OVER (PARTITION BY op ORDER BY ts ROWS UNBOUNDED PRECEDING) AS first_any FROM o)""") + """
-SELECT op_id, round(CASE WHEN breach THEN (us - coalesce(last_ok, first_any)) / 1e6 ELSE 0.0 END, 6) AS breach_seconds,
-       breach AND (us - coalesce(last_ok, first_any)) / 1e6 >= 1800 AS sustained
+o1 AS (SELECT *, breach AND NOT coalesce(lag(breach) OVER (PARTITION BY op ORDER BY ts, op_id), FALSE) AS starts FROM o)""", """
+o2 AS (SELECT *, max(CASE WHEN starts THEN us END) OVER (PARTITION BY op ORDER BY ts, op_id ROWS UNBOUNDED PRECEDING) AS start FROM o1)""") + """
+SELECT op_id, round(CASE WHEN breach THEN (us - start) / 1e6 ELSE 0.0 END, 6) AS breach_seconds,
+       breach AND (us - start) / 1e6 >= 1800 AS sustained
 FROM o2""")
 def m26_sustained_breach(spark, sf):
     ops = V.operations(spark, sf)
-    s = H.sustained_breach(ops, ["op"], F.col("duration") > 100, 1800)
+    s = H.sustained_breach(ops, ["op"], F.col("duration") > 100, 1800, order=("ts", "op_id"))
     return s.select("op_id", _r6("breach_seconds").alias("breach_seconds"), "sustained")
 
 
@@ -534,6 +534,8 @@ sla_rows AS (
   UNION ALL SELECT run_ts, 'silhouette', silhouette FROM run_log_v
   UNION ALL SELECT run_ts, 'noise_ratio', noise_ratio FROM run_log_v
   UNION ALL SELECT run_ts, 'success_percent', CASE WHEN clusters > 0 THEN 100.0 ELSE 0.0 END FROM run_log_v
+  UNION ALL SELECT (SELECT max(run_ts) FROM run_log_v), 'uptime_percent', coalesce(count_if(status = 'healthy') * 100.0 / nullif(count(*), 0), 100.0)
+    FROM rounds WHERE check_ts >= (SELECT max(run_ts) FROM run_log_v) - INTERVAL 720 HOUR
 ),
 slas AS (SELECT * FROM (VALUES
   ('availability', 'uptime_percent', 99.5, 720, 'min'), ('processing_time_p95', 'processing_time', 30.0, 24, 'max_p95'),
@@ -553,21 +555,22 @@ def _sla_rows(r):
     return out
 
 
-@register("m15_sla_report", with_ctes(V.RUNLOG_DUCK, _SLA_ROWS_D) + """
-SELECT sla, CAST(target AS DOUBLE) AS target, round(CASE WHEN kind IN ('min_avg', 'max_avg') THEN avg(value)
-  WHEN kind = 'max' THEN max(value) WHEN kind = 'min' THEN min(value) ELSE avg(value) END, 6) AS observed,
-  CASE WHEN starts_with(kind, 'min') THEN (CASE WHEN kind IN ('min_avg', 'max_avg') THEN avg(value)
-       WHEN kind = 'max' THEN max(value) WHEN kind = 'min' THEN min(value) ELSE avg(value) END) >= target
-       ELSE (CASE WHEN kind IN ('min_avg', 'max_avg') THEN avg(value) WHEN kind = 'max' THEN max(value)
-       WHEN kind = 'min' THEN min(value) ELSE avg(value) END) <= target END AS met, count(*) AS points
-FROM sla_rows JOIN slas USING (metric)
-WHERE ts >= (SELECT max(run_ts) FROM run_log_v) - window_hours * INTERVAL 1 HOUR
-GROUP BY sla, metric, target, kind""")
+@register("m15_sla_report", with_ctes(V.RUNLOG_DUCK, V.HEALTH_DUCK, _ROUNDS_D, _SLA_ROWS_D, """
+o AS (SELECT sla, list_sort(list(value)) AS v, CASE kind WHEN 'max' THEN max(value) WHEN 'min' THEN min(value) WHEN 'max_p95' THEN NULL ELSE avg(value) END AS x
+  FROM sla_rows JOIN slas USING (metric)
+  WHERE value IS NOT NULL AND ts >= (SELECT max(run_ts) FROM run_log_v) - window_hours * INTERVAL 1 HOUR GROUP BY sla, kind)""", """
+obs AS (SELECT s.*, coalesce(len(v), 0) AS points,
+  CASE WHEN kind = 'max_p95' THEN v[least(CAST(floor(0.95 * len(v)) AS BIGINT), len(v) - 1) + 1] ELSE x END AS observed
+  FROM slas s LEFT JOIN o USING (sla))""") + """
+SELECT sla, CAST(target AS DOUBLE) AS target, round(observed, 6) AS observed,
+  coalesce(CASE WHEN starts_with(kind, 'min') THEN observed >= target ELSE observed <= target END, FALSE) AS met, points FROM obs""")
 def m15_sla_report(spark, sf):
     r = _runs(spark, sf)
     slas = spark.createDataFrame(R.SLAS, "sla string, metric string, target double, window_hours int, kind string")
     now = r.select(F.max("run_ts")).scalar()
-    rep = R.sla_report(_sla_rows(r), slas, now)
+    up = H.uptime(_rounds(spark, sf), now, hours=720).select(
+        now.alias("ts"), F.lit("uptime_percent").alias("metric"), F.col("uptime_percentage").cast("double").alias("value"))
+    rep = R.sla_report(_sla_rows(r).unionByName(up), slas, now)
     return rep.select("sla", "target", _r6("observed").alias("observed"), "met", "points")
 
 

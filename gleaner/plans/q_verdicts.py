@@ -206,19 +206,15 @@ AS_OF_STORE = "2024-01-02 06:00:00"
 
 
 def _store(spark, sf):
-    s = TV.store(spark, sf)
-    d = s.join(__import__("gleaner.sources.tables", fromlist=["table"]).table(spark, sf, "documents")
-               .select("doc_id", "lang"), "doc_id")
-    return d.filter(F.col("lang") == "en").drop("lang")
+    return TV.store(spark, sf)
 
 
-_STORE_EN = with_ctes(TV.STORE_DUCK, """
-store_en AS (SELECT s.* FROM store s JOIN documents d USING (doc_id) WHERE d.lang = 'en')""", f"""
-fresh AS (SELECT * FROM store_en WHERE NOT (TIMESTAMP '{AS_OF_STORE}' > created_at + INTERVAL 24 HOUR))""", f"""
+_STORE = with_ctes(TV.STORE_DUCK, f"""
+fresh AS (SELECT * FROM store WHERE NOT (TIMESTAMP '{AS_OF_STORE}' > created_at + INTERVAL 24 HOUR))""", f"""
 requests AS (SELECT doc_id, sha256('{TV.STORE_MODEL}' || ':' || text) AS key FROM documents)""")
 
 
-@register("j08_cache_hits", _STORE_EN + """
+@register("j08_cache_hits", _STORE + """
 SELECT doc_id, key IN (SELECT key FROM fresh) AS hit FROM requests""")
 def j08_cache_hits(spark, sf):
     from ..sources.tables import table
@@ -226,17 +222,17 @@ def j08_cache_hits(spark, sf):
     return ST.cache_lookup(req, _store(spark, sf), AS_OF_STORE).select("doc_id", "hit")
 
 
-@register("w09_evict_to_size", _STORE_EN + """
+@register("w09_evict_to_size", _STORE + """
 , ordered AS (SELECT doc_id, size_bytes, sum(size_bytes) OVER (ORDER BY created_at, key ROWS UNBOUNDED PRECEDING) AS upto,
-                     sum(size_bytes) OVER () AS total FROM store_en)
+                     sum(size_bytes) OVER () AS total FROM store)
 SELECT doc_id, total > 400000 AND total - (upto - size_bytes) > 0.8 * 400000 AS evicted FROM ordered""".replace(
     "\n, ordered AS", ",\nordered AS", 1))
 def w09_evict_to_size(spark, sf):
     return ST.evict_to_size(_store(spark, sf), 400_000).select("doc_id", "evicted")
 
 
-@register("a30_store_stats", _STORE_EN + """
-SELECT count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM store_en""")
+@register("a30_store_stats", _STORE + """
+SELECT count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM store""")
 def a30_store_stats(spark, sf):
     s = ST.store_stats(_store(spark, sf))
     return s.select("entries", "total_bytes", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))

@@ -38,7 +38,7 @@ _ITEM_SPARK = [
     "item_id", "ord", "text", "source", "lang", "n_chars", "words",
     "array_join(slice(words, 1, 6), ' ') AS master_headline",
     "array_join(slice(words, 1, 10), ' ') AS headline",
-    "substr(text, 1, 300) AS short_description",
+    "text AS short_description",
     "CASE WHEN ord % 11 = 0 THEN 'N/A' "
     "ELSE concat('2024-01-', lpad(cast(ord % 28 + 1 AS string), 2, '0')) END AS date",
     "CASE WHEN ord % 4 = 0 THEN cast(array() AS array<string>) "
@@ -79,7 +79,7 @@ items AS (
   SELECT item_id, ord, text, source, lang, n_chars, words,
     array_to_string(words[1:6], ' ') AS master_headline,
     array_to_string(words[1:10], ' ') AS headline,
-    substr(text, 1, 300) AS short_description,
+    text AS short_description,
     CASE WHEN ord % 11 = 0 THEN 'N/A'
          ELSE '2024-01-' || lpad(CAST(ord % 28 + 1 AS VARCHAR), 2, '0') END AS date,
     CASE WHEN ord % 4 = 0 THEN CAST([] AS VARCHAR[])
@@ -118,7 +118,3 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr(*_BASE_SPARK).selectExpr(*_ITEM_SPARK)
 
 
-def items_from_documents(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr(*_BASE_SPARK).selectExpr(*_ITEM_SPARK)
-
-

@@ -117,27 +117,25 @@ BREACH_OUT = "op_id long, op string, breach_seconds double, sustained boolean"
 
 
 def sustained_breach_stream(ops: DataFrame, limit: float, span_seconds: int) -> DataFrame:
-    """Per operation: how long the limit has been broken, from the last reading that kept it."""
+    """Per operation: how long the limit has been broken, from the run's first breaching reading."""
     def fn(key, batches, state):
-        last_ok, first = (None, None) if not state.exists else state.get
+        start = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "op_id"], kind="mergesort")
         rows = []
         for oid, ts, dur in zip(pdf["op_id"], pdf["ts"], pdf["duration"]):
             us = int(pd.Timestamp(ts).value // 1000)
-            if first is None:
-                first = us
-            breach = dur > limit
-            if not breach:
-                last_ok = us
-                rows.append((int(oid), key[0], 0.0, False))
-            else:
-                secs = (us - (last_ok if last_ok is not None else first)) / 1e6
+            if dur > limit:
+                start = us if start is None else start
+                secs = (us - start) / 1e6
                 rows.append((int(oid), key[0], secs, secs >= span_seconds))
-        state.update((last_ok, first))
+            else:
+                start = None
+                rows.append((int(oid), key[0], 0.0, False))
+        state.update((start,))
         if rows:
             yield pd.DataFrame(rows, columns=["op_id", "op", "breach_seconds", "sustained"])
     return ops.groupBy("op").applyInPandasWithState(
-        fn, BREACH_OUT, "last_ok long, first long", "append", GroupStateTimeout.NoTimeout)
+        fn, BREACH_OUT, "start long", "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------------------
