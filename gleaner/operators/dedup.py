@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.text import normalise_headline, token_set
-from ..session import cut_lineage
+from ..session import written
 
 
 def story_keys(items: DataFrame) -> DataFrame:
@@ -107,15 +107,15 @@ def elect_leaders(keys: DataFrame, edges: DataFrame) -> DataFrame:
     the edges whose two ends are still undecided.  The first undecided key is
     decided in every round, so a round without progress is an error.
     """
-    e = cut_lineage(edges.select("a", "b"))
+    e = written(edges.select("a", "b"))
     left, absorbed, n_left = e, None, e.count()
     while n_left:
         # undecided keys that no undecided key precedes are leaders
         new = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = cut_lineage(left.join(new, "a").select("b").distinct())
+        gone = written(left.join(new, "a").select("b").distinct())
         absorbed = gone if absorbed is None else absorbed.unionByName(gone)
         left = left.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-        left = cut_lineage(left.join(new, "a", "left_anti"))
+        left = written(left.join(new, "a", "left_anti"))
         before, n_left = n_left, left.count()
         if n_left >= before:
             raise RuntimeError("leader election made no progress")
@@ -144,7 +144,7 @@ def best_of_group(rows: DataFrame, group: str = "leader_ord") -> DataFrame:
 def dedup_stories(items: DataFrame) -> DataFrame:
     """One surviving item per story, with its leader key order."""
     keyed = story_keys(items)
-    keys = cut_lineage(key_table(keyed))
+    keys = written(key_table(keyed))
     leaders = elect_leaders(keys, similar_edges(keys))
     rows = (keyed.join(keys.select("story_key", "key_ord"), "story_key")
             .join(leaders, "key_ord"))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -133,7 +133,7 @@ def dense_positions(rows: DataFrame, *order: Column) -> DataFrame:
     its partition plus the sizes of the partitions before (one number for each).
     """
     spark = rows.sparkSession
-    s = cut_lineage(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    s = written(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33).cast("int")
     sizes = sorted((r.p, r.n) for r in s.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0

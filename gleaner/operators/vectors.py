@@ -43,9 +43,10 @@ def _tagged(df: DataFrame, id_col: str, vec_col: str, tag_col: str | None, n_blo
 
 
 def _pairs_input(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
-                 ltag: str | None, rtag: str | None, block_rows: int) -> DataFrame:
-    bl = _n_blocks(left, block_rows)
-    br = _n_blocks(right, block_rows)
+                 ltag: str | None, rtag: str | None, block_rows: int, n: int | None = None) -> DataFrame:
+    """Both sides dealt to the block pairs; ``n``: the rows of either side, where the caller knows them."""
+    bl = _n_blocks(left, block_rows) if n is None else max(1, math.ceil(n / block_rows))
+    br = bl if right is left or n is not None else _n_blocks(right, block_rows)
     return _tagged(left, id_col, vec_col, ltag, bl, br, 0).unionByName(
         _tagged(right, id_col, vec_col, rtag, br, bl, 1))
 

@@ -9,6 +9,7 @@ from .. import params as P
 from ..operators import cluster_stats as CS
 from ..operators import clustering as CL
 from ..operators import vectors as VX
+from ..session import written
 from ..sources.fixtures import ITEMS_DUCK, with_ctes
 from ..sources.tables import table
 from .q_cluster import CLUSTERS_DUCK, _SIL_DUCK, _div_duck, clusters, exemplars
@@ -23,32 +24,54 @@ def _emb(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+# The merge table and the density labels of a table are inputs of several queries: the
+# first one in a session leaves them in the checkpoint folder for the others.
+_SHARED: dict[tuple, object] = {}
+
+
+def _shared(spark, kind: str, sf: str, make):
+    key = (spark.sparkContext.applicationId, kind, sf)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
+def _ward(spark, sf):
+    return _shared(spark, "ward", sf, lambda: CL.ward_dendrogram(_emb(spark, sf)))
+
+
+def _density(spark, sf):
+    def make():
+        labels, tree = CL.density_cluster(_emb(spark, sf), P.DENSITY["min_cluster_size"], P.DENSITY["min_samples"])
+        return written(labels), written(tree)
+    return _shared(spark, "density", sf, make)
+
+
 # ----------------------------------------------------------------------------
 # hierarchical
 # ----------------------------------------------------------------------------
 @register("c06_hierarchical_cluster")
 def c06_hierarchical_cluster(spark, sf):
-    labels, _ = CL.hierarchical_cluster(_emb(spark, sf), n_clusters=10)
+    labels, _ = CL.hierarchical_cluster(_emb(spark, sf), n_clusters=10, merges=_ward(spark, sf))
     return labels
 
 
 @register("c09_merge_table")
 def c09_merge_table(spark, sf):
-    m = CL.ward_dendrogram(_emb(spark, sf))
-    return m.orderBy(F.col("height").desc(), F.col("a").desc()).limit(30).select(
+    return _ward(spark, sf).orderBy(F.col("height").desc(), F.col("a").desc()).limit(30).select(
         "a", "b", _r6("height").alias("height"), "size")
 
 
 @register("c07_estimate_k")
 def c07_estimate_k(spark, sf):
     e = _emb(spark, sf)
-    return CL.estimate_k(e.count(), CL.ward_dendrogram(e))
+    return CL.estimate_k(e.count(), _ward(spark, sf))
 
 
 @register("w10_second_difference")
 def w10_second_difference(spark, sf):
     e = _emb(spark, sf)
-    m = CL.ward_dendrogram(e)
+    m = _ward(spark, sf)
     mk = min(10, e.count() // 2)
     return CL.elbow_table(m, e.count(), mk).select("k", _r6("wcss").alias("wcss")).crossJoin(
         CL.second_difference(CL.elbow_table(m, e.count(), mk), mk))
@@ -56,13 +79,13 @@ def w10_second_difference(spark, sf):
 
 @register("k07_median_threshold")
 def k07_median_threshold(spark, sf):
-    return CL.median_threshold(CL.ward_dendrogram(_emb(spark, sf)))
+    return CL.median_threshold(_ward(spark, sf))
 
 
 @register("c08_cut_at_threshold")
 def c08_cut_at_threshold(spark, sf):
     e = _emb(spark, sf)
-    m = CL.ward_dendrogram(e)
+    m = _ward(spark, sf)
     t = float(CL.median_threshold(m).first()[0])
     return CL.cut_at_threshold(e, m, t)
 
@@ -72,14 +95,14 @@ def c08_cut_at_threshold(spark, sf):
 # ----------------------------------------------------------------------------
 @register("c04_density_cluster")
 def c04_density_cluster(spark, sf):
-    labels, _ = CL.density_cluster(_emb(spark, sf), P.DENSITY["min_cluster_size"], P.DENSITY["min_samples"])
+    labels, _ = _density(spark, sf)
     return labels.select("id", "cluster_id", _r6("cluster_probability").alias("cluster_probability"),
                          _r6("outlier_score").alias("outlier_score"))
 
 
 @register("c10_cluster_hierarchy")
 def c10_cluster_hierarchy(spark, sf):
-    _, tree = CL.density_cluster(_emb(spark, sf))
+    _, tree = _density(spark, sf)
     return tree
 
 
@@ -113,20 +136,21 @@ def assign_new(fit, labels, new, vec_col: str = "embedding"):
 @register("c11_hybrid_cluster")
 def c11_hybrid_cluster(spark, sf):
     e = _emb(spark, sf)
-    return hybrid_cluster(e)
+    return hybrid_cluster(e, density=_density(spark, sf)[0], ward=lambda: _ward(spark, sf))
 
 
-def hybrid_cluster(e, min_score: float = P.HYBRID["min_score"], similarity: float = P.HYBRID["similarity"]):
+def hybrid_cluster(e, min_score: float = P.HYBRID["min_score"], similarity: float = P.HYBRID["similarity"],
+                   density=None, ward=None):
     """C11: density first; when its partition score is below ``min_score`` run Ward (k from
     the elbow) and keep the better; then merge small clusters and reassign outliers.  The
     driver only compares two scalar scores."""
-    prim, _ = CL.density_cluster(e)
+    prim = density if density is not None else CL.density_cluster(e)[0]
     prim = prim.select("id", "cluster_id").join(e, "id")
     sil_p = VX.silhouette(prim).first()[0]
     s_p = CL.partition_score(prim, sil_p)
     chosen, algo = prim, "density"
     if s_p < min_score:
-        fb, _ = CL.hierarchical_cluster(e)
+        fb, _ = CL.hierarchical_cluster(e, merges=ward() if ward else None)
         fb = fb.join(e, "id")
         sil_f = VX.silhouette(fb).first()[0]
         if CL.partition_score(fb, sil_f) > s_p:
@@ -142,7 +166,7 @@ def c13_merge_small(spark, sf):
     """Ward cut fine enough (k = n / 5) that some clusters are singletons, then merge them."""
     e = _emb(spark, sf)
     n = e.count()
-    labels = CL.cut_k(e, CL.ward_dendrogram(e), max(2, n // 5))
+    labels = CL.cut_k(e, _ward(spark, sf), max(2, n // 5))
     return CL.merge_small(labels.join(e, "id"), 2).select("id", "cluster_id")
 
 

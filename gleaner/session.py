@@ -74,3 +74,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     so nothing here touches the driver's own disk.
     """
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "round") -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, read back.
+
+    For iterative jobs that join their own rounds: a table's size is measured,
+    while a checkpoint keeps the planner's estimate, which such joins square
+    every round.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

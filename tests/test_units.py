@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from gleaner.functions.html import html_text_exact, html_to_text
 from gleaner.functions.jsonfix import sanitize_text
 from gleaner.operators import alerts as AL
+from gleaner.operators import cluster_stats as CS
 from gleaner.operators import clustering as CL
 from gleaner.operators import dedup as DD
 from gleaner.operators import gates
 from gleaner.operators import series as S
 from gleaner.operators import sovereignty as SV
+from gleaner.operators import vectors as VX
 from gleaner.operators import verdicts as VD
 from gleaner.sources import event_views as V
 from gleaner.sources.fixtures import items
@@ -52,10 +54,10 @@ def _naive_ward_heights(X):
     return sorted(hs)
 
 
-@pytest.mark.parametrize("local_limit", [4096, 8])
-def test_ward_matches_sequential(spark, local_limit):
+def test_ward_matches_sequential(spark):
     X = rng.normal(size=(40, 5))
-    m = CL.ward_dendrogram(_vec_df(spark, X), local_limit=local_limit).toPandas()
+    m = CL.ward_dendrogram(_vec_df(spark, X)).toPandas()
+    assert m["size"].max() == 40
     assert len(m) == 39
     assert np.allclose(sorted(m["height"]), _naive_ward_heights(X))
 
@@ -84,31 +86,36 @@ def _naive_mst_weight(X, core):
     return total
 
 
-@pytest.mark.parametrize("local_limit", [4096, 0])
-def test_mst_weight_matches_prim(spark, local_limit):
+def test_mst_weight_matches_prim(spark):
     X = rng.normal(size=(50, 3))
     df = _vec_df(spark, X)
     core = CL.core_distances(df, 2)
-    mst = CL.mutual_reachability_mst(df, core, local_limit=local_limit).toPandas()
+    mst = CL.mutual_reachability_mst(df, core).toPandas()
     c = core.toPandas().sort_values("id")["core"].to_numpy()
     assert len(mst) == 49
     assert math.isclose(mst["w"].sum(), _naive_mst_weight(X, c), rel_tol=1e-9)
 
 
-def test_leaf_clusters_two_groups_and_noise():
-    ids = np.arange(7)
-    edges = pd.DataFrame({"u": [0, 1, 3, 4, 2, 6], "v": [1, 2, 4, 5, 3, 5],
-                          "w": [0.1, 0.1, 0.1, 0.1, 5.0, 9.0]})
-    lab, _ = CL.leaf_clusters_local(ids, edges, 3)
-    got = dict(zip(lab["id"], lab["cluster_id"]))
-    assert got[0] == got[1] == got[2] != -1
-    assert got[3] == got[4] == got[5] != -1 and got[3] != got[0]
-    assert got[6] == -1
+def _leaves(spark, n, edges, m):
+    ids = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    lab, tree = CL.leaf_clusters(ids, spark.createDataFrame(edges, "u long, v long, w double"), m)
+    return lab.toPandas().sort_values("id"), tree.toPandas().sort_values("child")
 
 
-def test_single_pure_root_is_noise():
-    lab, _ = CL.leaf_clusters_local(np.arange(4), pd.DataFrame({"u": [0, 1, 2], "v": [1, 2, 3], "w": [1.0, 1.0, 1.0]}), 2)
-    assert set(lab["cluster_id"]) == {-1}
+def test_leaf_clusters_two_groups_and_noise(spark):
+    lab, tree = _leaves(spark, 7, [(0, 1, .1), (1, 2, .1), (3, 4, .1), (4, 5, .1), (2, 3, 5.0), (5, 6, 9.0)], 3)
+    assert lab["cluster_id"].tolist() == [0, 0, 0, 1, 1, 1, -1]
+    assert tree["lambda_val"].tolist() == [0.2, 0.2] and tree["child_size"].tolist() == [3, 3]
+
+
+def test_single_pure_root_is_noise(spark):
+    lab, tree = _leaves(spark, 4, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)], 2)
+    assert set(lab["cluster_id"]) == {-1} and len(tree) == 0
+
+
+def test_leaf_clusters_of_one_row_and_of_none(spark):
+    assert _leaves(spark, 1, [], 2)[0]["cluster_id"].tolist() == [-1]
+    assert len(_leaves(spark, 0, [], 2)[0]) == 0
 
 
 def test_merge_small_two_undersized_choose_each_other(spark):
@@ -270,16 +277,37 @@ def test_other_linkages_match_naive(spark, method):
     assert np.allclose(sorted(m["height"]), _naive_linkage_heights(X, method))
 
 
-def test_single_linkage_distributed_mst_path(spark):
-    X = rng.normal(size=(30, 3))
-    df = _vec_df(spark, X)
-    a = CL.linkage_dendrogram(df, "single", local_limit=4096).toPandas()
-    b = CL.linkage_dendrogram(df, "single", local_limit=0).toPandas()
-    assert np.allclose(sorted(a["height"]), sorted(b["height"]))
+def test_single_linkage_cut(spark):
+    df = _vec_df(spark, rng.normal(size=(30, 3)))
     lab, _ = CL.hierarchical_cluster(df, n_clusters=3, linkage="single")
     assert lab.select("cluster_id").distinct().count() == 3
 
 
+def test_statistics_of_singletons_copies_and_zero_vectors(spark):
+    rows = [(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (3, 2, [0.0, 0.0]), (4, 3, [0.0, 2.0]), (5, 3, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, cluster_id int, embedding array<double>")
+    sil = {r.id: r.silhouette for r in VX.silhouette_rows(df).collect()}
+    assert sil[0] == 0 and sil[2] == 0 and sil[3] == 0  # a = b = 0, singleton, singleton
+    assert CS.davies_bouldin(df).first()[0] >= 0 and CS.calinski_harabasz(df).first()[0] > 0
+    same = df.withColumn("embedding", F.array(F.lit(1.0), F.lit(1.0)))
+    assert CS.calinski_harabasz(same).first()[0] == 1.0 and CS.davies_bouldin(same).first()[0] == 0.0
+    alone = df.withColumn("cluster_id", F.col("id").cast("int"))
+    assert CS.calinski_harabasz(alone).first()[0] is None and VX.silhouette(alone).first()[0] == 0
+    best = {r.id: (r.best, r.score) for r in VX.nearest_centroid(df, CS.centroids(df), "id", "embedding", metric="cosine").collect()}
+    assert best[3] == (0, 0.0) and best[4][0] == 3
+
+
+def test_breach_span_starts_at_the_first_breaching_reading(spark):
+    from datetime import datetime
+    from gleaner.operators import health as HL
+    t = lambda h, m=0: datetime(2024, 1, 1 + h // 24, h % 24, m)
+    rows = [(1, "a", t(1), 1), (2, "a", t(3), 200), (3, "a", t(3, 40), 200), (4, "a", t(30), 200), (5, "a", t(31), 1), (6, "b", t(2), 200)]
+    df = spark.createDataFrame(rows, "op_id long, op string, ts timestamp, duration int")
+    got = {r.op_id: (r.breach_seconds, r.sustained) for r in HL.sustained_breach(
+        df, ["op"], F.col("duration") > 100, 1800, order=("ts", "op_id")).collect()}
+    assert got == {1: (0, False), 2: (0, False), 3: (2400, True), 4: (27 * 3600, True), 5: (0, False), 6: (0, False)}
+
+
 def test_cluster_job_empty_and_unknown(spark):
     empty = spark.createDataFrame([], "id long, embedding array<double>")
     out = CL.cluster_job(empty, "density")
@@ -335,26 +363,43 @@ def test_partitioning_changes_nothing(spark):
     assert c1 == c2
 
 
-@pytest.mark.parametrize("m", [3])
-def test_distributed_leaf_pass_matches_local(spark, m):
-    X = np.vstack([rng.normal(c, 0.3, size=(4, 2)) for c in (0, 9)] + [rng.normal(30, 8, size=(2, 2))])
+@pytest.mark.parametrize("n,m,spread", [(10, 3, 0.3), (60, 2, 1.5), (60, 4, 0.8), (90, 5, 2.5)])
+def test_leaf_clusters_match_the_sequential_pass(spark, n, m, spread):
+    from tests.twins import leaf_clusters_local
+    X = np.vstack([rng.normal(c, spread, size=(n // 3, 2)) for c in (0, 6, 13)])
+    X[1] = X[0]  # copies: weight 0
     df = _vec_df(spark, X)
-    core = CL.core_distances(df, 2)
-    mst = CL.mutual_reachability_mst(df, core)
-    ids = df.select("id")
-    dist = CL.leaf_clusters_distributed(ids, mst, m).toPandas().sort_values("id")
-    loc, _ = CL.leaf_clusters_local(np.arange(len(X)), mst.toPandas(), m)
-    loc = loc.sort_values("id")
-
-    def partition(lab):
-        groups = {}
-        for i, c in zip(lab["id"], lab["cluster_id"]):
-            groups.setdefault(int(c), set()).add(int(i))
-        noise = groups.pop(-1, set())
-        return noise, sorted(sorted(g) for g in groups.values())
-
-    assert partition(dist) == partition(loc)
-    assert np.allclose(dist["cluster_probability"].to_numpy(), loc["cluster_probability"].to_numpy())
+    mst = CL.mutual_reachability_mst(df, CL.core_distances(df, 2)).cache()
+    lab, tree = CL.leaf_clusters(df.select("id"), mst, m)
+    lab, tree = lab.toPandas().sort_values("id"), tree.toPandas().sort_values("child")
+    want, want_tree = leaf_clusters_local(np.arange(len(X)), mst.toPandas(), m)
+
+    def groups(t):
+        return {frozenset(g["id"].tolist()) for c, g in t.groupby("cluster_id") if c >= 0}
+    assert groups(lab) == groups(want)
+    assert np.allclose(lab["cluster_probability"], want["cluster_probability"]) and np.allclose(lab["outlier_score"], want["outlier_score"])
+    assert np.allclose(tree["lambda_val"], want_tree["lambda_val"]) and sorted(tree["child_size"]) == sorted(want_tree["child_size"])
+
+
+def test_components_of_chains_and_stars(spark):
+    from gleaner.operators.graph import components
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 4999), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert set(got.values()) == {0, 1000, 4999} and len(got) == 301 + 201 + 2
+
+
+def test_leader_election_raises_without_progress(spark):
+    keys = spark.createDataFrame([(1,), (2,)], "key_ord long")
+    with pytest.raises(RuntimeError):
+        DD.elect_leaders(keys, spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"))
+
+
+def test_median_threshold_windows(spark):
+    hs = [float(x) for x in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)]
+    m = spark.createDataFrame([(i, i + 1, h) for i, h in enumerate(hs)], "a long, b long, height double")
+    for lo, hi in ((2, 10), (3, 5), (1, 4), (20, 30)):
+        pick = [hs[len(hs) - t + 1] for t in range(lo, hi + 1) if 0 <= len(hs) - t + 1 < len(hs)]
+        assert CL.median_threshold(m, lo, hi).first()[0] == float(np.median(pick or hs))
 
 
 def test_split_recursive_chunks_fit_and_cover_the_text():
