@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import chunks, components, decontaminate, lines, mix, pii, quality, simhash, substrings, suffixes, urls
+from gleaner.llm import chunks, decontaminate, lines, mix, pii, quality, simhash, substrings, suffixes, urls
+from gleaner.operators import graph
 from tests.llm.conftest import SCHEMA, edge_rows, prose, rows_of
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -89,13 +90,13 @@ def test_links_connect_all_pairs_within_three_bits(spark):
     for group_rows in (4096, 7):  # the latter cuts anchor groups into blocks
         e = simhash.links(nodes, 3, group_rows)
         assert e.count() < 8 * len(f)  # all pairs are many more with denser groups; each anchor gives a forest
-        got = {r.node: r.root for r in components.components(e).collect()}
+        got = {r.node: r.root for r in graph.components(e).collect()}
         assert [got.get(x, x) for x in f.tolist()] == want.tolist()
 
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 4999)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert set(got.values()) == {0, 1000, 4999} and len(got) == 301 + 201 + 2
 
 
@@ -365,7 +366,7 @@ def brute_substrings(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("first", [4, 13])
+@pytest.mark.parametrize("first", [2, 7, 13])
 def test_substrings_edge(edge, first):
     want = brute_substrings([(r[0], r[1]) for r in edge_rows()])
     got = substrings.dedup_substrings(edge, first=first).withColumn("sha", F.sha2("text", 256))
