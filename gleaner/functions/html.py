@@ -5,7 +5,7 @@ codegen): drop script/style blocks and comments, turn every tag into a line
 break, decode the named entities below, strip each
 line and drop empty ones.  ``html_to_text_exact`` runs the standard-library
 HTML tokenizer in an Arrow-batched UDF for pages whose markup the regular
-form cannot read (stray '<' in text, entities outside the table).
+form cannot read (stray '<' in text, named entities outside the table).
 """
 
 from __future__ import annotations
@@ -30,13 +30,31 @@ _BLOCKS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!-
 _TAG = r"<[a-zA-Z/!?][^>]*>"
 
 
+_NUMERIC = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _numeric_entities(x: Column) -> Column:
+    """Decimal and hexadecimal character references decoded; numbers that are no character become U+FFFD."""
+    def char(ref: Column) -> Column:
+        body = F.substring(ref, F.lit(3), F.length(ref) - 3)
+        is_hex = F.lower(F.substring(body, 1, 1)) == "x"
+        number = F.when(is_hex, F.conv(F.substring(body, F.lit(2), F.length(body)), 16, 10)).otherwise(body).cast("long")
+        bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        code = F.when(bad, F.lit(0xFFFD)).otherwise(number)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    pieces = F.split(x, _NUMERIC, -1)
+    refs = F.concat(F.transform(F.regexp_extract_all(x, F.lit(_NUMERIC), F.lit(0)), char), F.array(F.lit("")))
+    return F.array_join(F.zip_with(pieces, refs, lambda p, r: F.concat(p, r)), "")
+
+
 def html_to_text(c: str | Column) -> Column:
     """T01, JVM-side form."""
     x = F.col(c) if isinstance(c, str) else c
-    x = F.regexp_replace(x, _BLOCKS, "")
+    x = F.regexp_replace(x, _BLOCKS, "\n")
     x = F.regexp_replace(x, _TAG, "\n")
     for name, ch in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(ch))
+    x = F.when(x.rlike(_NUMERIC), _numeric_entities(x)).otherwise(x)
     x = F.replace(x, F.lit("&amp;"), F.lit("&"))
     lines = F.transform(F.split(x, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")

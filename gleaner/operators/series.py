@@ -120,10 +120,11 @@ def value_at_rank(df: DataFrame, value: str, index: Column) -> DataFrame:
     k = cum.join(n, how="cross").withColumn("_k", index)
     target = k.filter((F.col("_cum") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_cum"))).select(
         "_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_off"))
-    rows = d.join(F.broadcast(target), "_b")
-    w = Window.partitionBy("_b").orderBy("_v")
-    return rows.withColumn("_r", F.row_number().over(w) - 1).filter(F.col("_r") == F.col("_off")).select(
-        F.col("_v").alias(value))
+    # equal values are counted, not ranked row by row
+    vals = d.join(F.broadcast(target), "_b").groupBy("_b", "_off", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_b").orderBy("_v"))
+    return vals.withColumn("_upto", upto).filter(
+        (F.col("_upto") - F.col("_c") <= F.col("_off")) & (F.col("_off") < F.col("_upto"))).select(F.col("_v").alias(value))
 
 
 def dense_positions(rows: DataFrame, *order: Column) -> DataFrame:

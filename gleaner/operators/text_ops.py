@@ -31,12 +31,14 @@ def header_value(headers: Column, name: str, default: str) -> Column:
 
 
 def _b64url_decode(data: Column) -> Column:
-    return F.decode(F.unbase64(F.translate(data, "-_", "+/")), "UTF-8")
+    """Null where the bytes are not UTF-8."""
+    return F.try_validate_utf8(F.unbase64(F.translate(data, "-_", "+/")).cast("string"))
 
 
 def extract_html_body(payload: Column) -> Column:
     """First text/html part at top level or one level down, else the root body
-    when the root itself is text/html; base64url → UTF-8; '' when none."""
+    when the root itself is text/html; base64url → UTF-8; '' when none, null when the
+    body is not UTF-8."""
     parts = payload["parts"]
     part_t = ("array<struct<mimeType:string,body:struct<data:string>,"
               "parts:array<struct<mimeType:string,body:struct<data:string>>>>>")
@@ -50,7 +52,7 @@ def extract_html_body(payload: Column) -> Column:
     found = F.get(F.filter(F.flatten(per_part), lambda d: d.isNotNull() & (d != "")), 0)
     root = F.when(parts.isNull() & (payload["mimeType"] == "text/html"), payload["body"]["data"])
     data = F.when(parts.isNotNull(), found).otherwise(root)
-    return F.coalesce(_b64url_decode(data), F.lit(""))
+    return F.when(data.isNull(), F.lit("")).otherwise(_b64url_decode(data))
 
 
 def mail_rows(mime_df: DataFrame) -> DataFrame:
@@ -62,6 +64,11 @@ def mail_rows(mime_df: DataFrame) -> DataFrame:
         extract_html_body(p).alias("body_html")).filter(F.col("body_html") != "")
 
 
+def mail_rejects(mime_df: DataFrame) -> DataFrame:
+    """(id, reason) of the mails whose HTML body is not UTF-8."""
+    return mime_df.filter(extract_html_body(F.col("payload")).isNull()).select("id", F.lit("body is not UTF-8").alias("reason"))
+
+
 # ---------------------------------------------------------------------------
 # T02–T08 cleaning, size, chunks
 # ---------------------------------------------------------------------------

@@ -251,8 +251,15 @@ def c15_validate_partition(spark, sf):
     return v.select(F.array_join("issues", "; ").alias("issues"), _r6("quality_score").alias("quality_score"), "is_valid")
 
 
+def _top_duck(col: str) -> str:
+    return f"""t_{col} AS (SELECT cluster_id, array_to_string(list(v || ':' || CAST(c AS VARCHAR) ORDER BY r), ',') AS top_{col}
+         FROM (SELECT cluster_id, v, c, row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, f, p) AS r
+               FROM (SELECT cluster_id, v, count(*) AS c, min(ord) AS f, arg_min(p, (ord, p)) AS p
+                     FROM (SELECT cluster_id, ord, unnest({col}) AS v, unnest(range(1, len({col}) + 1)) AS p FROM dist) GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1)"""
+
+
 @register("c16_cluster_summaries", (with_ctes(ITEMS_DUCK, CLUSTERS_DUCK) + f"""
-, dist AS (SELECT c.id, c.cluster_id, c.headline, c.source, c.ord,
+, dist AS (SELECT c.id, c.cluster_id, c.headline, c.source, c.technologies, c.companies, c.ord,
                   sqrt(list_sum(list_transform(range(1, len(c.v) + 1), lambda k: (c.v[k] - t.c[k]) * (c.v[k] - t.c[k])))) AS d
            FROM clusters c JOIN cent t USING (cluster_id)),
 reps AS (SELECT cluster_id, coalesce(array_to_string(list_filter(list(headline ORDER BY d, ord), lambda x: x IS NOT NULL), ' | '), '') AS representatives FROM (
@@ -260,16 +267,19 @@ reps AS (SELECT cluster_id, coalesce(array_to_string(list_filter(list(headline O
 srcs AS (SELECT cluster_id, array_to_string(list(v || ':' || CAST(c AS VARCHAR) ORDER BY r), ',') AS top_sources
          FROM (SELECT cluster_id, v, c, row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, f) AS r
                FROM (SELECT cluster_id, source AS v, count(*) AS c, min(ord) AS f FROM dist GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1),
+{_top_duck("technologies")},
+{_top_duck("companies")},
 md AS (SELECT cluster_id, count(*) AS size, avg(d) AS mean_distance FROM dist GROUP BY 1)""").replace("\n, dist AS", ",\ndist AS", 1) + """
-SELECT cluster_id, size, representatives, top_sources, round(mean_distance, 6) AS mean_distance
-FROM md JOIN reps USING (cluster_id) JOIN srcs USING (cluster_id)""")
+SELECT cluster_id, size, representatives, top_sources, top_technologies, top_companies, round(mean_distance, 6) AS mean_distance
+FROM md JOIN reps USING (cluster_id) JOIN srcs USING (cluster_id) LEFT JOIN t_technologies USING (cluster_id) LEFT JOIN t_companies USING (cluster_id)""")
 def c16_cluster_summaries(spark, sf):
     return cluster_summaries(clusters(spark, sf)).select(
-        "cluster_id", "size", "representatives", "top_sources", _r6("mean_distance").alias("mean_distance"))
+        "cluster_id", "size", "representatives", "top_sources", "top_technologies", "top_companies", _r6("mean_distance").alias("mean_distance"))
 
 
 def cluster_summaries(c):
-    """Per (actual) cluster id: size, 3 representatives, top-3 sources, mean centroid distance."""
+    """Per (actual) cluster id: size, 3 representatives, top-3 sources, top-5
+    technologies and companies (null without any), mean centroid distance."""
     cent = CS.centroids(c)
     d = c.filter(F.col("cluster_id") != -1).join(cent.select("cluster_id", "centroid"), "cluster_id").withColumn(
         "dist", CS.l2_distance(CS.as_double("embedding"), F.col("centroid")))
@@ -278,7 +288,10 @@ def cluster_summaries(c):
     reps = ex.groupBy("cluster_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "headline"))), lambda s: s["headline"]), " | ").alias("representatives"))
     srcs = CS.value_counts_topk(c.filter(F.col("cluster_id") != -1), "source", 3).withColumnRenamed("top_source", "top_sources")
-    return md.join(reps, "cluster_id").join(srcs, "cluster_id")
+    out = md.join(reps, "cluster_id").join(srcs, "cluster_id")
+    for col in ("technologies", "companies"):
+        out = out.join(CS.value_counts_topk(c.filter(F.col("cluster_id") != -1), col, 5, explode=True), "cluster_id", "left")
+    return out
 
 
 @register("c17_cluster_items")

@@ -51,7 +51,7 @@ def s03_header_value(spark, sf):
 
 
 def _html_duck(x: str) -> str:
-    x = (f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', '', 'g')")
+    x = (f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', chr(10), 'g')")
     x = f"regexp_replace({x}, '<[a-zA-Z/!?][^>]*>', chr(10), 'g')"
     for name, ch in ENTITIES:
         x = f"replace({x}, {D.q(name)}, {D.q(ch)})"

@@ -418,3 +418,29 @@ def test_cooldown_is_partitioning_invariant(spark):
     a = sorted(r.alert_id for r in AL.alert_cooldown(al.repartition(1), 15).select("alert_id").collect())
     b = sorted(r.alert_id for r in AL.alert_cooldown(al.repartition(6), 15).select("alert_id").collect())
     assert a == b
+
+
+def test_html_blocks_break_lines_and_numeric_entities_decode(spark):
+    pages = ["a<!-- x -->b<script>s</script>c", "it&#8217;s &#xe9;t&#233; &#128512; &amp;#65; &#0;", "plain"]
+    got = [r.t for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").select(
+        "i", html_to_text("html").alias("t")).orderBy("i").collect()]
+    assert got == ["a\nb\nc", "it\u2019s \u00e9t\u00e9 \U0001F600 &#65; \ufffd", "plain"]
+
+
+def test_mail_body_that_is_not_utf8_is_rejected(spark):
+    import base64
+    from gleaner.operators import text_ops as TO
+    enc = lambda b: base64.urlsafe_b64encode(b).decode()
+    schema = ("id long, payload struct<mimeType:string,headers:array<struct<name:string,value:string>>,body:struct<data:string>,"
+              "parts:array<struct<mimeType:string,body:struct<data:string>,parts:array<struct<mimeType:string,body:struct<data:string>>>>>>")
+    rows = [(1, ("text/html", [], (enc("caf\u00e9".encode()),), None)), (2, ("text/html", [], (enc(b"\xff\xfe bad"),), None)),
+            (3, ("text/plain", [], (enc(b"x"),), None))]
+    df = spark.createDataFrame(rows, schema)
+    assert [r.body_html for r in TO.mail_rows(df).collect()] == ["caf\u00e9"]
+    assert [r.id for r in TO.mail_rejects(df).collect()] == [2]
+
+
+def test_value_at_rank_of_a_constant_column(spark):
+    df = spark.createDataFrame([(5.0,)] * 50 + [(7.0,)], "value double")
+    assert [r[0] for r in S.value_at_rank(df, "value", F.col("_n") - 1).collect()] == [7.0]
+    assert [r[0] for r in S.value_at_rank(df, "value", F.col("_n") - 2).collect()] == [5.0]
