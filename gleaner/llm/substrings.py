@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cover, keyed_table, materialize, partitions, plain, prepare, restored, texts_of
 
-WINDOW, FIRST = 13, 4
+WINDOW, FIRST = 13, 7
 BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FLUSH_ROWS, NO_ID = 1 << 18, (1 << 63) - 1
 
