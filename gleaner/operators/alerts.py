@@ -6,12 +6,15 @@ log ``alert_actions(alert_id, action in {acknowledge, resolve}, action_ts)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .metrics import since
-from .series import prefix_agg
+from .series import prefix_agg, row_pieces
 
 
 # ---------------------------------------------------------------------------
@@ -33,7 +36,7 @@ def threshold_alerts(values: DataFrame, rules: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # M04 cooldown (batch): exact, parallel
 # ---------------------------------------------------------------------------
-def _next_pointer(al: DataFrame, cooldown_us: int, bucket_us: int) -> DataFrame:
+def _next_pointer(al: DataFrame, cooldown_us: int) -> DataFrame:
     """For each alert: the first alert of the same type at or after ts + cooldown.
 
     Probes (ts + cooldown) and alerts are merged in one time order per type; a
@@ -48,7 +51,7 @@ def _next_pointer(al: DataFrame, cooldown_us: int, bucket_us: int) -> DataFrame:
                        F.lit(None).cast("struct<t:bigint,id:bigint>").alias("_cand"),
                        F.col("alert_id").alias("_probe_of"))
     merged = data.unionByName(probes)
-    suf = prefix_agg(merged, ["alert_type"], ["_t", "_kind"], F.floor(F.col("_t") / bucket_us),
+    suf = prefix_agg(merged, ["alert_type"], ["_t", "_kind", F.coalesce("_probe_of", "_cand.id")], None,
                      {"_next": ("min", "_cand")}, descending=True)
     return suf.filter(F.col("_kind") == 0).select(F.col("_probe_of").alias("alert_id"),
                                                   F.col("_next.id").alias("next_id"))
@@ -67,7 +70,7 @@ def alert_cooldown(al: DataFrame, minutes: int = 15) -> DataFrame:
     """
     cd_us = minutes * 60 * 1_000_000
     a = al.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    nxt = cut_lineage(_next_pointer(a, cd_us, cd_us * 4))
+    nxt = cut_lineage(_next_pointer(a, cd_us))
     jumps = [nxt.withColumnRenamed("next_id", "j")]
     while True:
         cur = jumps[-1]
@@ -88,41 +91,75 @@ def alert_cooldown(al: DataFrame, minutes: int = 15) -> DataFrame:
 # ---------------------------------------------------------------------------
 # M05 cooldown + duplicate suppression (batch)
 # ---------------------------------------------------------------------------
+def alert_events(al: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Alerts (kind 1) and their resolutions (kind 0) as one time line
+    ``(alert_id, alert_type, message, ts, kind)``; ``resolved`` is the part of the
+    action log ``(alert_id, action_ts)`` that resolves."""
+    cols = ("alert_id", "alert_type", "message", "ts", "kind")
+    ev = al.withColumn("kind", F.lit(1)).select(*cols)
+    if resolved is None:
+        return ev
+    done = resolved.groupBy("alert_id").agg(F.min("action_ts").alias("_done"))
+    res = al.select("alert_id", "alert_type", "message").join(done, "alert_id").withColumn("kind", F.lit(0))
+    return ev.unionByName(res.withColumnRenamed("_done", "ts").select(*cols))
+
+
+def walk_alerts(events: pd.DataFrame, last: int | None, open_: dict[str, int], cooldown_us: int, dedup: bool):
+    """One stretch of a type's time line in order: (sent alert ids, last sent time, open messages)."""
+    sent = []
+    for aid, msg, us, kind in zip(events["alert_id"], events["message"], events["us"], events["kind"]):
+        if kind == 0:
+            if open_.get(msg) == aid:
+                del open_[msg]
+        elif (last is None or us >= last + cooldown_us) and not (dedup and msg in open_):
+            sent.append(int(aid))
+            last = int(us)
+            if dedup:
+                open_[msg] = int(aid)
+    return sent, last, open_
+
+
 def alert_dedup(al: DataFrame, minutes: int = 15, resolved: DataFrame | None = None) -> DataFrame:
-    """Cooldown plus "no second alert while an unresolved one has the same type and
-    message".  Without resolutions each (type, message) is sent at most once, so
-    the walk takes one round per message of the busiest type; each round is
-    one grouped minimum (map-side partial aggregation) against a one-row-per-
-    type state that is broadcast.
+    """Cooldown plus "no second alert while an unresolved one has the same type and
+    message"; a resolution at or before an alert's time frees its message.
+
+    What is sent depends on everything sent before, so a type is walked in order,
+    in stretches of bounded row count (``row_pieces``): round r walks the r-th
+    stretch of every type in parallel and hands on one state row per type.
     """
-    if resolved is not None:
-        raise NotImplementedError("resolution-aware dedup runs in the streaming operator")
     cd_us = minutes * 60 * 1_000_000
-    a = al.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ev = alert_events(al, resolved).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    order = ["us", "kind", "alert_id"]
+    pieces = row_pieces(ev, ["alert_type"], order)
+    rounds = written(pieces.select("alert_type", "_piece").distinct().withColumn(
+        "_round", F.row_number().over(Window.partitionBy("alert_type").orderBy("_piece"))), "rounds")
+    last_round = rounds.agg(F.max("_round")).first()[0] or 0
     spark = al.sparkSession
-    state = spark.createDataFrame([], "alert_type string, last_us bigint, sent array<string>")
-    sent_all = None
-    while True:
-        cand = (a.join(F.broadcast(state), "alert_type", "left")
-                .filter((F.col("last_us").isNull() | (F.col("_us") >= F.col("last_us") + cd_us))
-                        & ~F.coalesce(F.array_contains(F.col("sent"), F.col("message")), F.lit(False))))
-        pick = cand.groupBy("alert_type").agg(F.min_by(F.struct("alert_id", "_us", "message"),
-                                                       F.struct("_us", "alert_id")).alias("p"))
-        pick = cut_lineage(pick)
-        if pick.limit(1).count() == 0:
-            break
-        new_rows = pick.select("alert_type", F.col("p.alert_id").alias("alert_id"))
-        sent_all = new_rows if sent_all is None else sent_all.unionByName(new_rows)
-        state = cut_lineage(
-            state.join(pick, "alert_type", "full").select(
-                "alert_type",
-                F.coalesce(F.col("p._us"), F.col("last_us")).alias("last_us"),
-                F.when(F.col("p").isNull(), F.col("sent"))
-                 .otherwise(F.concat(F.coalesce(F.col("sent"), F.array().cast("array<string>")),
-                                     F.array(F.col("p.message")))).alias("sent")))
-    if sent_all is None:
+    state_schema = "alert_type string, alert_id long, last_us long, open map<string,long>"
+    state = spark.createDataFrame([], state_schema)
+
+    def stretch(events: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if events.empty:
+            return before
+        last, open_ = None, {}
+        if len(before):
+            last = None if pd.isna(before["last_us"].iloc[0]) else int(before["last_us"].iloc[0])
+            open_ = dict(before["open"].iloc[0] or {})
+        sent, last, open_ = walk_alerts(events.sort_values(order, kind="mergesort"), last, open_, cd_us, True)
+        kind = events["alert_type"].iloc[0]
+        rows = [(kind, aid, None, None) for aid in sent] + [(kind, None, last, open_)]
+        out = pd.DataFrame(rows, columns=["alert_type", "alert_id", "last_us", "open"])
+        return out.astype({"alert_id": "Int64", "last_us": "Int64"})
+
+    sent = []
+    for r in range(1, last_round + 1):
+        part = pieces.join(rounds.filter(F.col("_round") == r), ["alert_type", "_piece"])
+        out = written(part.groupBy("alert_type").cogroup(state.groupBy("alert_type")).applyInPandas(stretch, state_schema), "walk")
+        sent.append(out.filter(F.col("alert_id").isNotNull()).select("alert_id"))
+        state = out.filter(F.col("alert_id").isNull())
+    if not sent:
         return al.limit(0)
-    return al.join(sent_all.select("alert_id"), "alert_id", "left_semi")
+    return al.join(functools.reduce(DataFrame.unionByName, sent), "alert_id", "left_semi")
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import since
-from .series import islands
+from .series import islands, prefix_agg, row_pieces
 
 
 def overall_health(checks: DataFrame) -> DataFrame:
@@ -46,10 +46,9 @@ def status_changes(rounds: DataFrame) -> DataFrame:
                "service_recovered"))
 
 
-def consecutive_failures(checks: DataFrame, bucket=None) -> DataFrame:
+def consecutive_failures(checks: DataFrame) -> DataFrame:
     """Per dependency, length of the current run of non-healthy checks (0 when healthy)."""
-    b = bucket if bucket is not None else F.date_trunc("day", "ts")
-    return islands(checks, ["dependency"], ["ts", "check_id"], F.col("status") != "healthy", b).withColumnRenamed(
+    return islands(checks, ["dependency"], ["ts", "check_id"], F.col("status") != "healthy").withColumnRenamed(
         "run_length", "consecutive_failures")
 
 
@@ -130,7 +129,7 @@ def pressure_report(readings: DataFrame, memory_limit_gb: float = 2.0) -> DataFr
         "healthy", F.size("issues") == 0)
 
 
-def sustained_breach(df: DataFrame, partition: Sequence[str], flag, span_seconds: int, bucket=None,
+def sustained_breach(df: DataFrame, partition: Sequence[str], flag, span_seconds: int,
                      order: Sequence[str] = ("ts",)) -> DataFrame:
     """Rows where the breach flag has held continuously for at least ``span_seconds``.
 
@@ -138,12 +137,11 @@ def sustained_breach(df: DataFrame, partition: Sequence[str], flag, span_seconds
     islands: a run starts where its length is 1, and the current start is the
     running maximum of those times, so the scan scales like ``prefix_agg``.
     """
-    from .series import islands, prefix_agg
-    b = bucket if bucket is not None else F.date_trunc("day", "ts")
     d = df.withColumn("_breach", flag).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    d = islands(d, partition, list(order), "_breach", b)
-    d = prefix_agg(d, partition, list(order), b, {"_start": ("max", F.when(F.col("run_length") == 1, F.col("_us")))})
+    d = row_pieces(d, partition, order)
+    d = islands(d, partition, list(order), "_breach", "_piece")
+    d = prefix_agg(d, partition, list(order), "_piece", {"_start": ("max", F.when(F.col("run_length") == 1, F.col("_us")))})
     return d.withColumn(
         "breach_seconds", F.when(F.col("_breach"), (F.col("_us") - F.col("_start")) / 1e6).otherwise(F.lit(0.0))
     ).withColumn("sustained", F.col("_breach") & (F.col("breach_seconds") >= span_seconds)).drop(
-        "_breach", "_us", "_start", "run_length")
+        "_breach", "_us", "_start", "run_length", "_piece")

@@ -47,12 +47,10 @@ def gauge_latest(df: DataFrame) -> DataFrame:
                  F.max("ts").alias("ts")))
 
 
-def running_counter(df: DataFrame, bucket: Column | None = None) -> DataFrame:
+def running_counter(df: DataFrame) -> DataFrame:
     """Cumulative counter value at each increment (two-level running sum)."""
     d = with_key(df).filter(F.col("metric_type") == "counter")
-    return prefix_agg(d, ["metric_key"], ["ts", "event_id"],
-                      bucket if bucket is not None else F.date_trunc("day", "ts"),
-                      {"running_value": ("sum", "increment")})
+    return prefix_agg(d, ["metric_key"], ["ts", "event_id"], None, {"running_value": ("sum", "increment")})
 
 
 def histogram_summary(df: DataFrame, n: int = 1000) -> DataFrame:
@@ -145,6 +143,12 @@ def export_json(summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct(*summary.columns)).alias("value"))
 
 
+def export_history(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Append one JSON line per row to the history files under ``path``."""
+    df.write.mode(mode).json(path)
+
+
+
 def _clean_name(c: Column) -> Column:
     return F.translate(c, ".[=,]", "____")
 

@@ -101,10 +101,24 @@ def run_issues(runs: DataFrame) -> DataFrame:
     return runs.withColumn("issues", issues)
 
 
+# FIXED VALUES — recommendation given with an issue of a type (none for the others)
+RECOMMENDATIONS = {
+    "silhouette": "Consider adjusting clustering parameters or using different algorithm",
+    "coherence": "Clusters may be too loose. Consider stricter parameters",
+    "diversity": "Clusters may be biased toward specific sources",
+}
+
+
+def recommendation(kind: Column) -> Column:
+    """The recommendation for an issue type; null when there is none."""
+    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in RECOMMENDATIONS.items()])
+
+
 def issue_counts(runs: DataFrame) -> DataFrame:
-    """Issues by type over all runs."""
-    ex = run_issues(runs).select(F.explode("issues").alias("issue"))
-    return ex.groupBy(issue_type(F.col("issue")).alias("issue_type")).agg(F.count(F.lit(1)).alias("issues"))
+    """Issues by type over all runs, and how many recommendations came with them."""
+    ex = run_issues(runs).select(F.explode("issues").alias("issue")).withColumn("issue_type", issue_type(F.col("issue")))
+    return ex.groupBy("issue_type").agg(F.count(F.lit(1)).alias("issues"),
+                                        F.count(recommendation(F.col("issue_type"))).alias("recommendations"))
 
 
 def run_quality_alerts(runs: DataFrame, min_score: float = 0.2, max_issues: int = 3) -> DataFrame:
@@ -257,9 +271,10 @@ def service_status(health_ok: DataFrame, memory: DataFrame, quality: DataFrame,
 
 
 def diversity_alerts(runs: DataFrame, min_source_diversity: float = P.VALIDATION["min_source_diversity"]) -> DataFrame:
-    """Diversity gauges per run and an alert row when source diversity is low."""
-    g = runs.select("run_ts", F.explode(F.array(
-        F.struct(F.lit("quality.diversity.source").alias("gauge"), F.col("source_diversity").alias("value")),
-        F.struct(F.lit("quality.diversity.coherence").alias("gauge"), F.col("coherence").alias("value")),
-    )).alias("g")).select("run_ts", "g.gauge", "g.value")
+    """The four diversity gauges per run (a null one gives no row), with an alert when
+    source diversity is low."""
+    g = runs.select("run_ts", F.explode(F.array(*[
+        F.struct(F.lit(f"quality.diversity.{n}").alias("gauge"), F.col(f"{n}_diversity").cast("double").alias("value"))
+        for n in ("source", "cluster_size", "temporal", "topic")
+    ])).alias("g")).select("run_ts", "g.gauge", "g.value").filter(F.col("value").isNotNull())
     return g.withColumn("alert", (F.col("gauge") == "quality.diversity.source") & (F.col("value") < min_source_diversity))

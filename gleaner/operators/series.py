@@ -2,11 +2,11 @@
 
 ``prefix_agg`` is the workhorse.  A running aggregate over one window
 partition per key would put a hot key (say a third of all rows) into a single
-task.  Instead rows are cut into (key, time bucket) pieces: a window runs
-inside each piece, one small table holds the per-bucket totals, and the
-running total of earlier buckets is added back by a join.  The result is
-exact for any associative aggregate (sum, count, max, min) and the work per
-task is bounded by the bucket width, not by the key's size.
+task.  Instead rows are cut into (key, piece): a window runs inside each piece,
+one small table holds the per-piece totals, and the running total of earlier
+pieces is added back by a join.  The result is exact for any associative
+aggregate (sum, max, min).  ``row_pieces`` cuts by a range sort, so a task is
+bounded by a number of rows however hot a key, or one of its days, is.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+_PIECE = "_piece"
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -25,16 +26,29 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def row_pieces(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``df`` plus ``_piece``, which grows with (``partition``, ``order``).
+
+    The rows are range-partitioned by sampled bounds and written to the shared
+    checkpoint folder; a row's piece is its range, so pieces hold about equal
+    numbers of rows.  ``order`` should be unique: equal rows share a range.
+    """
+    keys = [F.col(c) for c in partition] + [_c(o) for o in order]
+    return written(df.orderBy(*keys).withColumn(_PIECE, F.shiftright(F.monotonically_increasing_id(), 33)), "pieces")
+
+
 def prefix_agg(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column],
-               bucket: str | Column, specs: dict[str, tuple[str, str | Column]],
+               bucket: str | Column | None, specs: dict[str, tuple[str, str | Column]],
                descending: bool = False) -> DataFrame:
     """Running aggregates over rows ordered by ``order`` within ``partition``.
 
-    ``bucket`` must be monotone in the order (e.g. ``date_trunc('hour', ts)``).
-    ``specs`` maps an output column to ``(fn, value)``, fn in sum/max/min; the
-    frame is "all rows up to and including this one".  With ``descending``
-    the series runs from the last row backwards (suffix aggregates).
+    ``bucket`` must be monotone in the order; None cuts the rows by
+    ``row_pieces``.  ``specs`` maps an output column to ``(fn, value)``, fn in
+    sum/max/min; the frame is "all rows up to and including this one".  With
+    ``descending`` the series runs from the last row backwards (suffix aggregates).
     """
+    if bucket is None:
+        return prefix_agg(row_pieces(df, partition, order), partition, order, _PIECE, specs, descending).drop(_PIECE)
     part = list(partition)
     b = "_pa_bucket"
     d = df.withColumn(b, _c(bucket))
@@ -47,7 +61,11 @@ def prefix_agg(df: DataFrame, partition: Sequence[str], order: Sequence[str | Co
     w_b = Window.partitionBy(*part).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part, b, *[_AGG[fn](F.col(f"_bt_{name}")).over(w_b).alias(f"_off_{name}")
                                   for name, (fn, _v) in specs.items()])
-    d = d.join(offs, on=[*part, b], how="left")
+    offs = offs.select(*[F.col(c).alias(f"_k_{c}") for c in [*part, b]], *[f"_off_{name}" for name in specs])
+    same = F.lit(True)
+    for c in [*part, b]:
+        same = same & d[c].eqNullSafe(offs[f"_k_{c}"])
+    d = d.join(offs, same, "left").drop(*[f"_k_{c}" for c in [*part, b]])
     for name, (fn, _v) in specs.items():
         inner, off = F.col(f"_in_{name}"), F.col(f"_off_{name}")
         if fn == "sum":
@@ -88,13 +106,15 @@ def trend_label(first_mean: Column, second_mean: Column, n: Column, band: float
 
 
 def islands(df: DataFrame, partition: Sequence[str], order: Sequence[str], flag: str | Column,
-            bucket: str | Column) -> DataFrame:
+            bucket: str | Column | None = None) -> DataFrame:
     """Gaps and islands: ``run_length`` = rows in the current run of true ``flag``.
 
     0 on rows where the flag is false.  Built from two running aggregates
     (row position and position of the last false row), so it scales like
     ``prefix_agg``.
     """
+    if bucket is None:
+        return islands(row_pieces(df, partition, order), partition, order, flag, _PIECE).drop(_PIECE)
     d = df.withColumn("_flag", _c(flag).cast("boolean"))
     d = prefix_agg(d, partition, order, bucket, {"_pos": ("sum", F.lit(1))})
     d = prefix_agg(d, partition, order, bucket,

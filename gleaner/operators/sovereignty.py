@@ -89,6 +89,11 @@ def full_analysis_flag(df: DataFrame, statuses: DataFrame) -> DataFrame:
     return df.join(F.broadcast(statuses), df["reality_status"] == statuses["status"], "left").drop("status")
 
 
+def rule_lookup(df: DataFrame, rules: DataFrame, id_col: str = "rule_id") -> DataFrame:
+    """A rule id → its title (null when the id is unknown; the row is kept)."""
+    return df.join(F.broadcast(rules.select(F.col("id").alias(id_col), F.col("title").alias("rule_title"))), id_col, "left")
+
+
 def thesis_lookup(df: DataFrame, theses: DataFrame, ids_col: str = "aligned_theses") -> DataFrame:
     """Each aligned thesis id → its title (null when the id is unknown; the row is kept)."""
     ex = df.select("item_id", F.posexplode_outer(ids_col).alias("pos", "thesis_id"))

@@ -48,25 +48,26 @@ def cache_lookup(requests: DataFrame, store: DataFrame, as_of, ttl_hours: float
     return requests.join(fresh, "key", "left").withColumn("hit", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 
 
-def evict_to_size(store: DataFrame, max_bytes: int, target: float = P.CACHE_TRIM_TARGET,
-                  bucket_seconds: int = 86_400) -> DataFrame:
+def evict_to_size(store: DataFrame, max_bytes: int, target: float = P.CACHE_TRIM_TARGET) -> DataFrame:
     """Once the total passes ``max_bytes``, the oldest entries go until the rest is
     ≤ target·max.  Entry i (oldest first) is evicted iff total − Σ sizes before i > target·max.
     The running sum is two-level (``prefix_agg``), not one global window."""
     tot = store.agg(F.sum("size_bytes").alias("_total"))
-    d = prefix_agg(store, [], ["created_at", "key"],
-                   F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / (bucket_seconds * 1_000_000)),
-                   {"_upto": ("sum", "size_bytes")})
+    d = prefix_agg(store, [], ["created_at", "key"], None, {"_upto": ("sum", "size_bytes")})
     d = d.crossJoin(F.broadcast(tot))
     before = F.col("_upto") - F.col("size_bytes")
     evict = (F.col("_total") > max_bytes) & (F.col("_total") - before > target * max_bytes)
     return d.withColumn("evicted", evict).drop("_upto", "_total")
 
 
-def store_stats(store: DataFrame) -> DataFrame:
-    """Entries, total size, newest entry."""
-    return store.agg(F.count(F.lit(1)).alias("entries"), F.sum("size_bytes").alias("total_bytes"),
-                     F.max("created_at").alias("newest"))
+def store_stats(store: DataFrame, cleanups: DataFrame | None = None) -> DataFrame:
+    """Entries, total size, newest entry, and the last cleanup of the log
+    ``cleanups(cleaned_at)`` (null without one)."""
+    stats = store.agg(F.count(F.lit(1)).alias("entries"), F.sum("size_bytes").alias("total_bytes"),
+                      F.max("created_at").alias("newest"))
+    if cleanups is None:
+        return stats.withColumn("last_cleanup", F.lit(None).cast("timestamp_ntz"))
+    return stats.crossJoin(cleanups.agg(F.max("cleaned_at").alias("last_cleanup")))
 
 
 def hit_rate(hits: DataFrame, requests: DataFrame) -> DataFrame:

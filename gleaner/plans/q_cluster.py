@@ -325,14 +325,13 @@ def t32_batch_index(spark, sf):
     return batch_index(items(spark, sf), 32).select("item_id", "batch")
 
 
-def batch_index(df: DataFrame, size: int, order: str = "ord", span: int = 100_000) -> DataFrame:
+def batch_index(df: DataFrame, size: int, order: str = "ord") -> DataFrame:
     """Batch number by position, floor((position − 1) / size).
 
-    Position is a running count; it runs per ``order`` range of ``span``
-    (two-level, like every running aggregate here), so no single task sees
-    the whole table.
+    Position is a running count; it runs per range of rows (two-level, like
+    every running aggregate here), so no single task sees the whole table.
     """
-    r = prefix_agg(df, [], [order], F.floor(F.col(order) / span), {"_pos": ("sum", F.lit(1))})
+    r = prefix_agg(df, [], [order], None, {"_pos": ("sum", F.lit(1))})
     return r.withColumn("batch", F.floor((F.col("_pos") - 1) / size).cast("long")).drop("_pos")
 
 

@@ -9,6 +9,7 @@ from .. import params as P
 from ..operators import cluster_stats as CS
 from ..operators import clustering as CL
 from ..operators import vectors as VX
+from ..operators.runs import issue_type, recommendation
 from ..session import written
 from ..sources.fixtures import ITEMS_DUCK, with_ctes
 from ..sources.tables import table
@@ -202,7 +203,8 @@ def c12_partition_quality(spark, sf):
 
 
 def validate_partition(c, id_col: str = "id") -> "DataFrame":
-    """Basic issues, threshold issues, score and validity of one labelled partition."""
+    """Basic issues, threshold issues with their recommendations, score and validity
+    of one labelled partition."""
     lim = P.VALIDATION
     shape = CS.run_shape(c)
     sil = VX.silhouette(c)
@@ -220,8 +222,9 @@ def validate_partition(c, id_col: str = "id") -> "DataFrame":
         F.when(F.col("source_diversity") < lim["min_source_diversity"], F.lit("Source diversity below minimum"))))
     score = (F.coalesce((F.col("silhouette") + 1.0) / 2.0 * 0.4, F.lit(0.0)) + F.col("coherence") * 0.3
              + F.col("source_diversity") * 0.2 + F.greatest(F.lit(0.0), 1.0 - F.col("noise_ratio") * 2.0) * 0.1)
+    advice = F.array_compact(F.transform(thresh, lambda i: recommendation(issue_type(i))))
     return j.select(
-        F.concat(basic, thresh).alias("issues"), score.alias("quality_score"),
+        F.concat(basic, thresh).alias("issues"), advice.alias("recommendations"), score.alias("quality_score"),
         ((F.size(basic) == 0) & (F.size(thresh) == 0) & (score >= lim["min_score"])).alias("is_valid"))
 
 
@@ -244,11 +247,19 @@ val AS (
 
 
 @register("c15_validate_partition", _VAL_DUCK + """
-SELECT array_to_string(issues, '; ') AS issues, round(quality_score, 6) AS quality_score,
+SELECT array_to_string(issues, '; ') AS issues, coalesce(array_to_string(list_filter([
+         CASE WHEN list_contains(issues, 'Silhouette score below minimum')
+              THEN 'Consider adjusting clustering parameters or using different algorithm' END,
+         CASE WHEN list_contains(issues, 'Cluster coherence below minimum')
+              THEN 'Clusters may be too loose. Consider stricter parameters' END,
+         CASE WHEN list_contains(issues, 'Source diversity below minimum')
+              THEN 'Clusters may be biased toward specific sources' END], lambda x: x IS NOT NULL), '; '), '') AS recommendations,
+       round(quality_score, 6) AS quality_score,
        len(issues) = 0 AND quality_score >= 0.3 AS is_valid FROM val""")
 def c15_validate_partition(spark, sf):
     v = validate_partition(clusters(spark, sf))
-    return v.select(F.array_join("issues", "; ").alias("issues"), _r6("quality_score").alias("quality_score"), "is_valid")
+    return v.select(F.array_join("issues", "; ").alias("issues"),
+                    F.array_join("recommendations", "; ").alias("recommendations"), _r6("quality_score").alias("quality_score"), "is_valid")
 
 
 def _top_duck(col: str) -> str:

@@ -9,6 +9,7 @@ from ..operators import health as H
 from ..operators import metrics as M
 from ..operators import runs as R
 from ..operators.series import keep_last
+from ..session import scratch_path
 from ..sources import event_views as V
 from ..sources.fixtures import with_ctes
 from .registry import register
@@ -179,8 +180,10 @@ SELECT CAST(to_json({'run_day': CAST(run_day AS VARCHAR), 'algorithm': algorithm
 FROM run_log_v""")
 def s12_export_history(spark, sf):
     runs = V.run_log(spark, sf)
-    return M.export_json(runs.select(F.col("run_day").cast("string").alias("run_day"), "algorithm", "items",
-                                     "clusters", "noise"))
+    rows = runs.select(F.col("run_day").cast("string").alias("run_day"), "algorithm", "items", "clusters", "noise")
+    path = scratch_path(spark, "history")
+    M.export_history(rows, path)
+    return spark.read.text(path)
 
 
 # ----------------------------------------------------------------------------
@@ -428,19 +431,30 @@ def m04_alert_cooldown(spark, sf):
     return AL.alert_cooldown(V.alerts(spark, sf), 15).select("alert_id", "alert_type")
 
 
-@register("m05_alert_dedup", with_ctes(V.ALERTS_DUCK).replace("WITH ", "WITH RECURSIVE ", 1) + """
+def resolutions(spark, sf):
+    return V.alert_actions(spark, sf).filter(F.col("action") == "resolve")
+
+
+@register("m05_alert_dedup", with_ctes(V.ALERTS_DUCK, V.ACTIONS_DUCK, """
+ends AS (
+  SELECT alert_id, alert_type, ts, message, coalesce(r.done, TIMESTAMP '9999-01-01') AS done
+  FROM alerts LEFT JOIN (SELECT alert_id, min(action_ts) AS done FROM alert_actions WHERE action = 'resolve' GROUP BY 1) r
+       USING (alert_id)
+)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
 , st(alert_type, alert_id, ts, sent) AS (
-  SELECT alert_type, arg_min(alert_id, (ts, alert_id)), min(ts), [arg_min(message, (ts, alert_id))]
-  FROM alerts GROUP BY alert_type
+  SELECT alert_type, arg_min(alert_id, (ts, alert_id)), min(ts),
+         [{'m': arg_min(message, (ts, alert_id)), 'done': arg_min(done, (ts, alert_id))}]
+  FROM ends GROUP BY alert_type
   UNION ALL
-  SELECT s.alert_type, n.alert_id, n.ts, list_append(s.sent, n.message)
-  FROM st s JOIN alerts n ON n.alert_type = s.alert_type AND n.ts >= s.ts + INTERVAL 15 MINUTE
-       AND NOT list_contains(s.sent, n.message)
+  SELECT s.alert_type, n.alert_id, n.ts,
+         list_append(list_filter(s.sent, lambda x: x.done > n.ts), {'m': n.message, 'done': n.done})
+  FROM st s JOIN ends n ON n.alert_type = s.alert_type AND n.ts >= s.ts + INTERVAL 15 MINUTE
+       AND len(list_filter(s.sent, lambda x: x.m = n.message AND x.done > n.ts)) = 0
   QUALIFY row_number() OVER (PARTITION BY s.alert_type ORDER BY n.ts, n.alert_id) = 1
 )
 SELECT alert_id, alert_type FROM st""")
 def m05_alert_dedup(spark, sf):
-    return AL.alert_dedup(V.alerts(spark, sf), 15).select("alert_id", "alert_type")
+    return AL.alert_dedup(V.alerts(spark, sf), 15, resolutions(spark, sf)).select("alert_id", "alert_type")
 
 
 # ----------------------------------------------------------------------------
@@ -616,7 +630,8 @@ iss AS (
 
 
 @register("a28_issue_counts", with_ctes(V.RUNLOG_DUCK, _ISSUES_D) +
-          "SELECT k AS issue_type, count(*) AS issues FROM (SELECT unnest(kinds) AS k FROM iss) GROUP BY 1")
+          "SELECT k AS issue_type, count(*) AS issues, count(*) FILTER (k <> 'noise') AS recommendations "
+          "FROM (SELECT unnest(kinds) AS k FROM iss) GROUP BY 1")
 def a28_issue_counts(spark, sf):
     return R.issue_counts(_runs(spark, sf))
 
@@ -723,7 +738,10 @@ def a29_fallback_rate(spark, sf):
 SELECT CAST(run_day AS VARCHAR) AS run_day, g.gauge, round(g.value, 6) AS value,
        g.gauge = 'quality.diversity.source' AND g.value < 0.2 AS alert
 FROM (SELECT run_day, unnest([{'gauge': 'quality.diversity.source', 'value': source_diversity},
-                              {'gauge': 'quality.diversity.coherence', 'value': coherence}]) AS g FROM run_log_v)""")
+                              {'gauge': 'quality.diversity.cluster_size', 'value': cluster_size_diversity},
+                              {'gauge': 'quality.diversity.temporal', 'value': temporal_diversity},
+                              {'gauge': 'quality.diversity.topic', 'value': topic_diversity}]) AS g FROM run_log_v)
+WHERE g.value IS NOT NULL""")
 def m27_diversity_alerts(spark, sf):
     r = _runs(spark, sf)
     d = R.diversity_alerts(r.withColumn("run_ts", F.col("run_day")))

@@ -6,18 +6,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alerts as AL
 from ..sources import event_views as V
 from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from ..sources.tables import table
 from ..streaming import streams as SS
 from .q_cluster import CLUSTERS_DUCK, clusters
-from .q_monitor import TSD, TSF
+from .q_monitor import TSD, TSF, resolutions
 from .registry import ORACLES, register
 
 
-def _alerts_stream(spark, sf):
-    al = V.alerts(spark, sf)
-    path, schema = SS.land_in_order(al, 4)
+def _alerts_stream(spark, sf, resolved=None):
+    path, schema = SS.land_in_order(AL.alert_events(V.alerts(spark, sf), resolved), 4)
     return SS.read_stream(spark, path, schema)
 
 
@@ -48,7 +48,7 @@ def m04_alert_cooldown_stream(spark, sf):
 
 @register("m05_alert_dedup_stream")
 def m05_alert_dedup_stream(spark, sf):
-    out = SS.run_available_now(SS.alert_cooldown_stream(_alerts_stream(spark, sf), 15, dedup=True), "m05")
+    out = SS.run_available_now(SS.alert_cooldown_stream(_alerts_stream(spark, sf, resolutions(spark, sf)), 15, dedup=True), "m05")
     return spark.read.parquet(out).select("alert_id", "alert_type")
 
 

@@ -186,17 +186,22 @@ def g10_full_analysis_flag(spark, sf):
 _THESES_D = ("theses AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {D.q(t)}, {D.q(c)})" for i, t, c in __import__("gleaner.params", fromlist=["THESES"]).THESES) +
     ") t(id, title, category))")
+_RULES_D = ("rules AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {D.q(t)})" for i, t in __import__("gleaner.params", fromlist=["RULES"]).RULES) + ") t(id, title))")
 
 
-@register("j10_rule_lookup", with_ctes(ITEMS_DUCK, _THESES_D) + """
-SELECT item_id, CAST(pos AS INTEGER) AS pos, thesis_id, title, category FROM (
+@register("j10_rule_lookup", with_ctes(ITEMS_DUCK, _THESES_D, _RULES_D) + """
+SELECT item_id, CAST(pos AS INTEGER) AS pos, thesis_id, theses.title, category,
+       CAST(1 + item_id % 14 AS INTEGER) AS rule_id, rules.title AS rule_title FROM (
   SELECT item_id, generate_subscripts(aligned_theses, 1) - 1 AS pos, unnest(aligned_theses) AS thesis_id FROM items
   WHERE len(aligned_theses) > 0
   UNION ALL SELECT item_id, NULL, NULL FROM items WHERE len(aligned_theses) = 0) x
-LEFT JOIN theses ON theses.id = x.thesis_id""")
+LEFT JOIN theses ON theses.id = x.thesis_id LEFT JOIN rules ON rules.id = 1 + item_id % 14""")
 def j10_rule_lookup(spark, sf):
-    return SV.thesis_lookup(items(spark, sf), SV.thesis_table(spark)).select(
-        "item_id", "pos", "thesis_id", "title", "category")
+    d = SV.thesis_lookup(items(spark, sf), SV.thesis_table(spark))
+    d = d.withColumn("rule_id", (1 + F.col("item_id") % 14).cast("int"))  # 13 and 14 are no rules
+    return SV.rule_lookup(d, SV.rule_table(spark)).select(
+        "item_id", "pos", "thesis_id", "title", "category", "rule_id", "rule_title")
 
 
 # ----------------------------------------------------------------------------
@@ -232,10 +237,15 @@ def w09_evict_to_size(spark, sf):
 
 
 @register("a30_store_stats", _STORE + """
-SELECT count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM store""")
+SELECT count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest,
+       strftime(max(date_trunc('day', created_at)), '%Y-%m-%d %H:%M:%S') AS last_cleanup FROM store""")
 def a30_store_stats(spark, sf):
-    s = ST.store_stats(_store(spark, sf))
-    return s.select("entries", "total_bytes", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))
+    store = _store(spark, sf)
+    # the store is cleaned at the start of every day that adds entries
+    cleanups = store.select(F.date_trunc("day", "created_at").alias("cleaned_at"))
+    s = ST.store_stats(store, cleanups)
+    return s.select("entries", "total_bytes", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+                                                for c in ("newest", "last_cleanup")])
 
 
 @register("s13_embedding_store", with_ctes(TV.STORE_DUCK) + """

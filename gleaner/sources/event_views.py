@@ -131,6 +131,9 @@ _RUN_AGG = [
     ("max_cents", "max(CAST(round(value * 100) AS BIGINT))"),
     ("views", "count_if(event_type = 'view')"),
     ("purchases", "count_if(event_type = 'purchase')"),
+    ("users", "count(DISTINCT user_id)"),
+    ("hours", "count(DISTINCT hour(ts))"),
+    ("kinds", "count(DISTINCT event_type)"),
     ("run_ts", "min(ts)"),
 ]
 
@@ -142,6 +145,9 @@ _RUN_DERIVED = [
     "views / items AS coherence",
     "purchases * 2e0 / items AS source_diversity",
     "noise / items AS noise_ratio",
+    "users / items AS cluster_size_diversity",
+    "hours / 2.4e1 AS temporal_diversity",
+    "CASE WHEN clusters > 0 THEN kinds / 5e0 END AS topic_diversity",
     "value_cents / 1e5 AS processing_time",
     "max_cents / 1.5e4 AS memory_gb",
 ]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.alerts import walk_alerts
 from ..session import scratch_path
 
 
@@ -83,31 +84,25 @@ ALERT_OUT = "alert_id long, alert_type string, ts timestamp"
 
 def _cooldown_fn(cooldown_us: int, dedup: bool):
     def fn(key, batches, state):
-        last, sent = (None, []) if not state.exists else (state.get[0], list(state.get[1] or []))
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "alert_id"], kind="mergesort")
-        out = []
-        for aid, ts, msg in zip(pdf["alert_id"], pdf["ts"], pdf["message"]):
-            us = int(pd.Timestamp(ts).value // 1000)
-            if last is not None and us < last + cooldown_us:
-                continue                       # in cooldown
-            if dedup and msg in sent:
-                continue                       # an open alert with this message exists
-            out.append((int(aid), key[0], ts))
-            last = us
-            if dedup:
-                sent.append(msg)
-        state.update((last, sent))
-        if out:
-            yield pd.DataFrame(out, columns=["alert_id", "alert_type", "ts"])
+        last, open_ = (None, {}) if not state.exists else (state.get[0], dict(state.get[1] or {}))
+        pdf = pd.concat(list(batches), ignore_index=True)
+        pdf["us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+        pdf = pdf.sort_values(["us", "kind", "alert_id"], kind="mergesort")
+        sent, last, open_ = walk_alerts(pdf, last, open_, cooldown_us, dedup)
+        state.update((last, open_))
+        out = pdf[(pdf["kind"] == 1) & pdf["alert_id"].isin(sent)]
+        if len(out):
+            yield out[["alert_id", "alert_type", "ts"]]
     return fn
 
 
-def alert_cooldown_stream(alerts: DataFrame, minutes: int = 15, dedup: bool = False) -> DataFrame:
-    """M04 (dedup=False) and M05 (dedup=True) as a true stream: state per alert type is
-    (last sent time, open messages)."""
+def alert_cooldown_stream(events: DataFrame, minutes: int = 15, dedup: bool = False) -> DataFrame:
+    """M04 (dedup=False) and M05 (dedup=True) as a true stream over ``alert_events``
+    (alerts and, for M05, the resolutions of the action log): state per alert type is
+    (last sent time, open messages); a resolution takes its message out of the state."""
     fn = _cooldown_fn(minutes * 60 * 1_000_000, dedup)
-    return alerts.groupBy("alert_type").applyInPandasWithState(
-        fn, ALERT_OUT, "last_us long, sent array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("alert_type").applyInPandasWithState(
+        fn, ALERT_OUT, "last_us long, open map<string,long>", "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------------------

@@ -174,17 +174,40 @@ def test_dedup_matches_sequential_scan(spark):
     assert got == want
 
 
-def test_prefix_agg_equals_window(spark):
+@pytest.mark.parametrize("bucket", ["b", None])
+def test_prefix_agg_equals_window(spark, bucket):
     pdf = pd.DataFrame({"k": rng.integers(0, 3, 200), "t": np.arange(200), "v": rng.integers(0, 9, 200)})
-    df = spark.createDataFrame(pdf)
-    got = S.prefix_agg(df, ["k"], ["t"], F.floor(F.col("t") / 17), {"run": ("sum", "v"), "mx": ("max", "v")}).toPandas()
+    df = spark.createDataFrame(pdf).withColumn("b", F.floor(F.col("t") / 17))
+    got = S.prefix_agg(df, ["k"], ["t"], bucket, {"run": ("sum", "v"), "mx": ("max", "v")}).toPandas()
     pdf = pdf.sort_values(["k", "t"])
     pdf["run"] = pdf.groupby("k")["v"].cumsum()
     pdf["mx"] = pdf.groupby("k")["v"].cummax()
     m = got.merge(pdf, on=["k", "t"])
+    assert len(m) == len(pdf)
     assert (m["run_x"] == m["run_y"]).all() and (m["mx_x"] == m["mx_y"]).all()
 
 
+def test_row_pieces_split_a_hot_key_and_follow_its_order(spark):
+    # one key and one day: only a cut by rows can split it
+    df = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
+    with_conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        p = S.row_pieces(df, ["k"], ["t"]).groupBy("_piece").agg(
+            F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("_piece").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_conf)
+    assert len(p) > 1 and max(r.n for r in p) < 2000
+    assert all(a.hi < b.lo for a, b in zip(p, p[1:]))
+
+
+def test_prefix_agg_keeps_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7)], "k string, t int, v int")
+    for bucket in (F.col("t"), None):
+        got = {(r.k, r.t): r.run for r in S.prefix_agg(df, ["k"], ["t"], bucket, {"run": ("sum", "v")}).collect()}
+        assert got == {(None, 1): 5, (None, 2): 11, ("a", 1): 7}
+
+
 # ---------------------------------------------------------------------------
 def test_sanitize_only_inside_strings():
     assert sanitize_text('{"a":"x\ny"}\n') == '{"a":"x\\ny"}\n'
@@ -444,3 +467,35 @@ def test_value_at_rank_of_a_constant_column(spark):
     df = spark.createDataFrame([(5.0,)] * 50 + [(7.0,)], "value double")
     assert [r[0] for r in S.value_at_rank(df, "value", F.col("_n") - 1).collect()] == [7.0]
     assert [r[0] for r in S.value_at_rank(df, "value", F.col("_n") - 2).collect()] == [5.0]
+
+
+def test_dedup_with_resolutions_matches_sequential_over_many_stretches(spark):
+    al = V.alerts(spark, SF_SMALL).withColumn("message", F.concat(F.lit("m"), (F.col("alert_id") % 7).cast("string")))
+    done = al.filter(F.col("alert_id") % 3 != 0).select(
+        "alert_id", (F.col("ts") + F.expr("INTERVAL 40 MINUTES")).alias("action_ts"))
+    ends = {r.alert_id: r.action_ts for r in done.collect()}
+    for res, known in ((done, ends), (None, {})):
+        want = []
+        for _, g in al.toPandas().sort_values(["ts", "alert_id"]).groupby("alert_type"):
+            last, open_ = None, {}
+            for r in g.itertuples():
+                free = r.message not in open_ or known.get(open_[r.message], pd.Timestamp.max) <= r.ts
+                if free and (last is None or r.ts >= last + pd.Timedelta(minutes=15)):
+                    want.append(r.alert_id)
+                    last, open_[r.message] = r.ts, r.alert_id
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = [r.alert_id for r in AL.alert_dedup(al, 15, res).select("alert_id").collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sorted(got) == sorted(want) and len(want) > 3
+
+
+def test_dedup_of_no_alerts_is_empty(spark):
+    assert AL.alert_dedup(V.alerts(spark, SF_SMALL).limit(0), 15).count() == 0
+
+
+def test_unknown_rule_keeps_its_row(spark):
+    df = spark.createDataFrame([(1, 12), (2, 13), (3, None)], "item_id int, rule_id int")
+    got = {r.item_id: r.rule_title for r in SV.rule_lookup(df, SV.rule_table(spark)).collect()}
+    assert got[1] == "Most failures are structural, not ideological" and got[2] is None and got[3] is None
