@@ -22,13 +22,14 @@ _G = 3
 
 
 def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i_id: str, i_txt: str,
-                    g: int = _G) -> DataFrame:
+                    g: int = _G, short: bool = True) -> DataFrame:
     """All (outer id, inner id) with the inner string a substring of the outer string.
 
     Exact for every non-empty inner string: length ≥ 3 probes with its rarest
     3-gram among the outer strings' 3-grams; shorter inner strings join on all
     outer substrings of their length.  Empty inner strings (inside everything)
     are left to the caller, which needs only an aggregate over all outers.
+    ``short=False`` says that no inner string is shorter than ``g``.
     """
     o = outer.select(F.col(o_id).alias("oid"), F.col(o_txt).alias("ot")).filter(F.col("ot").isNotNull())
     i = inner.select(F.col(i_id).alias("iid"), F.col(i_txt).alias("it")).filter(F.col("it").isNotNull())
@@ -43,6 +44,8 @@ def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i
     probe = probe.filter(F.col("f") > 0)
     long_hits = (probe.join(og, "gram").select("oid", "iid").distinct().join(o, "oid").join(i, "iid")
                  .filter(F.instr("ot", F.col("it")) > 0).select("oid", "iid"))
+    if not short:
+        return long_hits.distinct()
     ishort = i.filter((F.length("it") > 0) & (F.length("it") < g))
     subs = o.select("oid", F.explode(F.sequence(F.lit(1), F.lit(g - 1))).alias("n"), "ot").select(
         "oid", "ot", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - F.col("n") + 1, F.lit(1)))).alias("p")) \
