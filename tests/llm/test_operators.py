@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on hand-made rows, the odd cases among them."""
 
 import hashlib
+import heapq
 import re
 import string
 from collections import Counter, defaultdict
@@ -434,6 +435,53 @@ def test_mix_plan_is_native(edge):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def earliest_deadline_first(share, period):
+    """source -> slots, by a heap."""
+    names = sorted(share, key=lambda x: (x is not None, x or ""))
+    released, heap, out = defaultdict(list), [], defaultdict(list)
+    for i, s in enumerate(names):
+        for j in range(share[s]):
+            released[j * period // share[s]].append((-(-(j + 1) * period // share[s]), i, s))
+    for t in range(period):
+        for x in released[t]:
+            heapq.heappush(heap, x)
+        out[heapq.heappop(heap)[2]].append(t)
+    return out
+
+
+def test_mix_shares_follow_the_square_root(spark):
+    df = spark.range(29_800).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10_000, "big").otherwise(
+        F.concat(F.lit("s"), F.col("id") % 198)).alias("source"))
+    got = {r.source: r for r in mix.sqrt_shares(df).collect()}
+    period = sum(r.share for r in got.values())
+    roots = sum(r.rows ** 0.5 for r in got.values())
+    assert len(got) == 199 and all(abs(r.share - period * r.rows ** 0.5 / roots) < 1 and r.share >= mix.LEAST for r in got.values())
+    # in a given period a source below one slot gets one, and the others the rest in proportion
+    assert sorted(r.share for r in mix.sqrt_shares(df, 200).collect()) == [1] * 198 + [2]
+
+
+@pytest.mark.parametrize("n", [2, 30, 300])
+def test_mix_of_any_number_of_sources(spark, n):
+    sizes = [200, *(1 + i % 7 for i in range(n - 1))]
+    df = spark.createDataFrame([(k * 1000 + i, f"s{k:03}" if k != 1 else None) for k, m in enumerate(sizes) for i in range(m)], "doc_id long, source string")
+    share = {r.source: r.share for r in mix.sqrt_shares(df).collect()}
+    period = sum(share.values())
+    want = earliest_deadline_first(share, period)
+    r = mix.schedule(df, block_rows=1).collect()
+    assert len(r) == len({x.slot for x in r}) == sum(sizes) and (n < 300 or period > mix.FOLD)
+    assert all(x.slot == x.block // share[x.source] * period + want[x.source][x.block % share[x.source]] and x.release <= x.slot < x.deadline for x in r)
+
+
+@pytest.mark.parametrize("shares", [[1, 1, 1], [5, 1, 1, 1], [60, 2, 1, 1, 1, 30, 30], [1] * 40 + [57, 3]])
+def test_mix_rounds_equal_the_fold(spark, monkeypatch, shares):
+    given = spark.createDataFrame([(f"s{i:02}" if i else None, x) for i, x in enumerate(shares)], "source string, share long")
+    fold = rows_of(mix.one_period(given, sum(shares)), "source", "share", "j", "t")
+    monkeypatch.setattr(mix, "FOLD", 1)
+    assert rows_of(mix.one_period(given, sum(shares)), "source", "share", "j", "t") == fold and len(fold) == sum(shares)
+    with pytest.raises(Exception, match="shares must be whole"):
+        mix.one_period(given, sum(shares) + 1).collect()
+
+
 # --- 10 lines ------------------------------------------------------------------------------------
 def edit_distance(a, b):
     d = list(range(len(b) + 1))
