@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import dense_positions, keyed_table, materialize, partitions, plain, prepare, restored, texts_of
 
-NEAR_WORDS, LINE_BITS = 10, 23
+NEAR_WORDS = 10
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,6 +40,11 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def line_bits(n_rows: int) -> int:
+    """Bits of a line's number in ``ord`` = row << bits | line: 31, enough for any text, up to 2^32 rows."""
+    return min(31, 63 - max(n_rows - 1, 0).bit_length())
+
+
 def half_keys(w: list[bytes]) -> list[int]:
     """Keys of the halves that a line one edit apart shares with these words."""
     n = len(w)
@@ -50,7 +55,7 @@ def half_keys(w: list[bytes]) -> list[int]:
     return list(out)
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
+def _line_rows(docs: DataFrame, bits: int) -> DataFrame:
     """(pos, text) -> a row for each line with words: ord, n, digest h1 h2, half keys."""
     def run(batches):
         for b in batches:
@@ -60,8 +65,10 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                     w = line.split()
                     if not w:
                         continue
+                    if ln >> bits:
+                        raise ValueError(f"line {ln} of a text: too many lines for a table of so many rows")
                     d = xxhash.xxh3_128_intdigest(b" ".join(w))
-                    for c, v in zip(cols, (pos << LINE_BITS | ln, len(w), _long(d >> 64), _long(d & (1 << 64) - 1),
+                    for c, v in zip(cols, (pos << bits | ln, len(w), _long(d >> 64), _long(d & (1 << 64) - 1),
                                            half_keys(w) if len(w) >= NEAR_WORDS else [])):
                         c.append(v)
                 if len(cols[0]) > 1 << 16:
@@ -128,29 +135,29 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("ord", "line", "other").mapInArrow(run, "ord long")
 
 
-def _pick_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _pick_lines(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """(pos, lns) of wanted lines -> (ord, line text)."""
     def run(batches):
         for b in batches:
             o, ls = [], []
             for pos, t, lns in zip(b.column("pos").to_pylist(), texts_of(b), b.column("lns").to_pylist()):
                 split = t.split(b"\n")
-                o += [pos << LINE_BITS | k for k in lns]
+                o += [pos << bits | k for k in lns]
                 ls += [split[k] for k in lns]
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(ls, pa.binary()).cast(pa.string())], ["ord", "line"])
     return rows.join(wanted.hint("shuffle_hash"), "rid").select("pos", "text", "lns").mapInArrow(run, "ord long, line string")
 
 
-def _by_row(lines: DataFrame, places: DataFrame) -> DataFrame:
+def _by_row(lines: DataFrame, places: DataFrame, bits: int) -> DataFrame:
     """(ord) -> (rid, pos, lns): the line numbers of each row."""
-    return (lines.select(F.shiftright("ord", LINE_BITS).alias("pos"), F.col("ord").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("ln"))
+    return (lines.select(F.shiftright("ord", bits).alias("pos"), F.col("ord").bitwiseAND((1 << bits) - 1).cast("int").alias("ln"))
             .groupBy("pos").agg(F.collect_list("ln").alias("lns")).join(places, "pos"))
 
 
-def repeated_lines(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(ord) of the lines to remove. ``places``: rid and pos of the rows."""
+def repeated_lines(rows: DataFrame, places: DataFrame, bits: int) -> DataFrame:
+    """(ord) of the lines to remove. ``places``: rid and pos of the rows; ``bits``: of a line's number in ord."""
     spark = rows.sparkSession
-    lines = materialize(_line_rows(rows.join(places.hint("shuffle_hash"), "rid")), "lines")
+    lines = materialize(_line_rows(rows.join(places.hint("shuffle_hash"), "rid"), bits), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
     copies = (lines.select("h1", "h2", "ord").join(firsts.filter("copies > 1").withColumnRenamed("ord", "first"), ["h1", "h2"])
               .filter("ord > first").select("ord"))
@@ -160,7 +167,7 @@ def repeated_lines(rows: DataFrame, places: DataFrame) -> DataFrame:
             .join(copies, "ord", "left_anti").select("ord", F.explode("halves").alias("half")))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
     near = keys.join(shared, "half").select("ord").distinct()
-    texts = materialize(_pick_lines(rows, _by_row(near, places)), "near_lines")
+    texts = materialize(_pick_lines(rows, _by_row(near, places, bits), bits), "near_lines")
     v = _variant_rows(texts.repartition(partitions(spark))).repartition(partitions(spark), "v1", "v2")
     same = v.groupBy("v1", "v2", "i").agg(F.min("ord").alias("m"))
     group = (same.groupBy("v1", "v2").agg(
@@ -194,7 +201,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     rows = keyed_table(plain(docs), "lines_docs")
     places = materialize(dense_positions(rows.select("rid", "doc_id"), "order", F.col("doc_id").asc_nulls_last(), "rid").select("rid", "pos"), "places")
-    gone = _by_row(repeated_lines(rows, places), places).select("rid", F.col("lns").alias("_lns"))
+    bits = line_bits(places.count())
+    gone = _by_row(repeated_lines(rows, places, bits), places, bits).select("rid", F.col("lns").alias("_lns"))
     n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     both = rows.join(gone.hint("shuffle_hash"), "rid", "left").withColumns(
         {"n_lines": n, "n_removed": F.coalesce(F.size("_lns"), F.lit(0)).cast("long")}).drop("rid")

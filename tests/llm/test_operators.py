@@ -543,3 +543,12 @@ def test_lines_edge(edge, empty, clashing):
     # of the equal rows all but the first lose their lines
     assert sorted(r.n_removed for r in got.filter("doc_id = 3").collect()) == [0, 3, 3]
     assert {r.text for r in got.filter("n_lines = 0").collect()} <= {None, ""}
+
+
+def test_lines_beyond_eight_million(spark):
+    n = (1 << 23) + 1
+    docs = [(0, "a b c"), (1, "\n" * n + "a b c"), (2, "d e f\ng h i"), (3, "j")]
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_lines", "n_removed", F.sha2("text", 256)) == [
+        (i, len(t.split("\n")), int(i == 1), hashlib.sha256((t if i != 1 else "\n" * (n - 1)).encode()).hexdigest()) for i, t in docs]
+    assert [lines.line_bits(x) for x in (0, 1, 1 << 32, (1 << 32) + 1)] == [31, 31, 31, 30]
