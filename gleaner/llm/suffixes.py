@@ -1,4 +1,4 @@
-"""Exact substring deduplication by merged Burrows-Wheeler transforms.
+"""Exact substring deduplication by merged sorted suffixes.
 
 Goes: each byte covered by a string of ``WINDOW`` bytes that also starts anywhere
 else, in this document or another. Matches never cross documents and are judged
@@ -7,9 +7,9 @@ on the input.
 Only texts that can match are sorted. Every window has a sampled gram, the one
 with the least hash of its ``GRAM``-byte strings; equal windows have equal
 samples at equal places. Neighbouring windows with the same sample form a unit;
-units whose gram is nowhere else cannot match. Equal units are repeated as they
-are, and one of them stands for all. Unequal units of one gram are what the
-transforms decide:
+units whose gram is nowhere else cannot match. Equal units, found by
+digest, are repeated as they are, and one of them stands for all. Unequal units of
+one gram are what the sorted suffixes decide:
 
 * A task takes the units of whole grams, in shards of ``SHARD`` bytes. A text's
   symbols are its strings of ``SYMBOL`` bytes, ordered by hash; the place after
@@ -18,8 +18,8 @@ transforms decide:
   all shards are in blocks by their first k symbols; the next round's blocks
   come from a row's symbol and the block of the suffix after it, which runs
   along each shard's order, so the shards' sorted key lists are merged and
-  nothing is sorted anew. The round in which neighbours part is their common
-  prefix; blocks left after WINDOW / SYMBOL rounds are the repeated intervals.
+  nothing is sorted anew. The blocks left after WINDOW / SYMBOL rounds are the
+  repeated intervals; no common prefixes are kept, no preceding symbols built.
 * A gram whose units hold over ``HOT`` bytes is too much for one task: its
   windows are counted by their 128-bit digests instead, dealt by digest.
 
