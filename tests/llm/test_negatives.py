@@ -52,7 +52,7 @@ def made(n, seed):
     for i in range(n):
         v = [x + rng.gauss(0, .25) for x in base[rng.randrange(5)]]
         rows.append((i * 10 % 1000 + i // 100, v, rng.choice([0, 0, 0, 1, 2, 3])))
-    rows += [(100, None, 1), (200, rows[0][1], None), (300, [1.0, float("nan"), 0, 0, 0, 0], 0), (400, [1.0, None, 0, 0, 0, 0], 0),
+    rows += [(100, None, 1), (200, rows[0][1], None), (300, [1.0, float("nan")] + [0.0] * 4, 0), (400, [1.0, None] + [0.0] * 4, 0),
              (500, [float("inf")] * 6, 0), (None, rows[1][1], 0), (None, rows[2][1], 2), rows[0], rows[0], (0, rows[3][1], 1),
              (600, [], 1), (700, rows[4][1][:4], 0), (700, rows[4][1] + [2.0], 0)]
     rows += [(800 + k, rows[5][1], k % 3) for k in range(60)]  # ties
