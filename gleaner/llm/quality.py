@@ -11,9 +11,10 @@ their similarity as weight.
 
 Edge cases: null and empty texts have no terms, hence no neighbours: they score
 the sample's share of label 1. Labels that are null or belong to no document
-are not used; a doc_id labelled twice counts with its smallest label; of equal
-similarities the earlier sample row votes. Without any usable label every
-score is 0.5. A null doc_id is not held out and never labelled. An empty table
+are not used; a doc_id labelled twice counts with its smallest label, and of rows
+with one labelled doc_id that with the least text hash is learned. Of equal
+similarities (to six decimals) the earlier sample row (smaller doc_id) votes. Without any usable
+label every score is 0.5. A null doc_id is not held out and never labelled. An empty table
 gives an empty result. Extra columns are ignored.
 """
 
@@ -69,9 +70,19 @@ def term_counts(text: bytes) -> np.ndarray:
     return out
 
 
+def weigh(x: np.ndarray, idf: np.ndarray) -> None:
+    """Counts to weights of unit length, in place."""
+    for i in range(0, len(x), 256):
+        part = x[i:i + 256]
+        np.log1p(part, out=part)
+        part *= idf
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = counts.astype(np.float32)
+    weigh(x, idf)
+    return x
 
 
 def held_out(column: str = "doc_id"):
@@ -110,30 +121,53 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             c = np.stack([term_counts(t) for t in texts_of(b)]) if b.num_rows else np.zeros((0, TERMS), np.float32)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("_label"),
                                               "counts": pa.array([x.astype(np.float16).tobytes() for x in np.minimum(c, 60000)], pa.binary())})
-    got = rows.mapInArrow(run, "doc_id long, label int, counts binary").dropDuplicates(["doc_id"]).collect()
+    # of rows with one doc_id the one with the least text hash
+    rows = rows.groupBy("doc_id", "_label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = {r.doc_id: (r.label, r.counts) for r in rows.mapInArrow(run, "doc_id long, label int, counts binary").toLocalIterator()}
     n, df = document_frequency(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
     if not got:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
-    got.sort(key=lambda r: r.doc_id)
-    y = np.array([r.label > 0 for r in got], np.float32)
-    x = weighted(np.stack([np.frombuffer(r.counts, np.float16) for r in got]).astype(np.float32), idf)
-    _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :DIMS]).astype(np.float32)
+    ids = sorted(got)
+    y = np.array([got[i][0] > 0 for i in ids], np.float32)
+    x = np.empty((len(ids), TERMS), np.float32)
+    for k, i in enumerate(ids):
+        x[k] = np.frombuffer(got.pop(i)[1], np.float16)
+    weigh(x, idf)
+    axes = top_axes(x, min(DIMS, *x.shape))
     return Model(idf, axes, unit(x @ axes), y, float(y.mean()))
 
 
+def top_axes(x: np.ndarray, k: int, spare: int = 8, rounds: int = 12) -> np.ndarray:
+    """The first ``k`` right singular vectors of ``x`` by subspace iteration: no square matrix of terms."""
+    k_all = min(k + spare, x.shape[1])
+    q = np.random.default_rng(0).standard_normal((x.shape[1], k_all)).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    y = x @ q
+    _, v = np.linalg.eigh((y.T @ y).astype(np.float64))
+    return np.ascontiguousarray(q @ v[:, ::-1][:, :k].astype(np.float32))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` highest values; of equal ones the left."""
+    last = np.partition(cos, -k, axis=1)[:, -k, None]
+    above, equal = cos > last, cos == last
+    take = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(cos), k)
+
+
 def vote(model: Model, counts: np.ndarray) -> np.ndarray:
     """Scores of the rows of ``counts``."""
     if not len(model.vectors):
         return np.full(len(counts), 0.5)
     k = min(NEIGHBOURS, len(model.vectors))
-    cos = unit(weighted(counts, model.idf) @ model.axes) @ model.vectors.T
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    cos = np.round(unit(weighted(counts, model.idf) @ model.axes) @ model.vectors.T, 6)  # equal vectors have equal values
+    near = nearest(cos, k)
     w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 0) ** 4
     return (np.einsum("ij,ij->i", w, model.labels[near]) + PRIOR_WEIGHT * model.prior) / (w.sum(axis=1) + PRIOR_WEIGHT)
 

@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
 from .common import materialize, partitions, plain, prepare, restored, texts_of
+from .links import components
 
 MAX_BITS, SHINGLE, SEED, PIECE = 3, 3, 42, 1 << 15
 

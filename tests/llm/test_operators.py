@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import random
 import re
 import string
 from collections import Counter, defaultdict
@@ -11,8 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import chunks, decontaminate, lines, mix, pii, quality, simhash, substrings, suffixes, urls
-from gleaner.operators import graph
+from gleaner.llm import chunks, decontaminate, lines, links, mix, pii, quality, simhash, substrings, suffixes, urls
 from tests.llm.conftest import SCHEMA, edge_rows, prose, rows_of
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -91,14 +91,19 @@ def test_links_connect_all_pairs_within_three_bits(spark):
     for group_rows in (4096, 7):  # the latter cuts anchor groups into blocks
         e = simhash.links(nodes, 3, group_rows)
         assert e.count() < 8 * len(f)  # all pairs are many more with denser groups; each anchor gives a forest
-        got = {r.node: r.root for r in graph.components(e).collect()}
+        got = {r.node: r.root for r in links.components(e).collect()}
         assert [got.get(x, x) for x in f.tolist()] == want.tolist()
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 4999)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+def test_components_of_a_chain_and_a_star(spark, monkeypatch):
+    made = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 4999)]
+    got = {r.node: r.root for r in links.components(spark.createDataFrame(made, "u long, v long")).collect()}
     assert set(got.values()) == {0, 1000, 4999} and len(got) == 301 + 201 + 2
+    for name, value in (("HOT_ROWS", 16), ("HOT_SHARE", 10)):  # the star's hub and the pair's are split off
+        monkeypatch.setattr(links, name, value)
+    made += [(7000 - i, 8000) for i in range(150)] + [(8000, 8001), (8001, 8002)]
+    got = {r.node: r.root for r in links.components(spark.createDataFrame(made, "u long, v long")).collect()}
+    assert set(got.values()) == {0, 1000, 4999, 6851} and len(got) == 301 + 201 + 2 + 153
 
 
 # --- 2 decontamination ---------------------------------------------------------------------------
@@ -180,6 +185,63 @@ def test_quality_learns_nothing_from_the_held_out_fold(spark, edge):
     assert {(r[0], r[1]) for r in one} == {(r[0], r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0) for r in edge_rows()}
 
 
+def brute_quality(model, texts):
+    """Terms counted one by one, all cosines, a full sort, and the weighted votes."""
+    rows = []
+    for t in texts:
+        b = (t or "").encode()
+        c = Counter((((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1) % 2 ** 32) >> 21 for i in range(len(b) - 2))
+        x = np.zeros(quality.TERMS)
+        for k, n in c.items():
+            x[k] = n
+        x[quality.HASHED:] = quality.term_counts(b)[quality.HASHED:]
+        x = np.log1p(x) * model.idf
+        rows.append(x / max(np.linalg.norm(x), 1e-12))
+    z = np.array(rows) @ model.axes.astype(float)
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    out = []
+    for cos in np.round(z @ model.vectors.T.astype(float), 6):
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[:quality.NEIGHBOURS]
+        w = np.maximum(cos[near], 0) ** 4
+        out.append((w @ model.labels[near] + quality.PRIOR_WEIGHT * model.prior) / (w.sum() + quality.PRIOR_WEIGHT))
+    return np.array(out)
+
+
+def test_quality_against_brute_force(spark, edge):
+    """500 documents of sf0.01 and the edge rows; single swaps of neighbours whose cosines differ by rounding are let pass."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(d, labels)
+    texts = [r.text for r in d.orderBy("doc_id").limit(500).collect()] + [r[1] for r in edge_rows()]
+    want = brute_quality(model, texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = np.array([r.score for r in sorted(quality.score(rows, model).collect())])
+    assert (abs(got - want) < 1e-4).mean() > 0.99 and (abs(got - want) < 0.15).all()
+
+
+def test_quality_axes_hold_the_energy_of_the_exact_ones():
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((300, 20)) * np.geomspace(8, 1, 20) @ rng.standard_normal((20, 500)) + rng.standard_normal((300, 500))).astype(np.float32)
+    got = quality.top_axes(x, 16)
+    s = np.linalg.svd(x.astype(float), compute_uv=False)
+    assert np.allclose(got.T @ got, np.eye(16), atol=1e-3) and ((x @ got) ** 2).sum() > 0.999 * (s[:16] ** 2).sum()
+    assert quality.top_axes(x[:5], 5).shape == (500, 5)
+
+
+def test_quality_ties_and_repeats(spark):
+    """The leftmost of equal columns vote; a labelled doc_id's rows count once, whatever their order."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        cos = rng.integers(0, 4, (7, 400)) / 8
+        want = np.sort(np.argsort(-cos, axis=1, kind="stable")[:, :15], axis=1)
+        assert (quality.nearest(cos, 15) == want).all()
+    texts = [prose(random.Random(k), 30) for k in range(30)]
+    rows = [(k % 20, t, "en", "s", 1) for k, t in enumerate(texts)] + [(3, None, "en", "s", 1)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(4, 1), (4, 0)], "doc_id long, quality int")
+    one, two = (rows_of(quality.classify(spark.createDataFrame(r, SCHEMA).repartition(n), labels), "doc_id", "score") for r, n in ((rows, 1), (rows[::-1], 7)))
+    assert np.allclose([s for _, s in one], [s for _, s in two], atol=1e-5)
+
+
 def test_quality_empty_and_clashing(edge, empty, clashing):
     labels = edge.select("doc_id", F.lit(1).alias("quality"))
     assert quality.classify(empty, labels).collect() == []
