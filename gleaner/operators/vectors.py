@@ -43,10 +43,13 @@ def _tagged(df: DataFrame, id_col: str, vec_col: str, tag_col: str | None, n_blo
 
 
 def _pairs_input(left: DataFrame, right: DataFrame, id_col: str, vec_col: str,
-                 ltag: str | None, rtag: str | None, block_rows: int, n: int | None = None) -> DataFrame:
-    """Both sides dealt to the block pairs; ``n``: the rows of either side, where the caller knows them."""
-    bl = _n_blocks(left, block_rows) if n is None else max(1, math.ceil(n / block_rows))
-    br = bl if right is left or n is not None else _n_blocks(right, block_rows)
+                 ltag: str | None, rtag: str | None, block_rows: int, n: int | tuple[int, int] | None = None) -> DataFrame:
+    """Both sides dealt to the block pairs; ``n``: the rows of each side (or of both), where the caller knows them."""
+    if n is None:
+        bl = _n_blocks(left, block_rows)
+        br = bl if right is left else _n_blocks(right, block_rows)
+    else:
+        bl, br = (max(1, math.ceil(x / block_rows)) for x in (n if isinstance(n, tuple) else (n, n)))
     return _tagged(left, id_col, vec_col, ltag, bl, br, 0).unionByName(
         _tagged(right, id_col, vec_col, rtag, br, bl, 1))
 
@@ -65,6 +68,28 @@ def _dist_chunks(L: np.ndarray, R: np.ndarray):
         yield s, np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
 
+def squared(L: np.ndarray, R: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one matrix product, and a bound of their rounding error.
+
+    Used to find the few candidates whose exact distances are then taken from
+    direct differences (``exact_distance``)."""
+    x, y = np.einsum("ij,ij->i", L, L), np.einsum("ij,ij->i", R, R)
+    return x[:, None] + y[None, :] - 2.0 * (L @ R.T), 1e-13 * L.shape[1] * (x.max(initial=0.0) + y.max(initial=0.0)) + 1e-300
+
+
+def exact_distance(L: np.ndarray, R: np.ndarray) -> np.ndarray:
+    """Distances of row pairs by direct differences."""
+    diff = L - R
+    return np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+
+def least_of_rows(rows: np.ndarray, cost: np.ndarray, ids: np.ndarray, k: int = 1) -> np.ndarray:
+    """Places of the ``k`` entries of each row (of a list of row numbers) with the least (cost, id)."""
+    order = np.lexsort((ids, cost, rows))
+    r = rows[order]
+    return order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
         exclude_self: bool = True, block_rows: int = 1024, right_tag: str | None = None) -> DataFrame:
     """The ``k`` nearest right rows of every left row: ``(id, nbr, tag, dist, rank)``.
@@ -80,18 +105,19 @@ def knn(left: DataFrame, right: DataFrame, k: int, id_col: str = "id", vec_col:
         if len(lft) == 0 or len(rgt) == 0:
             return pd.DataFrame({"id": [], "nbr": [], "tag": [], "dist": []})
         lid, rid, rtag = lft["id"].to_numpy(), rgt["id"].to_numpy(), rgt["tag"].to_numpy()
-        out_id, out_nbr, out_tag, out_d = [], [], [], []
-        kk = min(k, len(rid))
-        for s, D in _dist_chunks(L, R):
-            ids = lid[s:s + len(D)]
+        outs = []
+        for s in range(0, len(L), _CHUNK):
+            ids = lid[s:s + _CHUNK]
+            S, err = squared(L[s:s + _CHUNK], R)
             if exclude_self:
-                D = np.where(ids[:, None] == rid[None, :], np.inf, D)
-            order = np.lexsort((np.broadcast_to(rid, D.shape), D), axis=1)[:, :kk]
-            for r in range(len(D)):
-                for c in order[r]:
-                    if np.isfinite(D[r, c]):
-                        out_id.append(ids[r]); out_nbr.append(rid[c]); out_tag.append(rtag[c]); out_d.append(D[r, c])
-        return pd.DataFrame({"id": out_id, "nbr": out_nbr, "tag": out_tag, "dist": out_d})
+                S[ids[:, None] == rid[None, :]] = np.inf
+            kk = min(k, len(rid))
+            cut = np.partition(S, kk - 1, axis=1)[:, kk - 1, None]
+            r, c = np.nonzero((S <= cut + 2 * err) & np.isfinite(S))
+            d = exact_distance(L[s:s + _CHUNK][r], R[c])
+            w = least_of_rows(r, d, rid[c], k)
+            outs.append(pd.DataFrame({"id": ids[r[w]], "nbr": rid[c[w]], "tag": rtag[c[w]], "dist": d[w]}))
+        return pd.concat(outs, ignore_index=True)
 
     cand = inp.groupBy("bl", "br").applyInPandas(kernel, "id long, nbr long, tag long, dist double")
     w = Window.partitionBy("id").orderBy("dist", "nbr")

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "gleaner") -> SparkSession:
@@ -86,3 +87,10 @@ def written(df: DataFrame, name: str = "round") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str = "round", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``written`` and, from the same pass, the number ``rows`` of rows and other aggregates."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())), name)
+    return out, seen.get

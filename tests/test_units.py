@@ -17,12 +17,14 @@ from gleaner.operators import cluster_stats as CS
 from gleaner.operators import clustering as CL
 from gleaner.operators import dedup as DD
 from gleaner.operators import gates
+from gleaner.operators import metric_index as MI
 from gleaner.operators import series as S
 from gleaner.operators import sovereignty as SV
 from gleaner.operators import vectors as VX
 from gleaner.operators import verdicts as VD
 from gleaner.sources import event_views as V
 from gleaner.sources.fixtures import items
+from tests import twins
 from tests.conftest import SF_SMALL
 
 rng = np.random.default_rng(7)
@@ -54,12 +56,17 @@ def _naive_ward_heights(X):
     return sorted(hs)
 
 
-def test_ward_matches_sequential(spark):
-    X = rng.normal(size=(40, 5))
-    m = CL.ward_dendrogram(_vec_df(spark, X)).toPandas()
+@pytest.mark.parametrize("top", [1, 12, CL.TOP])
+def test_ward_matches_sequential(spark, top):
+    """Rounds alone, rounds and the top in one task, the top alone."""
+    X = np.random.default_rng(3).normal(size=(40, 5))
+    m = CL.ward_dendrogram(_vec_df(spark, X), top=top).toPandas()
     assert m["size"].max() == 40
     assert len(m) == 39
     assert np.allclose(sorted(m["height"]), _naive_ward_heights(X))
+    whole = CL.ward_dendrogram(_vec_df(spark, X), top=100).toPandas()
+    key = lambda f: sorted(zip(f["a"], f["b"], f["size"]))
+    assert key(m) == key(whole)
 
 
 def test_elbow_wcss_equals_direct(spark):
@@ -86,16 +93,42 @@ def _naive_mst_weight(X, core):
     return total
 
 
-def test_mst_weight_matches_prim(spark):
-    X = rng.normal(size=(50, 3))
+@pytest.mark.parametrize("n,clumps,min_samples,block_rows,keep", [(50, 1, 2, 1024, 16), (120, 4, 4, 16, 3), (90, 1, 3, 20, 2), (1, 1, 2, 4, 2)])
+def test_mst_weight_matches_prim(spark, monkeypatch, n, clumps, min_samples, block_rows, keep):
+    """Few kept neighbours and small blocks: the rest is searched over the index."""
+    monkeypatch.setattr(CL, "KEEP", keep)
+    r = np.random.default_rng(n)
+    X = r.normal(size=(n, 3)) + 40 * r.integers(0, clumps, (n, 1))
+    X[: n // 10] = X[0]  # copies
     df = _vec_df(spark, X)
-    core = CL.core_distances(df, 2)
-    mst = CL.mutual_reachability_mst(df, core).toPandas()
+    index = MI.build(df, block_rows=block_rows)
+    core = CL.core_distances(df, min_samples)
+    mst = CL.mutual_reachability_mst(df, core, index=index).toPandas()
     c = core.toPandas().sort_values("id")["core"].to_numpy()
-    assert len(mst) == 49
+    D = np.sort(np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)), axis=1)
+    assert np.allclose(c, D[:, min_samples - 1] if n > 1 else 0)
+    assert len(mst) == n - 1
     assert math.isclose(mst["w"].sum(), _naive_mst_weight(X, c), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("clumps", [1, 6])
+def test_nearest_over_the_index_is_exact_and_skips_far_blocks(spark, clumps):
+    r = np.random.default_rng(clumps)
+    X = r.normal(size=(400, 4)) + 60 * np.arange(400)[:, None] % (60 * clumps)
+    Y = np.concatenate((X[:30], r.normal(size=(40, 4)) + 500))
+    df = _vec_df(spark, X)
+    index = MI.build(df, block_rows=32)
+    near, seen = MI.nearest(index, index, 5)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    got = near.toPandas().sort_values(["id", "rank"])
+    assert got["nbr"].tolist() == [j for i in range(400) for j in sorted(range(400), key=lambda j: (D[i, j], j))[:5]]
+    assert seen["pairs"] == index.n_blocks ** 2 and (seen["compared"] < seen["pairs"] / 3 if clumps > 1 else seen["compared"] <= seen["pairs"])
+    other = MI.build(_vec_df(spark, Y), block_rows=16, pivots=index.pivots)
+    got = MI.nearest(other, index, 1, exclude_self=False)[0].toPandas().sort_values("id")
+    assert got["nbr"].tolist() == np.sqrt(((Y[:, None] - X[None]) ** 2).sum(-1)).argmin(1).tolist()
+
+
 def _leaves(spark, n, edges, m):
     ids = spark.createDataFrame([(i,) for i in range(n)], "id long")
     lab, tree = CL.leaf_clusters(ids, spark.createDataFrame(edges, "u long, v long, w double"), m)
@@ -105,7 +138,10 @@ def _leaves(spark, n, edges, m):
 def test_leaf_clusters_two_groups_and_noise(spark):
     lab, tree = _leaves(spark, 7, [(0, 1, .1), (1, 2, .1), (3, 4, .1), (4, 5, .1), (2, 3, 5.0), (5, 6, 9.0)], 3)
     assert lab["cluster_id"].tolist() == [0, 0, 0, 1, 1, 1, -1]
-    assert tree["lambda_val"].tolist() == [0.2, 0.2] and tree["child_size"].tolist() == [3, 3]
+    assert tree["lambda_val"].tolist() == [0.2, 0.2, 0.0] and tree["child_size"].tolist() == [3, 3, 7]
+    assert tree["parent"].tolist() == [2, 2, -1] and tree["is_leaf"].tolist() == [True, True, False]
+    # three rows leave each leaf at 1 / .1, the root's six at 1 / 5 and its last one at 1 / 9
+    assert np.allclose(tree["stability"], [3 * (10 - .2), 3 * (10 - .2), 6 / 5 + 1 / 9]) and np.allclose(tree["persistence"][:2], 9.8 / 10)
 
 
 def test_single_pure_root_is_noise(spark):
@@ -126,6 +162,50 @@ def test_merge_small_two_undersized_choose_each_other(spark):
     assert out[0] == out[1] == 1 and out[2] == out[3] == 2
 
 
+@pytest.mark.parametrize("k,dims,min_size,pieces", [(36, 2, 2, 8), (60, 2, 5, 8), (36, 1, 3, 3)])
+def test_merge_small_equals_the_sequential_walk(spark, k, dims, min_size, pieces):
+    r = np.random.default_rng(k + min_size)
+    sizes = r.choice([1, 1, 1, 2, 3, 7], k)
+    rows, i = [], 0
+    for c, size in enumerate(sizes):
+        centre = r.normal(size=dims) * 3
+        for _ in range(size):
+            rows.append((i, c * 3, (centre + r.normal(size=dims) * .1).tolist()))
+            i += 1
+    rows += [(i + 1, -1, [0.0] * dims), (i + 2, -1, [1.0] * dims)]
+    df = spark.createDataFrame(rows, "id long, cluster_id int, embedding array<double>").repartition(pieces)
+    member = [(c, v) for _, c, v in rows if c >= 0]
+    ids = sorted({c for c, _ in member})
+    walk = twins.merge_small_walk(ids, [sum(c == x for c, _ in member) for x in ids], [np.sum([v for c, v in member if c == x], axis=0) for x in ids], min_size)
+    got = {r.id: r.cluster_id for r in CL.merge_small(df, min_size).collect()}
+    assert got == {i: walk.get(c, -1) for i, c, _ in rows}
+
+
+def test_merge_small_of_two_thousand_clusters_with_a_hot_target(spark):
+    """2,000 clusters, most of one row, a third of them nearest to one large cluster."""
+    r = np.random.default_rng(8)
+    n = np.where(np.arange(2000) % 3 == 0, 1, r.choice([1, 2, 3], 2000))
+    n[1000] = 500
+    centre = r.normal(size=(2000, 3)) * np.where(np.arange(2000) % 3 == 0, .3, 6)[:, None]
+    centre[1000] = 0
+    s = centre * n[:, None]
+    sums = spark.createDataFrame([(int(i), int(a), v.tolist()) for i, (a, v) in enumerate(zip(n, s))], "cid long, n long, s array<double>")
+    walk = twins.merge_small_walk(range(2000), n, s, 2)
+    target = {r.cid: r.target for r in CL.small_moves(sums, 2).collect()}
+
+    def final(x):
+        while x in target and x != -1:
+            x = target[x]
+        return x
+    assert {c: final(c) for c in range(2000)} == walk
+
+
+def test_merge_small_without_another_cluster_is_noise(spark):
+    df = spark.createDataFrame([(0, 4, [1.0])], "id long, cluster_id int, embedding array<double>")
+    assert [r.cluster_id for r in CL.merge_small(df, 2).collect()] == [-1]
+    assert CL.merge_small(df.limit(0), 2).collect() == []
+
+
 # ---------------------------------------------------------------------------
 def _seq_cooldown(pdf, minutes=15):
     sent = []
@@ -401,7 +481,35 @@ def test_leaf_clusters_match_the_sequential_pass(spark, n, m, spread):
         return {frozenset(g["id"].tolist()) for c, g in t.groupby("cluster_id") if c >= 0}
     assert groups(lab) == groups(want)
     assert np.allclose(lab["cluster_probability"], want["cluster_probability"]) and np.allclose(lab["outlier_score"], want["outlier_score"])
-    assert np.allclose(tree["lambda_val"], want_tree["lambda_val"]) and sorted(tree["child_size"]) == sorted(want_tree["child_size"])
+    assert tree["is_leaf"].sum() == len(want_tree) and (tree["child"] == np.arange(len(tree))).all()
+    leaves = tree[tree["is_leaf"]]
+    assert np.allclose(leaves["lambda_val"], want_tree["lambda_val"]) and sorted(leaves["child_size"]) == sorted(want_tree["child_size"])
+    same_hierarchy(tree, list(mst.toPandas()[["u", "v", "w"]].itertuples(index=False, name=None)), m)
+
+
+def same_hierarchy(tree, edges, m):
+    up = {r.child: (r.child_size, r.lambda_val) for r in tree.itertuples()} | {-1: (-1, -1.0)}
+    got = sorted((r.child_size, r.lambda_val, r.stability, r.is_leaf, *up[r.parent]) for r in tree.itertuples())
+    want = twins.condensed_tree_walk(edges, m)
+    assert len(got) == len(want)
+    assert np.allclose(np.array(got, float), np.array(want, float), equal_nan=True)
+
+
+@pytest.mark.parametrize("shape", ["chain", "random", "caterpillar"])
+def test_condensed_hierarchy_equals_the_walk_over_the_edges(spark, shape):
+    """Many splits: pairs of rows joined in rising order along a chain, at random, and to one growing cluster."""
+    r = np.random.default_rng(5)
+    k = 70
+    edges = [(3 * i + a, 3 * i + a + 1, .01 * (1 + i % 5) + a * .001) for i in range(k) for a in (0, 1)]
+    for i in range(1, k):
+        to = {"chain": i - 1, "random": int(r.integers(0, i)), "caterpillar": 0}[shape]
+        edges.append((3 * to + int(r.integers(0, 3)), 3 * i, 1.0 + (r.random() if shape == "random" else i * .01)))
+    edges += [(1, 1000, 5.0), (1000, 1001, 1.2), (4, 1002, .9)]  # rows that fall out
+    ids = spark.createDataFrame([(x,) for x in sorted({y for u, v, _ in edges for y in (u, v)})], "id long")
+    lab, tree = CL.leaf_clusters(ids, spark.createDataFrame(edges, "u long, v long, w double"), 3)
+    tree = tree.toPandas()
+    assert len(tree) == 2 * tree["is_leaf"].sum() - 1 > 60
+    same_hierarchy(tree, edges, 3)
 
 
 def test_components_of_chains_and_stars(spark):

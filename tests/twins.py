@@ -94,3 +94,70 @@ def leaf_clusters_local(n_ids: np.ndarray, edges: pd.DataFrame, m: int):
         pd.DataFrame({"parent": pd.Series([], dtype="int64"), "child": pd.Series([], dtype="int64"),
                       "lambda_val": pd.Series([], dtype="float64"), "child_size": pd.Series([], dtype="int64")})
     return labels, tr
+
+
+def merge_small_walk(ids, n, s, min_size):
+    """The clusters below ``min_size``, one after another in ascending id, join the nearest centroid."""
+    n = {int(i): float(c) for i, c in zip(ids, n)}
+    s = {int(i): np.array(v, dtype=float) for i, v in zip(ids, s)}
+    target = {i: i for i in n}
+    for c in sorted(n):
+        if n[c] >= min_size:
+            continue
+        best, least = -1, math.inf
+        for o in sorted(n):
+            if o != c and n[o] > 0:
+                d = float(np.linalg.norm(s[c] / n[c] - s[o] / n[o]))
+                if d < least:
+                    best, least = o, d
+        target[c] = best
+        if best != -1:
+            n[best], s[best] = n[best] + n[c], s[best] + s[c]
+        n[c] = 0
+    out = {}
+    for c in target:
+        x = c
+        while x != -1 and target[x] != x:
+            x = target[x]
+        out[c] = x
+    return out
+
+
+def condensed_tree_walk(edges, m):
+    """The condensed hierarchy by taking the spanning tree's edges in order; rows
+    (size, lambda, stability, is_leaf, size and lambda of the parent)."""
+    ids = {x for u, v, _ in edges for x in (u, v)}
+    comp = {x: x for x in ids}
+    size, node, nodes = dict.fromkeys(ids, 1), dict.fromkeys(ids), []
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+    for u, v, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        a, b = find(u), find(v)
+        lam = 1 / w if w else math.inf
+        if node[a] and node[b]:
+            top = {"own": 0, "left": 0.0, "kids": size[a] + size[b], "end": lam, "up": None}
+            for c in (a, b):
+                node[c].update(up=top, size=size[c], lam=lam)
+            nodes.append(top)
+        elif node[a] or node[b]:
+            top, small = (node[a], b) if node[a] else (node[b], a)
+            top["own"] += size[small]
+            top["left"] += size[small] * lam
+        elif size[a] + size[b] >= m:
+            top = {"own": size[a] + size[b], "left": (size[a] + size[b]) * lam, "kids": 0, "end": 0.0, "up": None}
+            nodes.append(top)
+        else:
+            top = None
+        comp[b] = a
+        size[a] += size[b]
+        node[a] = top
+        if top is not None and top["up"] is None:
+            top.update(size=size[a], lam=0.0)
+    for x in nodes:
+        x["stability"] = x["left"] + x["kids"] * x["end"] - x["size"] * x["lam"]
+    if len(nodes) == 1:
+        return []
+    return sorted((x["size"], x["lam"], x["stability"], x["kids"] == 0, x["up"]["size"] if x["up"] else -1, x["up"]["lam"] if x["up"] else -1.0) for x in nodes)
