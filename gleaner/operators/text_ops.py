@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.jsonfix import MSG_NO_CONTENT, MSG_NO_WELL_FORMED, MSG_PARSE_FAILED
 from ..functions.text import collapse_space, strip_rules, trim_ws
+from .series import prefix_agg
 
 
 # ---------------------------------------------------------------------------
@@ -172,12 +173,20 @@ def compact_payload(df: DataFrame, group: str, order: str, fields: dict[str, Col
     return g.select(group, F.to_json(F.transform("_a", lambda s: s["_v"])).alias("payload"))
 
 
-def cluster_text(df: DataFrame, key: str = "cluster_id", order: str = "ord") -> DataFrame:
-    """Per cluster a bullet list '- headline: description' in input order."""
-    st = F.struct(F.col(order).alias("o"), F.concat(F.lit("- "), F.coalesce("headline", F.lit("")), F.lit(": "),
-                                                    F.coalesce("short_description", F.lit(""))).alias("line"))
-    g = df.groupBy(key).agg(F.array_sort(F.collect_list(st)).alias("_l"))
-    return g.select(key, F.array_join(F.transform("_l", lambda s: s["line"]), "\n").alias("cluster_text"))
+def cluster_text(df: DataFrame, key: str = "cluster_id", order: str = "ord", page_chars: int = 1 << 20) -> DataFrame:
+    """Per cluster a bullet list '- headline: description' in input order, in pages:
+    (key, page, cluster_text).
+
+    A page holds the lines that start within its ``page_chars`` characters of the list, so
+    no task or row holds more than that and one line; the pages of a cluster joined by line
+    feeds are the whole list.  Running lengths come from ``prefix_agg``, which splits a
+    large cluster; ``order`` must be unique within a cluster."""
+    line = F.concat(F.lit("- "), F.coalesce("headline", F.lit("")), F.lit(": "), F.coalesce("short_description", F.lit("")))
+    rows = df.select(key, F.col(order).alias("_o"), line.alias("_line")).withColumn("_size", F.length("_line").cast("long") + 1)
+    at = prefix_agg(rows, [key], ["_o"], None, {"_end": ("sum", "_size")})
+    page = F.floor((F.col("_end") - F.col("_size")) / page_chars)
+    g = at.groupBy(key, page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("_o", "_line"))).alias("_l"))  # a page
+    return g.select(key, "page", F.array_join(F.transform("_l", lambda s: s["_line"]), "\n").alias("cluster_text"))
 
 
 def format_theses(ids: Column, scores: Column | None = None) -> list[Column]:

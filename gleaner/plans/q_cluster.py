@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster_stats as CS
 from ..operators import vectors as VX
+from ..operators.cluster_jobs import exemplars, nearest_neighbours, reassign_outliers, similar_pairs_lsh
 from ..operators.series import dense_positions, prefix_agg
 from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from ..sources.tables import table
@@ -265,15 +266,6 @@ def w02_exemplars(spark, sf):
     return exemplars(clusters(spark, sf), 3).select("cluster_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-def exemplars(c: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows nearest their centroid per cluster (ties by ord)."""
-    cent = CS.centroids(c)
-    d = c.filter(F.col("cluster_id") != -1).join(cent.select("cluster_id", "centroid"), "cluster_id")
-    d = d.withColumn("dist", CS.l2_distance(CS.as_double("embedding"), F.col("centroid")))
-    w = Window.partitionBy("cluster_id").orderBy("dist", "ord")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-
-
 @register("k04_order_summaries", CTE + """
 SELECT cluster_id, n AS size, row_number() OVER (ORDER BY n DESC, cluster_id) AS position FROM csize""")
 def k04_order_summaries(spark, sf):
@@ -383,16 +375,6 @@ def c14_reassign_outliers(spark, sf):
     return reassign_outliers(c, 0.15).select("id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
-def reassign_outliers(c: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """C14: a noise row joins the centroid with the best cosine when cosine > threshold;
-    centroids are fixed before the pass."""
-    cent = CS.centroids(c)
-    best = VX.nearest_centroid(c.filter(F.col("cluster_id") == -1), cent, "id", "embedding", metric="cosine")
-    j = c.join(best, "id", "left")
-    return j.withColumn("cluster_id", F.when(F.col("score") > threshold, F.col("best")).otherwise(F.col("cluster_id"))) \
-            .drop("best", "score")
-
-
 @register("j07_similarity_pairs", CTE + f"""
 SELECT a.id AS a, b.id AS b, round({_dot('a.v', 'b.v')} / (sqrt({_dot('a.v', 'a.v')}) * sqrt({_dot('b.v', 'b.v')})), 6) AS cosine
 FROM clusters a JOIN clusters b ON a.id < b.id
@@ -400,3 +382,21 @@ WHERE {_dot('a.v', 'b.v')} / (sqrt({_dot('a.v', 'a.v')}) * sqrt({_dot('b.v', 'b.
 def j07_similarity_pairs(spark, sf):
     c = clusters(spark, sf)
     return VX.similar_pairs(c, 0.3).select("a", "b", _r6("cosine").alias("cosine"))
+
+
+_COS = f"{_dot('a.v', 'b.v')} / (sqrt({_dot('a.v', 'a.v')}) * sqrt({_dot('b.v', 'b.v')}))"
+
+
+@register("j07_similarity_pairs_lsh", CTE + f"""
+SELECT a.id AS a, b.id AS b, round({_COS}, 6) AS cosine FROM clusters a JOIN clusters b ON a.id < b.id WHERE {_COS} >= 0.45""")
+def j07_similarity_pairs_lsh(spark, sf):
+    """The form for large tables; exact but for pairs that no projection table brings together."""
+    return similar_pairs_lsh(clusters(spark, sf), 0.45).select("a", "b", _r6("cosine").alias("cosine"))
+
+
+@register("j07_nearest_neighbours", CTE + f"""
+SELECT id, nbr, CAST(rank AS INTEGER) AS rank, round(cosine, 6) AS cosine FROM (
+  SELECT a.id, b.id AS nbr, {_COS} AS cosine, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS rank
+  FROM clusters a JOIN clusters b ON a.id <> b.id) WHERE rank <= 3""")
+def j07_nearest_neighbours(spark, sf):
+    return nearest_neighbours(clusters(spark, sf), 3).select("id", "nbr", "rank", _r6("cosine").alias("cosine"))

@@ -6,14 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..operators import cluster_jobs as CJ
 from ..operators import cluster_stats as CS
 from ..operators import clustering as CL
 from ..operators import vectors as VX
-from ..operators.runs import issue_type, recommendation
-from ..session import written
-from ..sources.fixtures import ITEMS_DUCK, with_ctes
+from ..operators.series import dense_positions
+from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from ..sources.tables import table
-from .q_cluster import CLUSTERS_DUCK, _SIL_DUCK, _div_duck, clusters, exemplars
+from .q_cluster import CLUSTERS_DUCK, _SIL_DUCK, _div_duck, clusters
 from .registry import register
 
 
@@ -25,27 +25,8 @@ def _emb(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-# The merge table and the density labels of a table are inputs of several queries: the
-# first one in a session leaves them in the checkpoint folder for the others.
-_SHARED: dict[tuple, object] = {}
-
-
-def _shared(spark, kind: str, sf: str, make):
-    key = (spark.sparkContext.applicationId, kind, sf)
-    if key not in _SHARED:
-        _SHARED[key] = make()
-    return _SHARED[key]
-
-
 def _ward(spark, sf):
-    return _shared(spark, "ward", sf, lambda: CL.ward_dendrogram(_emb(spark, sf)))
-
-
-def _density(spark, sf):
-    def make():
-        labels, tree = CL.density_cluster(_emb(spark, sf), P.DENSITY["min_cluster_size"], P.DENSITY["min_samples"])
-        return written(labels), written(tree)
-    return _shared(spark, "density", sf, make)
+    return CL.ward_dendrogram(_emb(spark, sf))
 
 
 # ----------------------------------------------------------------------------
@@ -53,14 +34,20 @@ def _density(spark, sf):
 # ----------------------------------------------------------------------------
 @register("c06_hierarchical_cluster")
 def c06_hierarchical_cluster(spark, sf):
-    labels, _ = CL.hierarchical_cluster(_emb(spark, sf), n_clusters=10, merges=_ward(spark, sf))
+    labels, _ = CL.hierarchical_cluster(_emb(spark, sf), n_clusters=10)
     return labels
 
 
+@register("c06_bisecting_cluster")
+def c06_bisecting_cluster(spark, sf):
+    return CJ.bisecting_cluster(_emb(spark, sf), 10)
+
+
 @register("c09_merge_table")
 def c09_merge_table(spark, sf):
-    return _ward(spark, sf).orderBy(F.col("height").desc(), F.col("a").desc()).limit(30).select(
-        "a", "b", _r6("height").alias("height"), "size")
+    """The full linkage table, and where each merge stands from the top: the last 30 are what a dendrogram shows."""
+    m = dense_positions(_ward(spark, sf), F.col("height").desc(), F.col("a").desc())
+    return m.select("a", "b", _r6("height").alias("height"), "size", (F.col("pos") + 1).alias("place"), (F.col("pos") < 30).alias("in_dendrogram"))
 
 
 @register("c07_estimate_k")
@@ -96,15 +83,14 @@ def c08_cut_at_threshold(spark, sf):
 # ----------------------------------------------------------------------------
 @register("c04_density_cluster")
 def c04_density_cluster(spark, sf):
-    labels, _ = _density(spark, sf)
+    labels, _ = CL.density_cluster(_emb(spark, sf), P.DENSITY["min_cluster_size"], P.DENSITY["min_samples"], tree=False)
     return labels.select("id", "cluster_id", _r6("cluster_probability").alias("cluster_probability"),
                          _r6("outlier_score").alias("outlier_score"))
 
 
 @register("c10_cluster_hierarchy")
 def c10_cluster_hierarchy(spark, sf):
-    _, tree = _density(spark, sf)
-    return tree
+    return CL.density_cluster(_emb(spark, sf), P.DENSITY["min_cluster_size"], P.DENSITY["min_samples"])[1]
 
 
 @register("c05_assign_new")
@@ -113,22 +99,8 @@ def c05_assign_new(spark, sf):
     e = _emb(spark, sf)
     fit = e.filter(F.col("id") % 2 == 0)
     new = e.filter(F.col("id") % 2 == 1)
-    labels, _ = CL.density_cluster(fit)
-    return assign_new(fit, labels, new)
-
-
-def assign_new(fit, labels, new, vec_col: str = "embedding"):
-    """An unseen row takes the cluster of its nearest fitted row when the distance is
-    within that cluster's reach (its largest core-to-member distance); else −1.  All −1
-    when nothing was fitted."""
-    core = CL.core_distances(fit, P.DENSITY["min_samples"])
-    lab = labels.join(core, "id")
-    reach = lab.filter(F.col("cluster_id") >= 0).groupBy("cluster_id").agg(F.max("core").alias("reach"))
-    nn = VX.knn(new.select("id", vec_col), fit.select("id", vec_col), 1, "id", vec_col, exclude_self=False)
-    j = (nn.join(lab.select(F.col("id").alias("nbr"), "cluster_id"), "nbr")
-         .join(reach, "cluster_id", "left"))
-    got = j.select("id", F.when(F.col("dist") <= F.col("reach"), F.col("cluster_id")).otherwise(F.lit(-1)).alias("cluster_id"))
-    return new.select("id").join(got, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
+    labels, _ = CL.density_cluster(fit, tree=False)
+    return CJ.assign_new(fit, labels, new)
 
 
 # ----------------------------------------------------------------------------
@@ -136,30 +108,7 @@ def assign_new(fit, labels, new, vec_col: str = "embedding"):
 # ----------------------------------------------------------------------------
 @register("c11_hybrid_cluster")
 def c11_hybrid_cluster(spark, sf):
-    e = _emb(spark, sf)
-    return hybrid_cluster(e, density=_density(spark, sf)[0], ward=lambda: _ward(spark, sf))
-
-
-def hybrid_cluster(e, min_score: float = P.HYBRID["min_score"], similarity: float = P.HYBRID["similarity"],
-                   density=None, ward=None):
-    """C11: density first; when its partition score is below ``min_score`` run Ward (k from
-    the elbow) and keep the better; then merge small clusters and reassign outliers.  The
-    driver only compares two scalar scores."""
-    prim = density if density is not None else CL.density_cluster(e)[0]
-    prim = prim.select("id", "cluster_id").join(e, "id")
-    sil_p = VX.silhouette(prim).first()[0]
-    s_p = CL.partition_score(prim, sil_p)
-    chosen, algo = prim, "density"
-    if s_p < min_score:
-        fb, _ = CL.hierarchical_cluster(e, merges=ward() if ward else None)
-        fb = fb.join(e, "id")
-        sil_f = VX.silhouette(fb).first()[0]
-        if CL.partition_score(fb, sil_f) > s_p:
-            chosen, algo = fb, "hierarchical"
-    merged = CL.merge_small(chosen, 2)
-    from .q_cluster import reassign_outliers
-    out = reassign_outliers(merged.withColumn("cluster_id", F.col("cluster_id").cast("int")), similarity)
-    return out.select("id", F.col("cluster_id").cast("int").alias("cluster_id"), F.lit(algo).alias("algorithm"))
+    return CJ.hybrid_cluster(_emb(spark, sf))
 
 
 @register("c13_merge_small")
@@ -202,32 +151,6 @@ def c12_partition_quality(spark, sf):
     return _pq(spark, sf).select(_r6("partition_quality").alias("partition_quality"))
 
 
-def validate_partition(c, id_col: str = "id") -> "DataFrame":
-    """Basic issues, threshold issues with their recommendations, score and validity
-    of one labelled partition."""
-    lim = P.VALIDATION
-    shape = CS.run_shape(c)
-    sil = VX.silhouette(c)
-    coh = CS.coherence(c)
-    src = CS.source_diversity(c)
-    j = shape.crossJoin(sil).crossJoin(coh).crossJoin(src)
-    basic = F.array_compact(F.array(
-        F.when(F.col("n_items") == 0, F.lit("Empty clustering result")),
-        F.when(F.col("n_clusters") == 0, F.lit("No clusters found"))
-         .when(F.col("n_clusters") == F.col("n_items"), F.lit("Each item in its own cluster (over-clustering)")),
-        F.when(F.col("noise_ratio") > lim["max_noise_ratio"], F.lit("Noise ratio exceeds maximum"))))
-    thresh = F.array_compact(F.array(
-        F.when(F.col("silhouette") < lim["min_silhouette"], F.lit("Silhouette score below minimum")),
-        F.when(F.col("coherence") < lim["min_coherence"], F.lit("Cluster coherence below minimum")),
-        F.when(F.col("source_diversity") < lim["min_source_diversity"], F.lit("Source diversity below minimum"))))
-    score = (F.coalesce((F.col("silhouette") + 1.0) / 2.0 * 0.4, F.lit(0.0)) + F.col("coherence") * 0.3
-             + F.col("source_diversity") * 0.2 + F.greatest(F.lit(0.0), 1.0 - F.col("noise_ratio") * 2.0) * 0.1)
-    advice = F.array_compact(F.transform(thresh, lambda i: recommendation(issue_type(i))))
-    return j.select(
-        F.concat(basic, thresh).alias("issues"), advice.alias("recommendations"), score.alias("quality_score"),
-        ((F.size(basic) == 0) & (F.size(thresh) == 0) & (score >= lim["min_score"])).alias("is_valid"))
-
-
 _VAL_DUCK = _PQ_DUCK + """,
 coh AS (SELECT coalesce(avg(c), 0) AS coherence FROM (
   SELECT a.cluster_id, avg(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k]))) AS c
@@ -257,7 +180,7 @@ SELECT array_to_string(issues, '; ') AS issues, coalesce(array_to_string(list_fi
        round(quality_score, 6) AS quality_score,
        len(issues) = 0 AND quality_score >= 0.3 AS is_valid FROM val""")
 def c15_validate_partition(spark, sf):
-    v = validate_partition(clusters(spark, sf))
+    v = CJ.validate_partition(clusters(spark, sf))
     return v.select(F.array_join("issues", "; ").alias("issues"),
                     F.array_join("recommendations", "; ").alias("recommendations"), _r6("quality_score").alias("quality_score"), "is_valid")
 
@@ -284,55 +207,25 @@ md AS (SELECT cluster_id, count(*) AS size, avg(d) AS mean_distance FROM dist GR
 SELECT cluster_id, size, representatives, top_sources, top_technologies, top_companies, round(mean_distance, 6) AS mean_distance
 FROM md JOIN reps USING (cluster_id) JOIN srcs USING (cluster_id) LEFT JOIN t_technologies USING (cluster_id) LEFT JOIN t_companies USING (cluster_id)""")
 def c16_cluster_summaries(spark, sf):
-    return cluster_summaries(clusters(spark, sf)).select(
+    return CJ.cluster_summaries(clusters(spark, sf)).select(
         "cluster_id", "size", "representatives", "top_sources", "top_technologies", "top_companies", _r6("mean_distance").alias("mean_distance"))
 
 
-def cluster_summaries(c):
-    """Per (actual) cluster id: size, 3 representatives, top-3 sources, top-5
-    technologies and companies (null without any), mean centroid distance."""
-    cent = CS.centroids(c)
-    d = c.filter(F.col("cluster_id") != -1).join(cent.select("cluster_id", "centroid"), "cluster_id").withColumn(
-        "dist", CS.l2_distance(CS.as_double("embedding"), F.col("centroid")))
-    md = d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg("dist").alias("mean_distance"))
-    ex = exemplars(c, 3)
-    reps = ex.groupBy("cluster_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "headline"))), lambda s: s["headline"]), " | ").alias("representatives"))
-    srcs = CS.value_counts_topk(c.filter(F.col("cluster_id") != -1), "source", 3).withColumnRenamed("top_source", "top_sources")
-    out = md.join(reps, "cluster_id").join(srcs, "cluster_id")
-    for col in ("technologies", "companies"):
-        out = out.join(CS.value_counts_topk(c.filter(F.col("cluster_id") != -1), col, 5, explode=True), "cluster_id", "left")
-    return out
-
-
 @register("c17_cluster_items")
 def c17_cluster_items(spark, sf):
-    """C17: text → vectors → clusters → validation → enriched items (whole job)."""
-    from ..sources.fixtures import items
-    it = items(spark, sf)
-    vec = featurize_text(it.select(F.col("item_id").alias("id"), F.col("short_description").alias("text")), 384)
-    labels, _ = CL.density_cluster(vec)
-    enriched = it.join(labels.withColumnRenamed("id", "item_id"), "item_id")
-    return enriched.select("item_id", "headline", "cluster_id", _r6("cluster_probability").alias("cluster_probability"))
-
-
-def featurize_text(df, num_features: int = 4096):
-    """Text → unit vector (tokenise, hashed term counts, IDF, L2 normalise); an
-    external model plugs in through ``embed_batches`` instead."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    pipe = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="_tok", pattern="\\W+", minTokenLength=2),
-                            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-                            IDF(inputCol="_tf", outputCol="_idf"),
-                            Normalizer(inputCol="_idf", outputCol="_n", p=2.0)])
-    model = pipe.fit(df)
-    return model.transform(df).select("id", vector_to_array("_n").alias("embedding"))
+    """C17, the whole job: each item with its cluster, the cluster's summary, and the run's score, issues and metrics."""
+    job = CJ.cluster_items(items(spark, sf), algorithm="density")
+    run = job["run"].select("algorithm", "total_clusters", "noise_items", "is_valid", _r6("quality_score").alias("quality_score"),
+                            F.array_join("issues", "; ").alias("issues"), F.array_join("recommendations", "; ").alias("recommendations"))
+    metrics = job["metrics"].select("largest_cluster_size", _r6("silhouette").alias("silhouette"), _r6("coherence").alias("coherence"))
+    it = job["items"].select("item_id", "headline", "cluster_id", "is_noise", _r6("cluster_probability").alias("cluster_probability"), _r6("outlier_score").alias("outlier_score"))
+    about = job["summaries"].select("cluster_id", F.col("size").alias("cluster_size"), "representatives", "top_sources")
+    return it.join(about, "cluster_id", "left").crossJoin(F.broadcast(run)).crossJoin(F.broadcast(metrics))  # one row each
 
 
 @register("c02_featurize_text", "SELECT doc_id AS id, CASE WHEN regexp_matches(lower(text), '[a-zA-Z0-9_]{2,}') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm FROM documents")
 def c02_featurize_text(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    v = featurize_text(d, 1024)
+    v = CJ.featurize_text(d, 1024)
     return v.select("id", _r6(F.sqrt(CS.sq_norm(F.col("embedding")))).alias("norm"))
 

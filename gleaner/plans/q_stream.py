@@ -17,8 +17,7 @@ from .registry import ORACLES, register
 
 
 def _alerts_stream(spark, sf, resolved=None):
-    path, schema = SS.land_in_order(AL.alert_events(V.alerts(spark, sf), resolved), 4)
-    return SS.read_stream(spark, path, schema)
+    return SS.read_stream(spark, *SS.land_in_order(AL.alert_events(V.alerts(spark, sf), resolved), 4))
 
 
 @register("m01_windowed_metrics_stream", with_ctes(V.METRICS_DUCK) + f"""
@@ -29,8 +28,7 @@ FROM metrics WHERE time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE <= (
 GROUP BY time_bucket(INTERVAL 60 MINUTE, ts), metric_key, metric_type""")
 def m01_windowed_metrics_stream(spark, sf):
     ev = table(spark, sf, "events")
-    path, schema = SS.land_in_order(ev, 4)
-    s = SS.read_stream(spark, path, schema)
+    s = SS.read_stream(spark, *SS.land_in_order(ev, 4))
     m = s.selectExpr("event_id", "ts", "event_type AS name", f"{V._METRIC_TYPE} AS metric_type", "value",
                      "CAST(round(value * 100) AS BIGINT) AS value_cents", "CAST(1 AS BIGINT) AS increment",
                      "concat(event_type, '[u=', CAST(user_id % 5 AS STRING), ',v=', CAST(user_id % 2 AS STRING), ']') AS metric_key")
@@ -55,8 +53,7 @@ def m05_alert_dedup_stream(spark, sf):
 @register("m26_sustained_breach_stream")
 def m26_sustained_breach_stream(spark, sf):
     ops = V.operations(spark, sf)
-    path, schema = SS.land_in_order(ops, 4)
-    s = SS.read_stream(spark, path, schema)
+    s = SS.read_stream(spark, *SS.land_in_order(ops, 4))
     out = SS.run_available_now(SS.sustained_breach_stream(s, 100.0, 1800), "m26")
     r = spark.read.parquet(out)
     return r.select("op_id", F.round("breach_seconds", 6).alias("breach_seconds"), "sustained")
@@ -73,8 +70,8 @@ def f02_deliver_alerts(spark, sf):
 SELECT i.item_id, i.headline, c.cluster_id FROM items i LEFT JOIN clusters c ON c.id = i.item_id""")
 def s09_incremental_append(spark, sf):
     it = items(spark, sf).select("item_id", "headline", "ord")
-    path, schema = SS.land_in_order(it, 4, "ord")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, schema, width = SS.land_in_order(it, 4, "ord")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", width).parquet(path)
     out = SS.run_available_now(s, "s09", foreach_batch=SS.append_batches)
     labels = clusters(spark, sf).select(F.col("id").alias("item_id"), "cluster_id")
     return SS.fill_second_pass(spark, out, labels, "item_id").select("item_id", "headline", "cluster_id")

@@ -376,13 +376,18 @@ def t31_format_theses(spark, sf):
     return it.select("item_id", *T.format_theses(F.col("aligned_theses"), scores))
 
 
-@register("t30_cluster_text", with_ctes(ITEMS_DUCK) + """
-SELECT e.label AS cluster_id, md5(string_agg('- ' || coalesce(i.headline, '') || ': ' || coalesce(i.short_description, ''), chr(10) ORDER BY i.ord)) AS text_md5
-FROM embeddings e JOIN items i ON i.item_id = e.vec_id GROUP BY 1""")
+_PAGE = 50_000
+
+
+@register("t30_cluster_text", with_ctes(ITEMS_DUCK) + f""",
+l AS (SELECT e.label AS cluster_id, i.ord, '- ' || coalesce(i.headline, '') || ': ' || coalesce(i.short_description, '') AS line
+      FROM embeddings e JOIN items i ON i.item_id = e.vec_id),
+p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY cluster_id ORDER BY ord) - length(line) - 1 AS BIGINT) // {_PAGE} AS page FROM l)
+SELECT cluster_id, page, md5(string_agg(line, chr(10) ORDER BY ord)) AS text_md5 FROM p GROUP BY ALL""")
 def t30_cluster_text(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("cluster_id"))
     j = items(spark, sf).join(e, "item_id")
-    return T.cluster_text(j).select("cluster_id", F.md5("cluster_text").alias("text_md5"))
+    return T.cluster_text(j, page_chars=_PAGE).select("cluster_id", "page", F.md5("cluster_text").alias("text_md5"))
 
 
 @register("t34_run_status", with_ctes(ITEMS_DUCK) + """

@@ -16,7 +16,8 @@ from ..sources import sinks as SK
 from ..sources import text_views as TV
 from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from . import duck as D
-from .q_cluster import CLUSTERS_DUCK, _l2, clusters, exemplars
+from ..operators.cluster_jobs import exemplars
+from .q_cluster import CLUSTERS_DUCK, _l2, clusters
 from .registry import register
 
 _VT_DUCK = """

@@ -10,6 +10,7 @@ input arrives in time order; rows behind the watermark are dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,29 +19,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.alerts import walk_alerts
-from ..session import scratch_path
+from ..session import measured, scratch_path, written
 
 
-def land_in_order(df: DataFrame, files: int = 4, ts: str = "ts") -> tuple[str, object]:
-    """Copy a table into ``files`` time-ordered parquet files (a replayable stream source).
+#: Rows of one landed file.
+FILE_ROWS = 1_000_000
 
-    The file source replays files by modification time, so the time ranges are
-    written one after another; range bounds come from approximate quantiles (a
-    few scalars on the driver)."""
+
+def land_in_order(df: DataFrame, steps: int = 4, ts: str = "ts", file_rows: int = FILE_ROWS) -> tuple[str, object, int]:
+    """Copy a table into ``steps`` time ranges of parquet files (a replayable stream source):
+    (path, schema, files of each range).
+
+    The file source replays files by modification time, so the ranges are written one
+    after another, each by as many tasks as it takes at ``file_rows`` rows a file; a
+    trigger that reads so many files reads one range.  Range bounds come from approximate
+    quantiles (a few scalars on the driver).  Rows without a time come first."""
     spark = df.sparkSession
     path = scratch_path(spark, "stream-src")
     num = F.unix_micros(F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts].startswith("timestamp") else F.col(ts)
-    d = df.withColumn("_k", num.cast("double"))
-    qs = d.approxQuantile("_k", [i / files for i in range(1, files)], 0.0001) if files > 1 else []
+    d, seen = measured(df.withColumn("_k", num.cast("double")), "stream-rows")
+    width = max(1, math.ceil(seen["rows"] / steps / file_rows))
+    qs = sorted(set(d.approxQuantile("_k", [i / steps for i in range(1, steps)], 0.0001))) if steps > 1 and seen["rows"] else []
     bounds = [None] + qs + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("_k") > lo)
-        if hi is not None:
-            cond = cond & (F.col("_k") <= hi)
-        d.filter(cond).drop("_k").coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
-    return path, df.schema
+    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+        cond = F.lit(True) if lo is None else F.col("_k") > lo
+        cond = cond if hi is None else cond & (F.col("_k") <= hi)
+        part = d.filter(F.coalesce(cond, F.lit(i == 0))).drop("_k")
+        part.repartition(width).sortWithinPartitions(ts).write.mode("append").parquet(path)
+    return path, df.schema, width
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, ts: str = "ts") -> DataFrame:
@@ -142,14 +148,16 @@ def append_batches(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def fill_second_pass(spark: SparkSession, path: str, labels: DataFrame, key: str) -> DataFrame:
-    """S09 second pass: join the appended rows with labels computed later and rewrite only
-    the partitions of the batches touched (dynamic partition overwrite)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """S09 second pass: labels computed later are joined to the appended rows, and only the
+    batches that have rows with a label are rewritten, in place.
+
+    The new rows are staged first, since they are read from the folder that they replace;
+    files of other batches stay as they are.  Rows without a key keep null labels."""
     rows = spark.read.parquet(path)
-    filled = rows.join(labels, key, "left")
-    out = scratch_path(spark, "filled")
-    filled.write.mode("overwrite").partitionBy("batch_id").parquet(out)
-    return spark.read.parquet(out)
+    touched = rows.select("batch_id", key).join(labels.select(key), key, "left_semi").select("batch_id").distinct()
+    staged = written(rows.join(F.broadcast(touched), "batch_id", "left_semi").join(labels, key, "left"), "filled")  # a row for each batch
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    return spark.read.schema(staged.schema).parquet(path)
 
 
 def deliver_by_type(batch: DataFrame, batch_id: int, path: str) -> None:

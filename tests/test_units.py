@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.html import html_text_exact, html_to_text
 from gleaner.functions.jsonfix import sanitize_text
 from gleaner.operators import alerts as AL
+from gleaner.operators import cluster_jobs as CJ
 from gleaner.operators import cluster_stats as CS
 from gleaner.operators import clustering as CL
 from gleaner.operators import dedup as DD
@@ -413,17 +414,17 @@ def test_breach_span_starts_at_the_first_breaching_reading(spark):
 
 def test_cluster_job_empty_and_unknown(spark):
     empty = spark.createDataFrame([], "id long, embedding array<double>")
-    out = CL.cluster_job(empty, "density")
+    out = CJ.cluster_job(empty, "density")
     r = out["run"].first()
     assert (r.total_items, r.total_clusters, r.noise_items, r.is_valid) == (0, 0, 0, False)
     assert out["assignments"].count() == 0
     with pytest.raises(ValueError):
-        CL.cluster_job(empty, "kmeans-ish")
+        CJ.cluster_job(empty, "kmeans-ish")
 
 
 def test_cluster_job_density_runs(spark):
     X = np.vstack([rng.normal(0, 0.05, size=(10, 2)), rng.normal(5, 0.05, size=(10, 2))])
-    out = CL.cluster_job(_vec_df(spark, X), "density")
+    out = CJ.cluster_job(_vec_df(spark, X), "density")
     r = out["run"].first()
     assert r.total_items == 20 and r.total_clusters >= 2
 
