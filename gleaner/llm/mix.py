@@ -178,25 +178,30 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH RECURSIVE n AS (SELECT source, count(*) AS rows FROM documents GROUP BY 1),
-x AS (SELECT source, rows, count(*) OVER () AS k, round(({PERIOD} - count(*) OVER ()) * sqrt(rows) / sum(sqrt(rows)) OVER (), 6) AS x FROM n),
-s AS (SELECT source, rows, CAST(1 + floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, source NULLS FIRST)
-        <= {PERIOD} - k - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share,
+WITH RECURSIVE n AS (SELECT source, count(*) AS rows, sqrt(count(*)) AS w FROM documents GROUP BY 1),
+per AS (SELECT min(p) AS period FROM (SELECT {PERIOD} * (1::BIGINT << unnest(range(0, 40))) AS p)
+  WHERE p >= (SELECT round({LEAST} * sum(w) / min(w), 6) FROM n)),
+u AS (SELECT *, row_number() OVER up - 1 AS i, sum(w) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM n, per WINDOW up AS (ORDER BY rows, source NULLS FIRST)),
+lo AS (SELECT i AS low, rest AS above FROM u WHERE round((period - i) * w / rest, 6) >= 1 ORDER BY i LIMIT 1),
+x AS (SELECT source, rows, period, CASE WHEN i < low THEN 1.0::DOUBLE ELSE round((period - low) * w / above, 6) END AS x FROM u, lo),
+s AS (SELECT source, rows, period, CAST(floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, source NULLS FIRST)
+        <= period - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share,
       row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM x),
-c AS (SELECT list(share ORDER BY i) AS cs FROM s),
+c AS (SELECT list(share ORDER BY i) AS cs, any_value(period) AS period FROM s),
 edf AS (
-  SELECT -1 AS t, NULL::BIGINT AS p, list_transform(cs, lambda y: 0::BIGINT) AS served, cs FROM c
+  SELECT -1::BIGINT AS t, NULL::BIGINT AS p, list_transform(cs, lambda y: 0::BIGINT) AS served, cs, period FROM c
   UNION ALL
-  SELECT t + 1, p2, list_transform(served, lambda v, i: CASE WHEN i = p2 THEN v + 1 ELSE v END), cs
+  SELECT t + 1, p2, list_transform(served, lambda v, i: CASE WHEN i = p2 THEN v + 1 ELSE v END), cs, period
   FROM (SELECT *, list_min(list_filter(list_transform(served, lambda v, i: CASE
-          WHEN v < cs[i] AND v * {PERIOD} // cs[i] <= t + 1 THEN ((v + 1) * {PERIOD} + cs[i] - 1) // cs[i] * 100000 + i END),
-          lambda y: y IS NOT NULL)) % 100000 AS p2 FROM edf WHERE t < {PERIOD - 1})),
-slots AS (SELECT s.source, share, t, row_number() OVER (PARTITION BY s.source ORDER BY t) - 1 AS j FROM edf JOIN s ON edf.p = s.i),
-gap AS (SELECT min(((rows + {BLOCK_ROWS - 1}) // {BLOCK_ROWS}) * {PERIOD} // share) AS gap FROM s),
+          WHEN v < cs[i] AND v * period // cs[i] <= t + 1 THEN ((v + 1) * period + cs[i] - 1) // cs[i] * 100000 + i END),
+          lambda y: y IS NOT NULL)) % 100000 AS p2 FROM edf WHERE t < period - 1)),
+slots AS (SELECT s.source, share, s.period, t, row_number() OVER (PARTITION BY s.source ORDER BY t) - 1 AS j FROM edf JOIN s ON edf.p = s.i),
+gap AS (SELECT min(((rows + {BLOCK_ROWS - 1}) // {BLOCK_ROWS}) * period // share) AS gap FROM s),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null'))) - 1 AS rank FROM documents),
 b AS (SELECT doc_id, source, rank // {BLOCK_ROWS} AS block, rank % {BLOCK_ROWS} AS row_in_block FROM r)
-SELECT doc_id, b.source, block, row_in_block, block * {PERIOD} // share AS release,
-  ((block + 1) * {PERIOD} + share - 1) // share AS deadline, CAST((block // share) * {PERIOD} + t AS BIGINT) AS slot,
-  (block // share) * {PERIOD} + t < gap AS on_target
+SELECT doc_id, b.source, block, row_in_block, block * period // share AS release,
+  ((block + 1) * period + share - 1) // share AS deadline, CAST((block // share) * period + t AS BIGINT) AS slot,
+  (block // share) * period + t < gap AS on_target
 FROM b JOIN slots ON b.source IS NOT DISTINCT FROM slots.source AND block % share = j, gap
 """

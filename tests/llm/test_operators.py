@@ -7,7 +7,9 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -544,6 +546,22 @@ def test_mix_rounds_equal_the_fold(spark, monkeypatch, shares):
         mix.one_period(given, sum(shares) + 1).collect()
 
 
+@pytest.mark.parametrize("sizes", [(3000, 400, 90, 12, 1), (700,), (64, 65, 1000, 2000, 3, 500)])
+def test_mix_equals_its_sql_on_unequal_sources(spark, sizes):
+    rows, i = [], 0
+    for k, n in enumerate(sizes):
+        for _ in range(n):
+            rows.append((i, None if k == 1 else f"s{k}"))
+            i += 1
+    got = mix.report(spark.createDataFrame(rows, "doc_id long, source string").repartition(4)).toPandas()
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame(rows, columns=["doc_id", "source"]))
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, source FROM d")
+    want = con.execute(mix.ORACLE).df()
+    key = lambda f: sorted(map(repr, f[sorted(f.columns)].fillna("null").astype(object).values.tolist()))
+    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+
+
 # --- 10 lines ------------------------------------------------------------------------------------
 def edit_distance(a, b):
     d = list(range(len(b) + 1))
