@@ -20,8 +20,9 @@ Edges never come from a cross join:
   tokens ordered rarest first, two sets with J ≥ t share a token among the
   first |x| − ⌈t·|x|⌉ + 1 tokens of each, and their sizes are within a factor
   t.  Candidates are verified exactly.  Frequent tokens reach a prefix only in
-  keys made of frequent tokens, which bounds the candidate groups in practice;
-  nothing is capped.
+  keys made of frequent tokens; a token that does is split into pairs of blocks,
+  and a position filter drops pairs whose remaining words cannot suffice.
+  Nothing is capped.
 * Containment candidates: if s (≥ 11 chars) is inside l, every 11-character
   substring of s is one of l's; s probes with its rarest one, grams are
   joined and candidates verified with ``contains``.
@@ -39,6 +40,10 @@ from ..functions.text import normalise_headline, token_set
 from ..session import written
 
 
+#: Keys of one token that meet in one task; a token of more is cut into pairs of blocks.
+TOKEN_ROWS = 2048
+
+
 def story_keys(items: DataFrame) -> DataFrame:
     """T19 key per item: normalised master headline, else normalised headline or 'unknown'."""
     k1 = normalise_headline(F.coalesce(F.col("master_headline"), F.col("headline"), F.lit("")))
@@ -54,8 +59,10 @@ def key_table(keyed: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(keys: DataFrame, threshold: float = P.SIMILAR_JACCARD,
-                  generic: Sequence[str] = P.GENERIC_WORDS) -> DataFrame:
-    """Key pairs (a < b by key_ord) with Jaccard ≥ t and a shared non-generic word."""
+                  generic: Sequence[str] = P.GENERIC_WORDS, token_rows: int = TOKEN_ROWS) -> DataFrame:
+    """Key pairs (a < b by key_ord) with Jaccard ≥ t and a shared non-generic word.
+
+    A token of many keys is split: its keys are cut into blocks of about ``token_rows``."""
     tok = keys.select("key_ord", "n_tok", F.explode("tokens").alias("tok"))
     freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     ranked = tok.join(freq, "tok")
@@ -65,12 +72,21 @@ def jaccard_pairs(keys: DataFrame, threshold: float = P.SIMILAR_JACCARD,
     ranked = ranked.withColumn("pos", F.row_number().over(w))
     t = float(threshold)
     prefix_len = F.col("n_tok") - F.ceil(F.lit(t) * F.col("n_tok")) + 1
-    pref = ranked.filter(F.col("pos") <= prefix_len).select("key_ord", "tok", "n_tok")
-    a, b = pref.alias("a"), pref.alias("b")
-    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.key_ord") < F.col("b.key_ord"))
-                   # length filter: |B| ≥ t·|A| and |A| ≥ t·|B|
-                   & (F.col("b.n_tok") >= F.lit(t) * F.col("a.n_tok")) & (F.col("a.n_tok") >= F.lit(t) * F.col("b.n_tok")))
-            .select(F.col("a.key_ord").alias("a"), F.col("b.key_ord").alias("b")).distinct())
+    pref = ranked.filter(F.col("pos") <= prefix_len).select("key_ord", "tok", "n_tok", "pos", "df")
+    # a token's keys are cut into blocks, and each pair of blocks (p <= q) is a join key of its own
+    k = F.ceil(F.col("df") / token_rows).cast("int")
+    own = F.pmod(F.xxhash64("key_ord"), k).cast("int")
+    cols = ("key_ord", "tok", "n_tok", "pos")
+    a = pref.select(*cols, own.alias("p"), F.explode(F.sequence(own, k - 1)).alias("q")).alias("a")
+    b = pref.select(*cols, F.explode(F.sequence(F.lit(0), own)).alias("p"), own.alias("q")).alias("b")
+    # length filter: |B| ≥ t·|A| and |A| ≥ t·|B|; position filter: from their first common token on
+    # the two must still have enough in common
+    rest = 1 + F.least(F.col("a.n_tok") - F.col("a.pos"), F.col("b.n_tok") - F.col("b.pos"))
+    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q"))
+                   & ((F.col("a.p") < F.col("a.q")) | (F.col("a.key_ord") < F.col("b.key_ord")))
+                   & (F.col("b.n_tok") >= F.lit(t) * F.col("a.n_tok")) & (F.col("a.n_tok") >= F.lit(t) * F.col("b.n_tok"))
+                   & (rest * (1.0 + t) >= F.lit(t) * (F.col("a.n_tok") + F.col("b.n_tok")) - 1e-9))
+            .select(F.least("a.key_ord", "b.key_ord").alias("a"), F.greatest("a.key_ord", "b.key_ord").alias("b")).distinct())
     ka = keys.select(F.col("key_ord").alias("a"), F.col("tokens").alias("ta"))
     kb = keys.select(F.col("key_ord").alias("b"), F.col("tokens").alias("tb"))
     v = cand.join(ka, "a").join(kb, "b")
@@ -143,10 +159,10 @@ def best_of_group(rows: DataFrame, group: str = "leader_ord") -> DataFrame:
 
 def dedup_stories(items: DataFrame) -> DataFrame:
     """One surviving item per story, with its leader key order."""
-    keyed = story_keys(items)
+    keyed = story_keys(items).select("item_id", "ord", "story_key", "violation_count", "axiom_check")
     keys = written(key_table(keyed))
     leaders = elect_leaders(keys, similar_edges(keys))
-    rows = (keyed.join(keys.select("story_key", "key_ord"), "story_key")
-            .join(leaders, "key_ord"))
-    best = best_of_group(rows).select("leader_ord", F.col("item_id").alias("_best"))
-    return rows.join(best, "leader_ord").filter(F.col("item_id") == F.col("_best")).select("leader_ord", *items.columns)
+    # keys first: the items' rows meet one narrow table, and the winners' whole rows come back once
+    led = keys.select("story_key", "key_ord").join(leaders, "key_ord")
+    best = best_of_group(keyed.join(led, "story_key")).select("leader_ord", "item_id")
+    return items.join(best, "item_id").select("leader_ord", *items.columns)

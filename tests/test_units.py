@@ -608,3 +608,22 @@ def test_unknown_rule_keeps_its_row(spark):
     df = spark.createDataFrame([(1, 12), (2, 13), (3, None)], "item_id int, rule_id int")
     got = {r.item_id: r.rule_title for r in SV.rule_lookup(df, SV.rule_table(spark)).collect()}
     assert got[1] == "Most failures are structural, not ideological" and got[2] is None and got[3] is None
+
+
+@pytest.mark.parametrize("token_rows", [5, 10 ** 6])
+def test_same_story_pairs_of_a_hot_token_equal_all_pairs(spark, token_rows):
+    """A word that a third of the keys share, in keys of frequent words, is split into blocks; equal to comparing all."""
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(12)]
+    keys = set()
+    while len(keys) < 150:
+        n = int(r.integers(1, 6))
+        keys.add(" ".join((["hot"] if len(keys) % 3 == 0 else []) + sorted(r.choice(words, n, replace=False))))
+    keys = sorted(keys)
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "story_key string, key_ord long")
+    df = df.select("story_key", "key_ord", F.split("story_key", " ").alias("tokens"), F.length("story_key").alias("key_len")).withColumn("n_tok", F.size("tokens"))
+    got = {(x.a, x.b): x.jaccard for x in DD.jaccard_pairs(df, 0.4, ("w0",), token_rows=token_rows).collect()}
+    sets = [set(k.split()) for k in keys]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    want = {k: v for k, v in want.items() if v >= 0.4 and (sets[k[0]] & sets[k[1]]) - {"w0"}}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want) and len(want) > 300
