@@ -192,20 +192,3 @@ def explode_items(parsed: DataFrame, id_col: str, required: Sequence[str] = REQU
     ex = parsed.select(id_col, F.posexplode_outer("maps").alias("pos", "m")).filter(F.col("pos").isNotNull())
     return ex.withColumn("missing_keys", F.array_except(req, F.coalesce(F.map_keys("m"), F.array().cast("array<string>")))) \
              .withColumn("valid", F.size("missing_keys") == 0)
-
-
-def typed_item(m: Column) -> list[Column]:
-    """Typed columns from one item map (nested values parsed from their JSON text)."""
-    g = lambda k: F.try_element_at(m, F.lit(k))
-    return [
-        g("master_headline").alias("master_headline"), g("headline").alias("headline"),
-        g("short_description").alias("short_description"), g("source").alias("source"), g("date").alias("date"),
-        F.from_json(g("companies"), "array<string>").alias("companies"),
-        F.from_json(g("technologies"), "array<string>").alias("technologies"),
-        g("reality_status").alias("reality_status"), g("reality_reason").alias("reality_reason"),
-        F.from_json(g("violations"), "struct<count:int,top_violations:array<string>,minimal_repair:array<string>>")
-        .alias("violations"),
-        F.from_json(g("regional_implications"), "map<string,string>").alias("regional_implications"),
-        g("linkedin_angle").alias("linkedin_angle"),
-        F.from_json(g("axiom_check"), "map<string,struct<judgment:string,reason:string>>").alias("axiom_map"),
-    ]

@@ -6,11 +6,14 @@ F01 (verdict scorer) lives in ``operators.verdicts`` and F02 (alert delivery) in
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import time
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,16 @@ from pyspark.sql import functions as F
 # F03 embedder in batches of 32
 # ---------------------------------------------------------------------------
 def hashing_model(dim: int = 384) -> Callable[[np.ndarray], np.ndarray]:
-    """Default deterministic embedder: hashed word counts, L2-normalised.  A real
-    sentence model plugs in through the same ``make_model`` signature."""
+    """Default deterministic embedder: counts of words (split at ASCII space, lower case) by the
+    first 32 bits of their MD5, L2-normalised.  A real sentence model plugs in through the
+    same ``make_model`` signature."""
+    place = functools.lru_cache(maxsize=1 << 16)(lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim)
+
     def predict(texts: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in str(t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1.0
+            words = re.findall(r"[^\x20\x09-\x0D]+", str(t or "").lower())
+            out[i] = np.bincount(np.fromiter(map(place, words), np.int64, len(words)), minlength=dim)
             n = np.linalg.norm(out[i])
             if n > 0:
                 out[i] /= n
@@ -84,8 +89,27 @@ def split_recursive(text: str, size: int, overlap: int, seps=tuple(SEPARATORS))
     return [c for c in chunks if c]
 
 
+def split_texts(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
+    """(id, pos, chunk) of every text, in Arrow batches; null and empty texts have no chunk."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            ids, pos, chunks = [], [], []
+            for i, t in enumerate(b.column(text_col).to_pylist()):
+                found = split_recursive(t, size, overlap)
+                ids += [i] * len(found)
+                pos += range(len(found))
+                chunks += found
+            yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(ids, pa.int64())), pa.array(pos, pa.int32()), pa.array(chunks, pa.string())],
+                                             [id_col, "pos", "chunk"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, pos int, chunk string")
+
+
 def register_split_text(spark: SparkSession, name: str = "split_text"):
-    """register the splitter as a Python UDTF usable in SQL lateral joins."""
+    """F04 in SQL: the splitter as a Python UDTF for lateral joins (row by row; ``split_texts``
+    is the form for tables)."""
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="pos int, chunk string")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, written
+from ..session import measured, written
 from .metrics import since
 from .series import prefix_agg, row_pieces
 
@@ -66,25 +66,23 @@ def alert_cooldown(al: DataFrame, minutes: int = 15) -> DataFrame:
     walked by pointer doubling: round k builds next^(2^k) by one self-join, and
     marking then adds next^(2^k)(m) for every marked m from the longest jump
     down.  Both phases take ⌈log₂ L⌉ joins for a chain of length L; every round
-    is checkpointed to the shared checkpoint folder.
+    is written to the shared checkpoint folder.
     """
     cd_us = minutes * 60 * 1_000_000
     a = al.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    nxt = cut_lineage(_next_pointer(a, cd_us))
-    jumps = [nxt.withColumnRenamed("next_id", "j")]
-    while True:
-        cur = jumps[-1]
-        if cur.filter(F.col("j").isNotNull()).limit(1).count() == 0:
-            break
-        step = cur.alias("x").join(cur.alias("y"), F.col("x.j") == F.col("y.alert_id"), "left").select(
-            F.col("x.alert_id").alias("alert_id"), F.col("y.j").alias("j"))
-        jumps.append(cut_lineage(step))
+    # only pointers that lead somewhere: each round's table is shorter
+    cur, seen = measured(_next_pointer(a, cd_us).filter(F.col("next_id").isNotNull()).withColumnRenamed("next_id", "j"), "jumps")
+    jumps = []
+    while seen["rows"]:
+        jumps.append(cur)
+        step = cur.join(cur.select(F.col("alert_id").alias("j"), F.col("j").alias("j2")), "j").select("alert_id", F.col("j2").alias("j"))
+        cur, seen = measured(step, "jumps")
     first = (a.groupBy("alert_type").agg(F.min_by("alert_id", F.struct("_us", "alert_id")).alias("alert_id"))
              .select("alert_id"))
     marked = first
     for jmp in reversed(jumps):
-        more = marked.join(jmp, "alert_id").filter(F.col("j").isNotNull()).select(F.col("j").alias("alert_id"))
-        marked = cut_lineage(marked.unionByName(more).distinct())
+        more = marked.join(jmp, "alert_id").select(F.col("j").alias("alert_id"))
+        marked = written(marked.unionByName(more).distinct(), "sent")
     return al.join(marked, "alert_id", "left_semi")
 
 
@@ -224,10 +222,3 @@ def incident_report(life: DataFrame) -> DataFrame:
         F.avg(mins("resolved_at", "ts")).alias("mean_minutes_to_recover"),
         (F.count_if(F.col("resolved_at").isNotNull() & F.col("acknowledged_at").isNull())
          / F.count(F.lit(1))).alias("false_positive_share"))
-
-
-def deliver(alerts_stream_df: DataFrame, handler) -> None:
-    """hand each batch of sent alerts to ``handler(batch_df, batch_id)``
-    (``foreachBatch``); the handler does the side effect (mail, chat, hook)."""
-    return alerts_stream_df.writeStream.foreachBatch(handler)
-

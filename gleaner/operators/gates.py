@@ -132,8 +132,7 @@ def pre_kill(df: DataFrame, shopping_words: Sequence[str] = P.SHOPPING_WORDS,
                         if "kill_gate" in df.columns else F.when(t1 | t2, F.lit("PRE_KILL")))
             .withColumn("kill_gate_reason",
                         F.when(t1, F.lit(P.MSG_PREKILL_T1))
-                         .when(t2, F.concat(F.lit("No violations, "), status,
-                                            F.lit(", no core transactional keywords")))
+                         .when(t2, F.format_string(P.MSG_PREKILL_T2.replace("{status}", "%s"), status))
                          .otherwise(F.col("kill_gate_reason") if "kill_gate_reason" in df.columns
                                     else F.lit(None).cast("string"))))
 

@@ -8,7 +8,7 @@ driver clock, so reports are reproducible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import discrete_percentile, keep_last, prefix_agg, value_at_rank
@@ -78,11 +78,16 @@ def windowed_metrics(df: DataFrame, width: str = "60 minutes") -> DataFrame:
         F.avg("value").alias("avg_value"))
 
 
+def _mean_duration(ops: DataFrame) -> Column:
+    """Mean duration, from whole hundredths (``duration_cents``) where there are any: exact in any order of rows."""
+    return F.sum("duration_cents") / F.count(F.lit(1)) / 100.0 if "duration_cents" in ops.columns else F.avg("duration")
+
+
 def sliding_average(ops: DataFrame, width: str = "5 minutes", slide: str = "1 minute",
                     max_seconds: float = 30.0, max_memory: float | None = None) -> DataFrame:
     """Mean duration per op over sliding windows; flag above the limit."""
     g = ops.groupBy(F.window("ts", width, slide).alias("w"), "op").agg(
-        F.avg("duration").alias("avg_duration"), F.max("memory_delta").alias("max_memory"),
+        _mean_duration(ops).alias("avg_duration"), F.max("memory_delta").alias("max_memory"),
         F.count(F.lit(1)).alias("n"))
     flag = F.col("avg_duration") > max_seconds
     if max_memory is not None:
@@ -94,7 +99,7 @@ def operation_stats(ops: DataFrame, as_of, hours: float = 1) -> DataFrame:
     """Per operation within the last ``hours``: count and duration/memory stats."""
     return since(ops, as_of, hours=hours).groupBy("op").agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg("duration").alias("avg_duration"), F.max("duration").alias("max_duration"),
+        _mean_duration(ops).alias("avg_duration"), F.max("duration").alias("max_duration"),
         F.min("duration").alias("min_duration"),
         F.avg("memory_delta").alias("avg_memory_delta"), F.max("memory_delta").alias("max_memory_delta"))
 

@@ -103,14 +103,8 @@ VALIDATION = {
     "min_silhouette": 0.2, "max_noise_ratio": 0.3, "min_coherence": 0.4,
     "min_source_diversity": 0.2, "min_score": 0.3,
 }
-# performance limits
-PERFORMANCE = {
-    "max_seconds": 30.0, "max_memory_gb": 2.0, "min_hit_rate": 0.7,
-    "max_queue": 100, "min_items_per_minute": 10.0,
-}
 ALERT_COOLDOWN_MINUTES = 15
 CACHE_TTL_HOURS = 24
-CACHE_MAX_MB = 500
 CACHE_TRIM_TARGET = 0.8
 HYBRID = {"min_score": 0.3, "min_clusters": 2, "max_clusters": 50, "similarity": 0.7}
 DENSITY = {"min_cluster_size": 2, "min_samples": 2, "max_cluster_size": 25}
@@ -134,8 +128,6 @@ REALITY_STATUSES = [
     ("ANALYSIS", True),
 ]
 
-JUDGMENTS = ["ALIGNED", "TENSION", "VIOLATION", "N/A"]
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — rule (axiom) dimension: id, title
 # ---------------------------------------------------------------------------
@@ -171,5 +163,3 @@ THESES = [
     (13, "Retail = Governor of Cognition", "retail"),
     (14, "Context is Shelf Space", "discovery"),
 ]
-
-REGIONS = [("US", "United States"), ("EU", "European Union"), ("CN", "China"), ("ASIA", "Rest of Asia")]

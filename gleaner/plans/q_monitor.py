@@ -117,11 +117,8 @@ SELECT strftime(w, '{TSD}') AS window_start, op, round(sum(duration_cents) / cou
 FROM win GROUP BY ALL""")
 def m02_sliding_average(spark, sf):
     ops = V.operations(spark, sf)
-    g = ops.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"), "op").agg(
-        F.sum("duration_cents").alias("c"), F.count(F.lit(1)).alias("n"), F.max("memory_delta").alias("mm"))
-    avg = F.col("c") / F.col("n") / 100.0
-    return g.select(_ts("w.start").alias("window_start"), "op", _r6(avg).alias("avg_duration"), "n",
-                    ((avg > 30) | (F.col("mm") > 80)).alias("breach"))
+    g = M.sliding_average(ops, "5 minutes", "1 minute", 30.0, 80)
+    return g.select(_ts("w.start").alias("window_start"), "op", _r6("avg_duration").alias("avg_duration"), "n", "breach")
 
 
 @register("a20_operation_stats", with_ctes(V.OPERATIONS_DUCK) + f"""
@@ -130,11 +127,8 @@ SELECT op, count(*) AS count, round(sum(duration_cents) / count(*) / 100.0, 6) A
        round(avg(memory_delta), 6) AS avg_memory_delta, max(memory_delta) AS max_memory_delta
 FROM operations WHERE ts >= {AS_OF_D} - INTERVAL 6 HOUR GROUP BY 1""")
 def a20_operation_stats(spark, sf):
-    ops = M.since(V.operations(spark, sf), as_of(spark, sf), hours=6)
-    return ops.groupBy("op").agg(
-        F.count(F.lit(1)).alias("count"), _r6(F.sum("duration_cents") / F.count(F.lit(1)) / 100.0).alias("avg_duration"),
-        F.max("duration").alias("max_duration"), F.min("duration").alias("min_duration"),
-        _r6(F.avg("memory_delta")).alias("avg_memory_delta"), F.max("memory_delta").alias("max_memory_delta"))
+    s = M.operation_stats(V.operations(spark, sf), as_of(spark, sf), hours=6)
+    return s.withColumns({c: _r6(c) for c in ("avg_duration", "avg_memory_delta")})
 
 
 @register("a24_performance_summary", with_ctes(V.OPERATIONS_DUCK, """

@@ -10,20 +10,21 @@ from ..sources.tables import table
 from .registry import register
 
 
-@register("f03_embedder", "SELECT doc_id, 384 AS dim, CASE WHEN regexp_matches(text, '[^\\s]') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm FROM documents")
+@register("f03_embedder", """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents),
+c AS (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS INTEGER) AS dim, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, dim, CAST(CAST(n AS FLOAT) / CAST(sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS value FROM c""")
 def f03_embedder(spark, sf):
+    """Each document's values that are not zero."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     e = PL.embed_batches(d, "text", dim=384, batch_size=32)
-    return e.select("doc_id", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(CS.sq_norm(CS.as_double("embedding"))), 6).alias("norm"))
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value > 0").select("doc_id", "dim", F.col("value").cast("double").alias("value"))
 
 
 @register("f04_split_text")
 def f04_split_text(spark, sf):
-    PL.register_split_text(spark)
-    table(spark, sf, "documents").select("doc_id", "text").createOrReplaceTempView("gleaner_documents")
-    return spark.sql("SELECT d.doc_id, s.pos, length(s.chunk) AS chunk_len "
-                     "FROM gleaner_documents d, LATERAL split_text(d.text, 2000, 200) s")
+    chunks = PL.split_texts(table(spark, sf, "documents"), "doc_id", "text", 2000, 200)
+    return chunks.select("doc_id", "pos", F.length("chunk").alias("chunk_len"), F.md5("chunk").alias("chunk_md5"))
 
 
 @register("f05_vector_mean", """

@@ -18,6 +18,7 @@ from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from . import duck as D
 from ..operators.cluster_jobs import exemplars
 from .q_cluster import CLUSTERS_DUCK, _l2, clusters
+from .q_funnel import _COUNTS_DUCK, _GATE_DUCK
 from .registry import register
 
 _VT_DUCK = """
@@ -60,7 +61,7 @@ SELECT item_id, headline AS v_headline,
        THEN 'structural tension' ELSE 'no structural tension' END AS reason
 FROM items""")
 def f01_scorer(spark, sf):
-    it = gates.classify_tier(items(spark, sf), ["tion on"])
+    it = gates.quality_gate(gates.classify_tier(items(spark, sf), ["tion on"]))
     return VD.score_batches(it)
 
 
@@ -111,7 +112,11 @@ def j05_attach_cluster_summary(spark, sf):
     return a.select("id", F.col("cluster_size").cast("long").alias("cluster_size"), "representative_items")
 
 
-@register("t23_report_row", with_ctes(ITEMS_DUCK, CLUSTERS_DUCK, _CL_ITEMS, _SUMMARY_D, TV.VERDICTS_DUCK, _VT_DUCK) + f"""
+_REPORT_TIER = f"""
+tiered AS (SELECT *, CASE WHEN {D.any_pattern("lower(concat_ws(' ', headline, short_description))", ['tion on'])} THEN 'CORE' ELSE 'ADJACENT' END AS relevance_tier FROM items)"""
+
+
+@register("t23_report_row", with_ctes(ITEMS_DUCK, CLUSTERS_DUCK, _CL_ITEMS, _SUMMARY_D, TV.VERDICTS_DUCK, _VT_DUCK, _REPORT_TIER, _COUNTS_DUCK, _GATE_DUCK) + f"""
 SELECT i.item_id,
   coalesce(i.master_headline, i.headline, 'N/A') AS story_master_headline, coalesce(i.headline, 'N/A') AS headline,
   coalesce(i.short_description, 'N/A') AS short_description, coalesce(i.source, 'N/A') AS source,
@@ -121,8 +126,7 @@ SELECT i.item_id,
   array_to_string(i.minimal_repair, '; ') AS minimal_repairs, coalesce(i.region_us_raw, '') AS implication_us,
   coalesce(i.region_eu_raw, '') AS implication_eu, coalesce(i.region_cn_raw, '') AS implication_china,
   '' AS implication_rest_of_asia, coalesce(i.linkedin_angle, '') AS linkedin_angle,
-  CASE WHEN {D.any_pattern("lower(concat_ws(' ', i.headline, i.short_description))", ['tion on'])} THEN 'CORE' ELSE 'ADJACENT' END AS relevance_tier,
-  'N/A' AS quality_gate,
+  g.relevance_tier, g.quality_gate,
   CASE WHEN c.cluster_id = -1 THEN 'NOISE' ELSE CAST(c.cluster_id AS VARCHAR) END AS cluster_id,
   CAST(CASE WHEN c.cluster_id = -1 THEN 1 ELSE coalesce(s.size, 1) END AS VARCHAR) AS cluster_size,
   CASE WHEN c.cluster_id = -1 THEN 'Yes' ELSE 'No' END AS is_noise,
@@ -132,9 +136,9 @@ SELECT i.item_id,
   CASE WHEN c.cluster_id < 0 THEN '' ELSE coalesce(cv.thesis, '') END AS cluster_thesis,
   m.kill_gate, m.kill_gate_reason
 FROM items i JOIN cl c ON c.id = i.item_id LEFT JOIN summ s ON s.cluster_id = c.cluster_id
-LEFT JOIN cv ON cv.cluster_id = c.cluster_id JOIN matched m ON m.item_id = i.item_id""")
+LEFT JOIN cv ON cv.cluster_id = c.cluster_id JOIN matched m ON m.item_id = i.item_id JOIN gated g ON g.item_id = i.item_id""")
 def t23_report_row(spark, sf):
-    it = gates.classify_tier(items(spark, sf), ["tion on"])
+    it = gates.quality_gate(gates.classify_tier(items(spark, sf), ["tion on"]))
     it = it.select("*", *T.flatten_violations(F.col("violations"))[1:], *T.flatten_regions(F.col("regional_implications")))
     c = clusters(spark, sf).select("id", "cluster_id", "embedding", "headline", "ord", "source")
     c = c.withColumn("cluster_probability", F.when(F.col("cluster_id") == -1, F.lit(0.0))

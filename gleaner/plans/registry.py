@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_code
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -32,28 +34,6 @@ def tune(spark: SparkSession) -> None:
     ship_code(spark)
 
 
-_SHIPPED: set[int] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Make the package importable by the Python workers (UDF and kernel code).
-
-    Workers do not see the driver's ``sys.path``; the package is zipped once per
-    SparkContext and sent with ``addPyFile`` (on a cluster this reaches every
-    executor)."""
-    sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
-        return
-    import os
-    import shutil
-    import tempfile
-    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = tempfile.mkdtemp(prefix="gleaner-code-")
-    archive = shutil.make_archive(os.path.join(out, "gleaner"), "zip", os.path.dirname(pkg), "gleaner")
-    sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
-
-
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:

@@ -7,6 +7,8 @@ only for tests, the bench and the smoke entry point.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -94,3 +96,22 @@ def measured(df: DataFrame, name: str = "round", **metrics: Column) -> tuple[Dat
     seen = Observation()
     out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())), name)
     return out, seen.get
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make the package importable by the Python workers (UDF and kernel code).
+
+    Workers do not see the driver's ``sys.path``; the package is zipped once per
+    SparkContext and sent with ``addPyFile`` (on a cluster this reaches every
+    executor)."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="gleaner-code-")
+    archive = shutil.make_archive(os.path.join(out, "gleaner"), "zip", os.path.dirname(pkg), "gleaner")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))

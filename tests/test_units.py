@@ -627,3 +627,21 @@ def test_same_story_pairs_of_a_hot_token_equal_all_pairs(spark, token_rows):
     want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     want = {k: v for k, v in want.items() if v >= 0.4 and (sets[k[0]] & sets[k[1]]) - {"w0"}}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want) and len(want) > 300
+
+
+def test_split_texts_equals_the_row_function(spark):
+    from gleaner.functions import plugins as PL
+    r = np.random.default_rng(1)
+    texts = [None, "", "short", "word " * 900, "x" * 5000, "Zeile\n" * 300 + "\n\n" + "é" * 700] + [" ".join("w" * int(k) for k in r.integers(1, 40, 200)) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = sorted((x.id, x.pos, x.chunk) for x in PL.split_texts(df, "id", "text", 400, 50).collect())
+    assert got == [(i, p, c) for i, t in enumerate(texts) for p, c in enumerate(PL.split_recursive(t, 400, 50))]
+    assert PL.split_texts(df.limit(0), "id", "text", 400, 50).collect() == []
+
+
+def test_html_named_references_decode_as_the_parser_does(spark):
+    from html import unescape
+    cases = ["a &eacute;&Uuml; b", "&lambda;&notin;&zwnj;x", "&unknown; &amp;eacute; &amp;amp;", "&#233;&#x1F600;&hearts;", "&fjlig;&NotEqualTilde;"]
+    df = spark.createDataFrame([(i, f"<p>{c}</p>") for i, c in enumerate(cases)], "id int, html string")
+    got = {r.id: r.t for r in df.select("id", html_to_text("html").alias("t")).collect()}
+    assert got == {i: unescape(c) for i, c in enumerate(cases)}
