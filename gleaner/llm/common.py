@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.registry import ship_code
-from ..session import scratch_path
+from ..session import scratch_path, ship_code
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
