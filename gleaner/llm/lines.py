@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import dense_positions, keyed_table, materialize, partitions, plain, prepare, restored, texts_of
 
-NEAR_WORDS = 10
+NEAR_WORDS = 5  # one word of five: a similarity of 0.8
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -581,7 +581,7 @@ def brute_lines(rows):
         parts = (t or "").split("\n")
         for line in parts:
             w = words(line.translate(LOWER))
-            near = w and (tuple(w) in known or len(w) >= 10 and any(len(x) >= 10 and abs(len(x) - len(w)) < 2 and edit_distance(x, w) < 2 for x in seen))
+            near = w and (tuple(w) in known or len(w) >= lines.NEAR_WORDS and any(len(x) >= lines.NEAR_WORDS and abs(len(x) - len(w)) < 2 and edit_distance(x, w) < 2 for x in seen))
             if w and tuple(w) not in known:
                 known.add(tuple(w)), seen.append(w)
             if near:
@@ -595,7 +595,7 @@ def brute_lines(rows):
 def line_rows():
     import random
     rng = random.Random(21)
-    stock = [prose(rng, n, 30).split() for n in (3, 9, 10, 11, 12, 25, 40)]
+    stock = [prose(rng, n, 30).split() for n in (3, 4, 5, 6, 9, 10, 12, 25, 40)]
     rows = []
     for i in range(50):
         ls = []

@@ -1,7 +1,7 @@
 """Each pipeline stage on sf0.001 against a brute-force version of its own input."""
 
 import corpus_pipeline as P
-from gleaner.llm import quality
+from gleaner.llm import lines, quality
 from gleaner.llm.common import materialize
 from gleaner.sources.tables import table
 from tests.conftest import SF_SMALL
@@ -25,14 +25,14 @@ def kept_lines(rows):
         kept = []
         for line in t.split("\n"):
             w = words(line.translate(LOWER))
-            if w and (tuple(w) in known or len(w) >= 10 and any(abs(len(x) - len(w)) < 2 and one_edit(x, w) for x in seen)):
+            if w and (tuple(w) in known or len(w) >= lines.NEAR_WORDS and any(abs(len(x) - len(w)) < 2 and one_edit(x, w) for x in seen)):
                 gone = True
             else:
                 gone = False
                 kept.append(line)
             if w and tuple(w) not in known:
                 known.add(tuple(w))
-                if len(w) >= 10:
+                if len(w) >= lines.NEAR_WORDS:
                     seen.append(w)
         out[i] = "\n".join(kept)
     return out
