@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of the training documents.
 
-A shard is what fits ``SHARD`` indexed words in one task; documents are never
+A shard is a task's documents up to ``4 * SHARD`` words (or one longer document); documents are never
 split. Words become numbers of the benchmark's vocabulary. Runs of such words
 that are too short for any window cannot hold one and are left out of the
 index; what remains is suffix-sorted, its Burrows-Wheeler transform goes into a
@@ -159,7 +159,8 @@ def shard_hits(texts: list[np.ndarray], phrases: Phrases) -> dict[int, tuple[lis
 _HITS = "n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 
-def _hits(rows: DataFrame, phrases: Phrases, id_column: str) -> DataFrame:
+def _hits(rows: DataFrame, phrases: Phrases, id_column: str, write: bool = False) -> DataFrame:
+    """Hits of one block of phrases; written if ``write``, and then the block leaves the executors."""
     shared = rows.sparkSession.sparkContext.broadcast(phrases)
     kind = dict(rows.dtypes)[id_column]
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
@@ -189,7 +190,11 @@ def _hits(rows: DataFrame, phrases: Phrases, id_column: str) -> DataFrame:
                     ids, lengths, texts, size = [], [], [], 0
         if ids:
             yield out()
-    return rows.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, {_HITS}")
+    found = rows.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, {_HITS}")
+    if write:
+        found = materialize(found, "hits")
+        shared.destroy()
+    return found
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
@@ -209,7 +214,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", block
     for n, phrases in _blocks(benchmark, block_bytes):
         if n > 1 and not parts:
             rows = materialize(docs.select(id_column, "text").withColumn("_rid", F.monotonically_increasing_id()), "rows")
-        parts.append(_hits(rows, phrases, id_column if n == 1 else "_rid"))
+        # of several blocks only one is held at a time
+        parts.append(_hits(rows, phrases, id_column if n == 1 else "_rid", write=n > 1))
     found = parts[0]
     if len(parts) > 1:  # each document's spans of all blocks, joined
         for p in parts[1:]:
