@@ -138,10 +138,15 @@ def cluster_distance_sums(df: DataFrame, id_col: str = "id", vec_col: str = "emb
         labels = np.unique(rc)
         onehot = (rc[:, None] == labels[None, :]).astype(np.float64)
         outs = []
-        for s, D in _dist_chunks(L, R):
-            ids = lid[s:s + len(D)]
+        for s in range(0, len(L), _CHUNK):
+            ids = lid[s:s + _CHUNK]
             same = ids[:, None] == rid[None, :]
-            D = np.where(same, 0.0, D)
+            S, err = squared(L[s:s + _CHUNK], R)
+            near = (S < 1e6 * err) & ~same  # where rounding would show
+            D = np.sqrt(np.maximum(S, 0.0))
+            r, c = np.nonzero(near)
+            D[r, c] = exact_distance(L[s:s + _CHUNK][r], R[c])
+            D[same] = 0.0
             cnt_m = (~same).astype(np.float64) @ onehot
             sums = D @ onehot
             outs.append(pd.DataFrame({

@@ -171,6 +171,13 @@ def a12_silhouette(spark, sf):
     return VX.silhouette(clusters(spark, sf)).select(_r6("silhouette").alias("silhouette"))
 
 
+@register("a12_silhouette_fast", (CTE + _SIL_DUCK).replace("\n, pd AS", ",\npd AS", 1).replace(f"avg({_l2('a.v', 'b.v')})", f"avg(pow({_l2('a.v', 'b.v')}, 2))") + """
+SELECT round(avg(CASE WHEN coalesce(own_n, 0) = 0 THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_fast FROM rs""")
+def a12_silhouette_fast(spark, sf):
+    """The linear form: squared distances, from per-cluster sums."""
+    return VX.silhouette_fast(clusters(spark, sf)).select(_r6("silhouette_fast").alias("silhouette_fast"))
+
+
 @register("j11_reference_label_pairs", CTE + "SELECT cluster_id AS la, label2 AS lb, count(*) AS n FROM clusters GROUP BY 1, 2")
 def j11_reference_label_pairs(spark, sf):
     c = clusters(spark, sf)

@@ -223,9 +223,32 @@ def c17_cluster_items(spark, sf):
     return it.join(about, "cluster_id", "left").crossJoin(F.broadcast(run)).crossJoin(F.broadcast(metrics))  # one row each
 
 
-@register("c02_featurize_text", "SELECT doc_id AS id, CASE WHEN regexp_matches(lower(text), '[a-zA-Z0-9_]{2,}') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS norm FROM documents")
+def _murmur_duck(word: str, seed: int = 42) -> str:
+    """32-bit MurmurHash3 of a word's UTF-8 bytes, unsigned, written out for DuckDB."""
+    m, c1, c2 = 1 << 32, 0xCC9E2D51, 0x1B873593
+    byte = lambda h, i: f"('0x' || substr({h}, 2 * ({i}) + 1, 2))::HUGEINT"
+    rotl = lambda x, r: f"((({x}) * {1 << r}) % {m} + ({x}) // {1 << 32 - r})"
+    scramble = lambda k: f"({rotl(f'(({k}) * {c1}::HUGEINT % {m})', 15)} * {c2}::HUGEINT % {m})"
+    h, n = f"hex(encode({word}))", f"strlen({word})"
+    block = " + ".join(f"{byte(h, f'4 * i + {j}')} * {1 << 8 * j}" for j in range(4))
+    blocks = f"list_transform(range({n} // 4), lambda i: {scramble(block)})"
+    body = f"list_reduce(list_prepend({seed}::HUGEINT, {blocks}), lambda a, k: ({rotl('xor(a::UBIGINT, k::UBIGINT)::HUGEINT', 13)} * 5 + {0xE6546B64}::HUGEINT) % {m})"
+    rest = f"list_sum(list_transform(range({n} // 4 * 4, {n}), lambda i: {byte(h, 'i')} * pow(256, i % 4)::HUGEINT))"
+    tail = f"CASE WHEN {n} % 4 = 0 THEN 0::HUGEINT ELSE {scramble(f'({rest})::HUGEINT')} END"
+    mixed = f"xor(xor(({body})::UBIGINT, ({tail})::UBIGINT), {n}::UBIGINT)"
+    step = "list_reduce([{x}, 16, 2246822507, 13, 3266489909, 16]::UBIGINT[], lambda a, b, i: CASE WHEN b < 100 THEN xor(a, a >> b::INT) ELSE ((a::HUGEINT * b::HUGEINT) % 4294967296)::UBIGINT END)"
+    return step.replace("{x}", mixed).replace("lambda a, b, i:", "lambda a, b:")
+
+
+@register("c02_featurize_text", f"""
+WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9_]{{2,}}')) AS word FROM documents),
+h AS (SELECT word, CAST({_murmur_duck("word")} % 1024 AS INTEGER) AS dim FROM (SELECT DISTINCT word FROM w)),
+tf AS (SELECT id, dim, count(*) AS n FROM w JOIN h USING (word) GROUP BY 1, 2),
+idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY 1),
+x AS (SELECT id, dim, n * idf AS x FROM tf JOIN idf USING (dim))
+SELECT id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS value FROM x WHERE x <> 0""")
 def c02_featurize_text(spark, sf):
+    """Each text's values that are not zero."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     v = CJ.featurize_text(d, 1024)
-    return v.select("id", _r6(F.sqrt(CS.sq_norm(F.col("embedding")))).alias("norm"))
-
+    return v.select("id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0").select("id", "dim", _r6("value").alias("value"))
