@@ -31,13 +31,12 @@ def test_funnel_is_a_distributed_top_k_on_a_pruned_scan(spark):
                                   "a18_counter_totals", "a17_histogram_summary"])
 def test_running_aggregates_do_not_gather_data_in_one_partition(spark, name):
     p = _plan(spark, name)
-    # single-partition exchanges may only feed the small per-bucket offset tables,
-    # which are aggregated (HashAggregate) before the exchange
-    for line in p.split("\n"):
-        if "Exchange SinglePartition" in line:
-            idx = p.index(line)
-            below = p[idx:idx + 2000]
-            assert "HashAggregate" in below
+    # what enters a single partition is already aggregated (a row for each piece) or limited
+    lines = [line.lstrip(" :+-*()0123456789") for line in p.split("\n")]
+    for i, line in enumerate(lines):
+        if line.startswith("Exchange SinglePartition"):
+            below = next(x for x in lines[i + 1:] if not x.startswith(("Project", "Sort", "Filter", "InputAdapter", "AQEShuffleRead")))
+            assert below.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate", "LocalLimit")), below
 
 
 def test_counters_aggregate_before_the_shuffle(spark):
