@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.text import normalise_headline, token_set
-from ..session import written
+from ..session import measured, written
 
 
 #: Keys of one token that meet in one task; a token of more is cut into pairs of blocks.
@@ -123,16 +123,16 @@ def elect_leaders(keys: DataFrame, edges: DataFrame) -> DataFrame:
     the edges whose two ends are still undecided.  The first undecided key is
     decided in every round, so a round without progress is an error.
     """
-    e = written(edges.select("a", "b"))
-    left, absorbed, n_left = e, None, e.count()
+    e, seen = measured(edges.select("a", "b"))
+    left, absorbed, n_left = e, None, seen["rows"]
     while n_left:
         # undecided keys that no undecided key precedes are leaders
         new = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = written(left.join(new, "a").select("b").distinct())
         absorbed = gone if absorbed is None else absorbed.unionByName(gone)
         left = left.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-        left = written(left.join(new, "a", "left_anti"))
-        before, n_left = n_left, left.count()
+        left, seen = measured(left.join(new, "a", "left_anti"))
+        before, n_left = n_left, seen["rows"]
         if n_left >= before:
             raise RuntimeError("leader election made no progress")
     if absorbed is None:

@@ -513,8 +513,12 @@ def test_condensed_hierarchy_equals_the_walk_over_the_edges(spark, shape):
     same_hierarchy(tree, edges, 3)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hub", [1 << 14, 12])
+def test_components_of_chains_and_stars(spark, monkeypatch, hub):
+    """With hubs of over 12 links split off as well."""
+    from gleaner.operators import graph
     from gleaner.operators.graph import components
+    monkeypatch.setattr(graph, "HUB_LINKS", hub)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 4999), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert set(got.values()) == {0, 1000, 4999} and len(got) == 301 + 201 + 2
