@@ -58,3 +58,15 @@ def test_stages(spark):
     assert set(rows[4]) == set(rows[3]) - bad
     assert {i: tuple(r)[:5] for i, r in rows[5].items()} == {i: tuple(r) for i, r in rows[4].items()}
     assert all(r.release <= r.slot < r.deadline for r in rows[5].values())
+
+
+def test_stages_on_edge_rows_and_on_none(spark, edge, empty):
+    """Nulls, empty and very long texts, equal ids and rows go through every stage; an empty table stays empty."""
+    for docs, n in ((edge, edge.count()), (empty, 0)):
+        for name, stage in P.STAGES:
+            out = materialize(stage(spark, docs, SF_SMALL), "stage")
+            left = out.count()
+            assert out.columns[:5] == list(P.COLUMNS) and left <= n, name
+            if name in ("line dedup", "mixing sources"):  # these keep every row
+                assert left == n, name
+            docs, n = out.select(*P.COLUMNS), left
