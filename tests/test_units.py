@@ -370,7 +370,7 @@ def _naive_linkage_heights(X, method):
                     best = (d, a, b)
         d, a, b = best
         clusters[min(a, b)] = clusters.pop(a) + clusters.pop(b) if a != min(a, b) else clusters.pop(a) + clusters.pop(b)
-        hs.append(d)
+        hs.append((d, len(clusters[min(a, b)])))
     return sorted(hs)
 
 
@@ -378,7 +378,7 @@ def _naive_linkage_heights(X, method):
 def test_other_linkages_match_naive(spark, method):
     X = rng.normal(size=(25, 3))
     m = CL.linkage_dendrogram(_vec_df(spark, X), method).toPandas()
-    assert np.allclose(sorted(m["height"]), _naive_linkage_heights(X, method))
+    assert np.allclose(sorted(zip(m["height"], m["size"])), _naive_linkage_heights(X, method))
 
 
 def test_single_linkage_cut(spark):
