@@ -105,7 +105,7 @@ def containment_pairs(keys: DataFrame, min_len: int = P.CONTAIN_MIN_LEN) -> Data
     keys' grams (exact: every gram of a contained key occurs in the container)."""
     from .verdicts import contained_pairs
     long_ = keys.filter(F.col("key_len") > min_len).select("key_ord", "story_key")
-    hit = contained_pairs(long_, long_, "key_ord", "story_key", "key_ord", "story_key", g=min_len + 1, short=False) \
+    hit = contained_pairs(long_, long_, "key_ord", "story_key", "key_ord", "story_key", grams=(min_len + 1,)) \
         .filter(F.col("oid") != F.col("iid"))
     return hit.select(F.least("oid", "iid").alias("a"), F.greatest("oid", "iid").alias("b")).distinct()
 

@@ -4,55 +4,65 @@
 to "the first verdict, in insertion order, whose headline contains or is
 contained in the item's headline".  That fallback is a theta join, computed
 exactly without a nested loop by ``contained_pairs``: every string that could
-be contained probes with its rarest 3-gram, the containing side is indexed by
-all its 3-grams, and candidates are verified with ``instr``.
+be contained probes with its rarest gram, of up to 12 characters as its length
+allows, the containing side is indexed by its grams of those lengths, and
+candidates are verified with ``instr``.  Different headlines are looked up once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import written
 
-_G = 3
+#: Gram lengths: a contained string probes with grams of the greatest length that it has room for.
+GRAMS = (1, 2, 3, 6, 12)
 
 
 def contained_pairs(outer: DataFrame, inner: DataFrame, o_id: str, o_txt: str, i_id: str, i_txt: str,
-                    g: int = _G, short: bool = True) -> DataFrame:
+                    grams: Sequence[int] = GRAMS) -> DataFrame:
     """All (outer id, inner id) with the inner string a substring of the outer string.
 
-    Exact for every non-empty inner string: length ≥ 3 probes with its rarest
-    3-gram among the outer strings' 3-grams; shorter inner strings join on all
-    outer substrings of their length.  Empty inner strings (inside everything)
-    are left to the caller, which needs only an aggregate over all outers.
-    ``short=False`` says that no inner string is shorter than ``g``.
+    Exact for every inner string of at least ``grams[0]`` characters.  Empty inner
+    strings (inside everything) are left to the caller, which needs only an aggregate
+    over all outers.
     """
     o = outer.select(F.col(o_id).alias("oid"), F.col(o_txt).alias("ot")).filter(F.col("ot").isNotNull())
-    i = inner.select(F.col(i_id).alias("iid"), F.col(i_txt).alias("it")).filter(F.col("it").isNotNull())
+    i = inner.select(F.col(i_id).alias("iid"), F.col(i_txt).alias("it")).filter(F.length("it") >= grams[0])
     # only ids and hashed grams are shuffled; the texts come back for the check
-    og = o.select("oid", F.explode(_grams("ot", g)).alias("gram"))
+    return (contained_candidates(o, i, grams).join(o, "oid").join(i, "iid")
+            .filter(F.instr("ot", F.col("it")) > 0).select("oid", "iid").distinct())
+
+
+def contained_candidates(o: DataFrame, i: DataFrame, grams: Sequence[int] = GRAMS) -> DataFrame:
+    """(oid, iid) of every outer string (oid, ot) that has the rarest g-gram of an inner
+    string (iid, it), g the greatest of ``grams`` that is no more than its length.  The
+    outer strings are indexed only by the gram lengths that some inner string uses."""
+    g = F.lit(grams[0])
+    for x in grams[1:]:
+        g = F.when(F.length("it") >= x, F.lit(x)).otherwise(g)
+    i = i.withColumn("g", g)
+    if len(grams) == 1:
+        og = o.select("oid", F.explode(_grams("ot", grams[0])).alias("gram"))
+    else:
+        used = i.agg(F.collect_set("g").alias("used"))  # one row
+        none = F.array().cast("array<bigint>")
+        og = o.crossJoin(F.broadcast(used)).select("oid", F.explode(F.concat(
+            *(F.when(F.array_contains("used", x), _grams("ot", x)).otherwise(none) for x in grams))).alias("gram"))
     freq = og.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    ilong = i.filter(F.length("it") >= g)
-    ig = ilong.select("iid", F.explode(_grams("it", g)).alias("gram"))
+    mine = _grams("it", grams[0])
+    for x in grams[1:]:
+        mine = F.when(F.col("g") == x, _grams("it", x)).otherwise(mine)
+    ig = i.select("iid", F.explode(mine).alias("gram"))
     probe = (ig.join(freq, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
                .groupBy("iid").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"), F.min("f").alias("f")))
     # an inner string with a gram that no outer string has is inside nothing
-    probe = probe.filter(F.col("f") > 0)
-    long_hits = (probe.join(og, "gram").select("oid", "iid").distinct().join(o, "oid").join(i, "iid")
-                 .filter(F.instr("ot", F.col("it")) > 0).select("oid", "iid"))
-    if not short:
-        return long_hits.distinct()
-    ishort = i.filter((F.length("it") > 0) & (F.length("it") < g))
-    subs = o.select("oid", F.explode(F.sequence(F.lit(1), F.lit(g - 1))).alias("n"), "ot").select(
-        "oid", "ot", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ot") - F.col("n") + 1, F.lit(1)))).alias("p")) \
-        .select("oid", F.substring("ot", F.col("p"), F.col("n")).alias("s"), "n").filter(F.length("s") == F.col("n")) \
-        .select("oid", "s").distinct()
-    short_hits = ishort.join(subs, ishort.it == subs.s).select("oid", "iid")
-    return long_hits.unionByName(short_hits).distinct()
+    return probe.filter(F.col("f") > 0).join(og, "gram").select("oid", "iid").distinct()
 
 
 def _grams(text: str, g: int):
@@ -71,18 +81,22 @@ def verdict_table(raw: DataFrame) -> DataFrame:
 
 def match_verdicts(items: DataFrame, raw_verdicts: DataFrame) -> DataFrame:
     """``kill_gate`` and ``kill_gate_reason`` per item (NEEDS_REVIEW when nothing matches)."""
-    vt = verdict_table(raw_verdicts)
-    exact = items.select("item_id", "headline").join(vt, items.headline == vt.v_headline, "inner").select(
+    heads = written(items.select("item_id", "headline"), "headlines")
+    # headlines and verdict keys travel as their first place and a hash
+    vt = written(verdict_table(raw_verdicts).withColumn("vid", F.struct("v_first", F.xxhash64("v_headline").alias("h"))), "verdicts")
+    exact = heads.join(vt, heads.headline == vt.v_headline, "inner").select(
         "item_id", F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason"))
-    rest = items.select("item_id", "headline").join(exact.select("item_id"), "item_id", "left_anti")
-    vk = vt.filter(F.col("v_headline") != "")
-    a = contained_pairs(rest, vk, "item_id", "headline", "v_headline", "v_headline")      # vk inside headline
-    b = contained_pairs(vk, rest, "v_headline", "v_headline", "item_id", "headline")      # headline inside vk
-    pairs = a.select(F.col("oid").alias("item_id"), F.col("iid").alias("v_headline")).unionByName(
-        b.select(F.col("iid").alias("item_id"), F.col("oid").alias("v_headline"))).distinct()
-    fuzzy = (pairs.join(vt, "v_headline").groupBy("item_id")
-             .agg(F.min_by("v", "v_first").alias("v"))
-             .select("item_id", F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason")))
+    rest = written(heads.join(exact.select("item_id"), "item_id", "left_anti"), "headlines")
+    vk = vt.filter((F.col("v_headline") != "") & F.col("v_first").isNotNull())
+    # each different headline is looked up once
+    keys = written(rest.filter(F.col("headline") != "").groupBy("headline").agg(F.min("item_id").alias("first")).select(
+        "headline", F.struct("first", F.xxhash64("headline").alias("h")).alias("hid")), "headlines")
+    a = contained_pairs(keys, vk, "hid", "headline", "vid", "v_headline")      # vk inside headline
+    b = contained_pairs(vk, keys, "vid", "v_headline", "hid", "headline")      # headline inside vk
+    best = a.select(F.col("oid").alias("hid"), F.col("iid").alias("vid")).unionByName(
+        b.select(F.col("iid").alias("hid"), F.col("oid").alias("vid"))).groupBy("hid").agg(F.min("vid").alias("vid"))
+    fuzzy = (rest.join(keys.join(best, "hid").select("headline", "vid"), "headline").groupBy("item_id").agg(F.min("vid").alias("vid"))
+             .join(vt, "vid").select("item_id", F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason")))
     # an empty headline is inside every verdict key: it takes the first verdict (one row)
     first = vk.agg(F.min_by("v", "v_first").alias("v")).select(
         F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason"))

@@ -649,3 +649,18 @@ def test_html_named_references_decode_as_the_parser_does(spark):
     df = spark.createDataFrame([(i, f"<p>{c}</p>") for i, c in enumerate(cases)], "id int, html string")
     got = {r.id: r.t for r in df.select("id", html_to_text("html").alias("t")).collect()}
     assert got == {i: unescape(c) for i, c in enumerate(cases)}
+
+
+def test_contained_strings_meet_few_others(spark):
+    """Prefixes of twelve characters and strings of other lengths, out of few letters and words: every 3-gram is frequent."""
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("abcd"), n)) for n in r.integers(2, 6, 40)]
+    texts = sorted({" ".join(r.choice(words, 10)) for _ in range(300)})
+    parts = sorted({t[:12] for t in texts[::2]} | {t[5:5 + n] for n, t in zip([1, 2, 3, 5, 6, 11, 13, 30], texts)})
+    o = spark.createDataFrame(list(enumerate(texts)), "oid long, ot string")
+    i = spark.createDataFrame(list(enumerate(parts)), "iid long, it string")
+    want = {(a, b) for a, t in enumerate(texts) for b, p in enumerate(parts) if p in t}
+    assert {tuple(x) for x in VD.contained_pairs(o, i, "oid", "ot", "iid", "it").collect()} == want
+    long_ = i.filter(F.length("it") >= 12)
+    n = VD.contained_candidates(o, long_).count()
+    assert n <= 2 * sum(len(parts[b]) >= 12 for _, b in want) < VD.contained_candidates(o, long_, (3,)).count()
