@@ -16,13 +16,13 @@ one join and one grouped aggregate over the edges; rounds are checkpointed.
 Edges never come from a cross join:
 
 * Jaccard candidates come from prefix filtering (the all-pairs / MapReduce
-  set-similarity join of Bayardo et al. 2007 and Vernica et al. 2010): with
-  tokens ordered rarest first, two sets with J ≥ t share a token among the
-  first |x| − ⌈t·|x|⌉ + 1 tokens of each, and their sizes are within a factor
-  t.  Candidates are verified exactly.  Frequent tokens reach a prefix only in
-  keys made of frequent tokens; a token that does is split into pairs of blocks,
-  and a position filter drops pairs whose remaining words cannot suffice.
-  Nothing is capped.
+  set-similarity join of Bayardo et al. 2007 and Vernica et al. 2010, with prefixes
+  that share two tokens as in Wang et al. 2012): with tokens ordered rarest first, two
+  sets with J ≥ t and two or more common tokens share two among the first
+  |x| − max(2, ⌈t·|x|⌉) + 2 tokens of each, and their sizes are within a factor t.
+  Candidates are checked where they meet and verified exactly.  A pair of tokens
+  that many keys have is split into pairs of blocks, and a position filter drops
+  pairs whose remaining words cannot suffice.  Nothing is capped.
 * Containment candidates: if s (≥ 11 chars) is inside l, every 11-character
   substring of s is one of l's; s probes with its rarest one, grams are
   joined and candidates verified with ``contains``.
@@ -40,8 +40,8 @@ from ..functions.text import normalise_headline, token_set
 from ..session import measured, written
 
 
-#: Keys of one token that meet in one task; a token of more is cut into pairs of blocks.
-TOKEN_ROWS = 2048
+#: Keys of one signature that meet in one task; one of more is cut into pairs of blocks, into so many blocks at most.
+TOKEN_ROWS, TOKEN_BLOCKS = 2048, 32
 
 
 def story_keys(items: DataFrame) -> DataFrame:
@@ -62,30 +62,47 @@ def jaccard_pairs(keys: DataFrame, threshold: float = P.SIMILAR_JACCARD,
                   generic: Sequence[str] = P.GENERIC_WORDS, token_rows: int = TOKEN_ROWS) -> DataFrame:
     """Key pairs (a < b by key_ord) with Jaccard ≥ t and a shared non-generic word.
 
-    A token of many keys is split: its keys are cut into blocks of about ``token_rows``."""
-    tok = keys.select("key_ord", "n_tok", F.explode("tokens").alias("tok"))
+    Where t asks for two common words or more, the signatures that meet are pairs of words
+    of a key's prefix, else single words.  Candidates are checked where they meet, on word
+    hashes; only those that pass are shuffled, and checked on the words.  A signature of
+    many keys is split: its keys are cut into blocks of about ``token_rows``, at most
+    ``TOKEN_BLOCKS`` of them."""
+    t = float(threshold)
+    tok = keys.select("key_ord", F.explode("tokens").alias("tok"))
     freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tok.join(freq, "tok")
     # rarest first, ties by token text: a global total order on tokens
-    from pyspark.sql import Window
-    w = Window.partitionBy("key_ord").orderBy("df", "tok")
-    ranked = ranked.withColumn("pos", F.row_number().over(w))
-    t = float(threshold)
-    prefix_len = F.col("n_tok") - F.ceil(F.lit(t) * F.col("n_tok")) + 1
-    pref = ranked.filter(F.col("pos") <= prefix_len).select("key_ord", "tok", "n_tok", "pos", "df")
-    # a token's keys are cut into blocks, and each pair of blocks (p <= q) is a join key of its own
-    k = F.ceil(F.col("df") / token_rows).cast("int")
+    ranked = tok.join(freq, "tok").groupBy("key_ord").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("r"))
+    ranked = ranked.select("key_ord", F.transform("r", lambda x: F.xxhash64(x["tok"])).alias("h"), F.size("r").alias("n"))
+    # a pair with ``o`` words in common has its two rarest common words among each key's first n - o + 2
+    o = F.greatest(F.lit(2), F.ceil(F.lit(t) * F.col("n"))).cast("int")
+    place = F.sequence(F.lit(1), F.col("n") - o + 2)
+    word = lambda i: F.element_at("h", i)
+    sig = lambda c, i, h: F.struct(F.lit(c).alias("c"), i.alias("pos"), h.alias("sig"))
+    none = F.array().cast("array<struct<c:int,pos:int,sig:bigint>>")
+    two = F.flatten(F.transform(place, lambda j: F.transform(
+        F.filter(place, lambda i: i < j), lambda i: sig(2, j, F.xxhash64(word(i), word(j))))))
+    one = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: sig(1, i, F.xxhash64(word(i))))
+    few = (1.0 + t) / t + 1e-9  # one common word is enough for at most so many words of both keys together
+    pref = ranked.select("key_ord", "n", "h", F.explode(F.concat(
+        F.when(F.col("n") >= 2, two).otherwise(none), F.when(F.col("n") + 1 <= few, one).otherwise(none))).alias("s"))
+    pref = pref.select("key_ord", "n", "h", "s.*")
+    met = pref.groupBy("c", "sig").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    pref = pref.join(met, ["c", "sig"])
+    # a signature's keys are cut into blocks, and each pair of blocks (p <= q) is a join key of its own
+    k = F.least(F.ceil(F.col("df") / token_rows), F.lit(TOKEN_BLOCKS)).cast("int")
     own = F.pmod(F.xxhash64("key_ord"), k).cast("int")
-    cols = ("key_ord", "tok", "n_tok", "pos")
+    cols = ("key_ord", "c", "sig", "n", "pos", "h")
     a = pref.select(*cols, own.alias("p"), F.explode(F.sequence(own, k - 1)).alias("q")).alias("a")
     b = pref.select(*cols, F.explode(F.sequence(F.lit(0), own)).alias("p"), own.alias("q")).alias("b")
-    # length filter: |B| ≥ t·|A| and |A| ≥ t·|B|; position filter: from their first common token on
+    # length filter: |B| ≥ t·|A| and |A| ≥ t·|B|; position filter: from their first common words on
     # the two must still have enough in common
-    rest = 1 + F.least(F.col("a.n_tok") - F.col("a.pos"), F.col("b.n_tok") - F.col("b.pos"))
-    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q"))
+    rest = F.col("a.c") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    enough = lambda common: common * (1.0 + t) >= F.lit(t) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    cand = (a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q"))
                    & ((F.col("a.p") < F.col("a.q")) | (F.col("a.key_ord") < F.col("b.key_ord")))
-                   & (F.col("b.n_tok") >= F.lit(t) * F.col("a.n_tok")) & (F.col("a.n_tok") >= F.lit(t) * F.col("b.n_tok"))
-                   & (rest * (1.0 + t) >= F.lit(t) * (F.col("a.n_tok") + F.col("b.n_tok")) - 1e-9))
+                   & ((F.col("a.c") == 2) | (F.col("a.n") + F.col("b.n") <= few))
+                   & (F.col("b.n") >= F.lit(t) * F.col("a.n")) & (F.col("a.n") >= F.lit(t) * F.col("b.n"))
+                   & enough(rest) & enough(F.size(F.array_intersect("a.h", "b.h"))))
             .select(F.least("a.key_ord", "b.key_ord").alias("a"), F.greatest("a.key_ord", "b.key_ord").alias("b")).distinct())
     ka = keys.select(F.col("key_ord").alias("a"), F.col("tokens").alias("ta"))
     kb = keys.select(F.col("key_ord").alias("b"), F.col("tokens").alias("tb"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.text import token_set
 from ..operators import dedup as DD
+from ..session import written
 from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
 from . import duck as D
 from .registry import register
@@ -72,7 +73,7 @@ CTE = with_ctes(ITEMS_DUCK, KEYS_DUCK)
 
 
 def _keys(spark, sf):
-    return DD.key_table(DD.story_keys(items(spark, sf)))
+    return written(DD.key_table(DD.story_keys(items(spark, sf))))
 
 
 @register("j01_same_story_pairs", CTE + "SELECT a, b, round(jaccard, 6) AS jaccard FROM jac")
@@ -96,7 +97,7 @@ def c01_dedup_stories(spark, sf):
 def w01_best_of_group(spark, sf):
     it = items(spark, sf)
     keyed = DD.story_keys(it)
-    keys = DD.key_table(keyed)
+    keys = written(DD.key_table(keyed))
     leaders = DD.elect_leaders(keys, DD.similar_edges(keys))
     rows = keyed.join(keys.select("story_key", "key_ord"), "story_key").join(leaders, "key_ord")
     return DD.best_of_group(rows)

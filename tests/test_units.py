@@ -664,3 +664,42 @@ def test_contained_strings_meet_few_others(spark):
     long_ = i.filter(F.length("it") >= 12)
     n = VD.contained_candidates(o, long_).count()
     assert n <= 2 * sum(len(parts[b]) >= 12 for _, b in want) < VD.contained_candidates(o, long_, (3,)).count()
+
+
+@pytest.mark.parametrize("t", [0.2, 0.4, 0.7])
+def test_same_story_pairs_of_short_and_long_keys_equal_all_pairs(spark, t):
+    r = np.random.default_rng(5)
+    sets = [set(r.choice(12, r.integers(1, 9), replace=False)) for _ in range(150)]
+    df = spark.createDataFrame([(i, [f"w{x}" for x in sorted(s)], len(s)) for i, s in enumerate(sets)], "key_ord long, tokens array<string>, n_tok int")
+    got = {(x.a, x.b): x.jaccard for x in DD.jaccard_pairs(df, t, ("w0",), token_rows=20).collect()}
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets)
+            if i < j and len(a & b) / len(a | b) >= t and (a & b) - {0}}
+    assert got == pytest.approx(want)
+
+
+def test_same_story_candidates_are_not_shuffled(spark):
+    """Keys of six words, all with one of three frequent words and most with two: next to none is similar to another."""
+    keys = [(i, ["the", "of", "in"][: 1 + i % 3] + [f"r{i}x{j}" for j in range(3)]) for i in range(600)]
+    df = spark.createDataFrame([(i, w, len(w)) for i, w in keys], "key_ord long, tokens array<string>, n_tok int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = DD.jaccard_pairs(df, 0.4, ())
+        assert out.count() == 0
+        plan = out._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # no row passes the join of the signatures: candidates are checked in it
+    assert "array_intersect(h" in plan.toString()
+
+
+def test_python_workers_get_small_batches(spark):
+    """A batch of texts and what is made of it is bounded by rows and bytes."""
+    from gleaner.functions import plugins as PL
+    from gleaner.plans import registry
+    registry.tune(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    df = spark.createDataFrame([(i, "word " * 700) for i in range(600)], "id long, text string").coalesce(1)
+    sizes = df.mapInPandas(lambda it: (f.assign(n=len(f)).head(1)[["n"]] for f in it), "n long").collect()
+    assert max(r.n for r in sizes) * 3500 <= 5 * 2 ** 20 and sum(r.n for r in sizes) == 600
+    got = PL.split_texts(df, "id", "text", 2000, 200).groupBy("id").count().collect()
+    assert len(got) == 600 and len({r["count"] for r in got}) == 1
