@@ -89,12 +89,17 @@ def split_recursive(text: str, size: int, overlap: int, seps=tuple(SEPARATORS))
     return [c for c in chunks if c]
 
 
+#: Texts that are split, with their chunks, at a time.
+SPLIT_ROWS = 256
+
+
 def split_texts(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
-    """(id, pos, chunk) of every text, in Arrow batches; null and empty texts have no chunk."""
+    """(id, pos, chunk) of every text, in Arrow batches of ``SPLIT_ROWS`` texts at most; null and empty
+    texts have no chunk."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(s, SPLIT_ROWS) for x in batches for s in range(0, x.num_rows, SPLIT_ROWS)):
             ids, pos, chunks = [], [], []
             for i, t in enumerate(b.column(text_col).to_pylist()):
                 found = split_recursive(t, size, overlap)
