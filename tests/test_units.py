@@ -703,3 +703,57 @@ def test_python_workers_get_small_batches(spark):
     assert max(r.n for r in sizes) * 3500 <= 5 * 2 ** 20 and sum(r.n for r in sizes) == 600
     got = PL.split_texts(df, "id", "text", 2000, 200).groupBy("id").count().collect()
     assert len(got) == 600 and len({r["count"] for r in got}) == 1
+
+
+def test_rows_are_dealt_out_no_more_often_in_larger_tables(spark, monkeypatch):
+    """All-pairs work sends each row to a number of block pairs that does not grow with the table."""
+    monkeypatch.setattr(VX, "BLOCK_ROWS", 8)
+    X = rng.normal(size=(800, 4))
+    for n in (400, 800):
+        df = _vec_df(spark, X[:n])
+        dealt = VX._pairs_input(df, df, "id", "embedding", None, None)
+        assert dealt.count() <= 2 * n * VX.BLOCKS
+        assert MI.build(df).n_blocks <= 2 * VX.BLOCKS
+    assert VX.block_size(10 ** 9, 64) * 64 * 8 <= VX.BLOCK_BYTES  # bounded in memory
+    assert VX.chunk_rows(10 ** 5) * 10 ** 5 <= 1 << 21
+
+
+def test_larger_blocks_give_the_same_neighbours_sums_and_merges(spark, monkeypatch):
+    groups = 5
+    X = rng.normal(size=(groups, 6))[rng.integers(0, groups, 300)] + 0.3 * rng.normal(size=(300, 6))
+    X[40:60] = X[0]
+    df = _vec_df(spark, X).withColumn("cluster_id", F.col("id") % 3)
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    D = d.copy()
+    np.fill_diagonal(D, np.inf)
+    want = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), D[i]))[:2]}
+    heights = None
+    for rows in (60, 1024):
+        monkeypatch.setattr(VX, "BLOCK_ROWS", rows)
+        index = MI.build(df)
+        near = MI.nearest(index, index, 2)[0].collect()
+        assert {(r.id, r.nbr) for r in near} == want
+        sums = {(r.id, r.cluster): (r.sum_dist, r.cnt) for r in VX.cluster_distance_sums(df).collect()}
+        for i in (0, 45, 299):
+            for c in range(3):
+                at = [j for j in range(300) if j % 3 == c and j != i]
+                assert sums[i, c] == (pytest.approx(d[i, at].sum()), len(at))
+        h = sorted(r.height for r in CL.ward_dendrogram(df, top=150).collect())
+        heights = heights or h
+        assert h == pytest.approx(heights)
+
+
+def test_row_cut_bounds_the_kth_least():
+    S = rng.normal(size=(7, 1003))
+    for k in (1, 3, 16, 1000):
+        cut, least = VX.row_cut(S, k)[:, 0], np.sort(S, axis=1)[:, k - 1]
+        assert (cut >= least).all() and ((S <= cut[:, None]).sum(1) <= 2 * k + 8).all()
+
+
+def test_pairs_of_several_projected_buckets_come_once(spark):
+    """Pairs that share several buckets, and copies of a row, are returned once; a row without a partner not at all."""
+    X = rng.normal(size=(200, 64))
+    X[100:] = X[:100] + 0.2 * rng.normal(size=(100, 64))
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    got = [(r.a, r.b) for r in CJ.similar_pairs_lsh(_vec_df(spark, X), 0.9).collect()]
+    assert sorted(got) == [(i, j) for i in range(200) for j in range(i + 1, 200) if U[i] @ U[j] >= 0.9]
