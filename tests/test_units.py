@@ -757,3 +757,47 @@ def test_pairs_of_several_projected_buckets_come_once(spark):
     U = X / np.linalg.norm(X, axis=1, keepdims=True)
     got = [(r.a, r.b) for r in CJ.similar_pairs_lsh(_vec_df(spark, X), 0.9).collect()]
     assert sorted(got) == [(i, j) for i in range(200) for j in range(i + 1, 200) if U[i] @ U[j] >= 0.9]
+
+
+def test_silhouette_of_many_clusters_keeps_a_bounded_number_of_sums(spark):
+    """A row's sums are not kept for every cluster; repeated ids are taken together."""
+    X, c = rng.normal(size=(400, 4)), rng.integers(0, 80, 400)
+    c[:150] = 7  # a cluster of several blocks
+    ids = np.arange(400)
+    ids[300:310] = ids[310:320]
+    df = spark.createDataFrame([(int(i), int(k), [float(x) for x in v]) for i, k, v in zip(ids, c, X)], "id long, cluster_id int, embedding array<double>")
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    for rows in (64, 1024):
+        got = {r.id: (r.a, r.b) for r in VX.silhouette_rows(df, block_rows=rows).collect()}
+        assert VX._cluster_means(df, "id", "embedding", "cluster_id", rows).count() <= 16 * 400  # not 80 clusters * 400
+        for i in set(ids.tolist()):
+            at = np.flatnonzero(ids == i)
+            others = {k: np.flatnonzero((c == k) & (ids != i)) for k in set(c.tolist())}
+            mean = {k: d[np.ix_(at, o)].mean() for k, o in others.items() if len(o)}
+            own = set(c[at].tolist())
+            b = min(m for k, m in mean.items() if k not in own or len(own) > 1)
+            a = [mean[k] for k in own if k in mean]
+            assert got[i][1] == pytest.approx(b) and (got[i][0] == pytest.approx(max(a)) if a else got[i][0] is None)
+
+
+def test_heavy_block_pairs_get_partitions_of_their_own(spark, monkeypatch):
+    """Few bytes of vectors are much work: block pairs do not share a task because they are small."""
+    monkeypatch.setattr(VX, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(VX, "SPREAD", 100)
+    df = _vec_df(spark, rng.normal(size=(160, 4)))
+    dealt = VX._pairs_input(df, df, "id", "embedding", None, None)
+    assert dealt.rdd.getNumPartitions() == 256
+
+
+def test_one_task_finish_takes_ties_by_the_smaller_ids():
+    X = rng.integers(0, 3, size=(60, 3)).astype(float)
+    got = next(CL._merge_top(0)([pd.DataFrame({"cid": np.arange(60), "n": 1, "s": list(X)})]))
+    n, s, want = np.ones(60), X.copy(), []
+    left = list(range(60))
+    while len(left) > 1:
+        d = {(a, b): math.sqrt(2 * n[a] * n[b] / (n[a] + n[b])) * np.sqrt(((s[a] / n[a] - s[b] / n[b]) ** 2).sum()) for a in left for b in left if a < b}
+        a, b = min(d, key=lambda p: (d[p], p))
+        want.append((a, b))
+        n[a], s[a] = n[a] + n[b], s[a] + s[b]
+        left.remove(b)
+    assert CL.TOP >= 4096 and sorted(got["height"]) == pytest.approx(_naive_ward_heights(X)) and list(zip(got["a"], got["b"])) == want
