@@ -112,6 +112,23 @@ def test_mst_weight_matches_prim(spark, monkeypatch, n, clumps, min_samples, blo
     assert math.isclose(mst["w"].sum(), _naive_mst_weight(X, c), rel_tol=1e-9)
 
 
+def test_few_wanted_rows_share_tasks(spark, monkeypatch):
+    """A right row is sent once to all blocks of a share, and the least edges out are exact."""
+    X = np.random.default_rng(5).normal(size=(200, 3))
+    index = MI.build(_vec_df(spark, X), block_rows=20)
+    state = spark.createDataFrame([(i, i % 4, 0.3 * (i % 3)) for i in range(200)], "id long, comp long, core double")
+    wanted = state.filter("id % 20 = 0").withColumn("reach", F.lit(50.0))
+    sent, deal = [], MI.deal
+    monkeypatch.setattr(MI, "deal", lambda *a: sent.append(deal(*a)) or sent[-1])
+    got = {r.id: (r.to, r.w) for r in CL._outside(wanted, index, state).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    for i in range(0, 200, 20):
+        w, j = min((max(D[i, j], 0.3 * (i % 3), 0.3 * (j % 3)), j) for j in range(200) if j % 4 != i % 4)
+        assert got[i][0] == j and math.isclose(got[i][1], w)
+    assert index.n_blocks >= 10 and len(got) == 10
+    assert sent[0].filter("side = 1").count() == 200
+
+
 @pytest.mark.parametrize("clumps", [1, 6])
 def test_nearest_over_the_index_is_exact_and_skips_far_blocks(spark, clumps):
     r = np.random.default_rng(clumps)
