@@ -11,7 +11,7 @@ from ..operators import sovereignty as SV
 from ..operators import store as ST
 from ..operators import text_ops as T
 from ..operators import verdicts as VD
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import sinks as SK
 from ..sources import text_views as TV
 from ..sources.fixtures import ITEMS_DUCK, items, with_ctes
@@ -145,11 +145,13 @@ def t23_report_row(spark, sf):
                      .otherwise((F.col("id") % 8) / 8.0)).withColumn("is_noise", F.col("cluster_id") == -1)
     enriched = VD.attach_cluster_summary(c, _summaries(c))
     enriched = VD.attach_cluster_verdicts(enriched, VD.cluster_verdicts(c))
-    kg = VD.match_verdicts(items(spark, sf), TV.verdicts(spark, sf)).select("item_id", "kill_gate", "kill_gate_reason")
-    j = (it.join(enriched.select(F.col("id").alias("item_id"), "cluster_id", "cluster_probability", "is_noise",
-                                 "cluster_size", "representative_items", "cluster_synthesis", "cluster_thesis"), "item_id")
-         .join(kg, "item_id"))
-    return RP.report_row(j)
+    enriched = written(enriched.select(F.col("id").alias("item_id"), "cluster_id", "cluster_probability", "is_noise",
+                                       "cluster_size", "representative_items", "cluster_synthesis", "cluster_thesis"), "clustered")
+    # only items with a vector have a row: of the others neither text nor headline is shuffled, as long as the ids are few enough to send
+    ids = enriched.select("item_id")
+    kg = VD.match_verdicts(items(spark, sf).join(ids, "item_id", "left_semi"), TV.verdicts(spark, sf)).select("item_id", "kill_gate", "kill_gate_reason")
+    # the narrow columns meet first, so the texts are shuffled once
+    return RP.report_row(it.join(ids, "item_id", "left_semi").join(enriched.join(kg, "item_id"), "item_id"))
 
 
 # ----------------------------------------------------------------------------

@@ -809,3 +809,18 @@ def test_one_task_finish_takes_ties_by_the_smaller_ids():
         n[a], s[a] = n[a] + n[b], s[a] + s[b]
         left.remove(b)
     assert CL.TOP >= 4096 and sorted(got["height"]) == pytest.approx(_naive_ward_heights(X)) and list(zip(got["a"], got["b"])) == want
+
+
+def test_report_rows_shuffle_only_items_that_have_a_vector(spark, tmp_path):
+    """Of 40 items the 12 with a vector are reported; ids come first, so the texts of the others go nowhere."""
+    from gleaner.plans import q_verdicts, registry
+    docs = [(i, f"story number {i} of the day and so on it goes {i}", "s", "en", 40) for i in range(40)] + [(4, "story again 4", "s", "en", 13), (None, "no id", "s", "en", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, [float(i), 1.0], i % 3) for i in range(0, 36, 3)] + [(99, [1.0, 1.0], 1), (None, [1.0, 1.0], 1)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    registry.tune(spark)
+    out = q_verdicts.t23_report_row(spark, str(tmp_path))
+    got = sorted((r.item_id, r.kill_gate, r.kill_gate_reason) for r in out.select("item_id", "kill_gate", "kill_gate_reason").collect())
+    assert [g[0] for g in got] == list(range(0, 36, 3))
+    assert got[0] == (0, "KEEP", "r0") and got[1] == (3, "KILL", "r3")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 1
