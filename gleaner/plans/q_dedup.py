@@ -96,11 +96,11 @@ def c01_dedup_stories(spark, sf):
           "SELECT leader_ord, item_id, group_rows FROM best WHERE r = 1")
 def w01_best_of_group(spark, sf):
     it = items(spark, sf)
-    keyed = DD.story_keys(it)
+    keyed = DD.ranked_items(DD.story_keys(it))
     keys = written(DD.key_table(keyed))
     leaders = DD.elect_leaders(keys, DD.similar_edges(keys))
-    rows = keyed.join(keys.select("story_key", "key_ord"), "story_key").join(leaders, "key_ord")
-    return DD.best_of_group(rows)
+    # keys first, as in C01
+    return DD.best_of_group(keyed.join(keys.select("story_key", "key_ord").join(leaders, "key_ord"), "story_key"))
 
 
 @register("ub_word_sets", with_ctes(ITEMS_DUCK, f"""

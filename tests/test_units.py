@@ -824,3 +824,37 @@ def test_report_rows_shuffle_only_items_that_have_a_vector(spark, tmp_path):
     assert [g[0] for g in got] == list(range(0, 36, 3))
     assert got[0] == (0, "KEEP", "r0") and got[1] == (3, "KILL", "r3")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 1
+
+
+def test_same_story_words_are_checked_where_keys_meet(spark):
+    """No words come back to a pair, and keys that share an order number stay two keys."""
+    keys = [(1, "a b c d e"), (1, "f g h i j k l m"), (2, "a b c d e x"), (None, "a b c d e y")]
+    df = spark.createDataFrame(keys, "key_ord long, story_key string").select("key_ord", F.split("story_key", " ").alias("tokens"))
+    out = DD.jaccard_pairs(df, 0.4, ())
+    assert [(r.a, r.b, r.jaccard) for r in out.collect()] == [(1, 2, 5 / 6)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    meets = next(i for i, x in enumerate(plan) if "array_intersect" in x and "Join" in x)
+    assert not any("Join" in x for x in plan[:meets])
+
+
+def test_leaders_of_random_graphs(spark):
+    """First come, first served; an absorbed key goes to its earliest leader, whichever round found it."""
+    r = np.random.default_rng(8)
+    links = {tuple(sorted(map(int, x))) for x in r.integers(0, 120, (260, 2)) if x[0] != x[1]} | {(200, 203), (201, 202), (201, 203), (202, 204)}
+    lead = {}
+    for k in sorted(range(205)):
+        mine = [a for a, b in links if b == k and lead[a] == a]
+        lead[k] = min(mine, default=k)
+    keys = spark.range(205).withColumnRenamed("id", "key_ord")
+    got = {x.key_ord: x.leader_ord for x in DD.elect_leaders(keys, spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert got == lead
+
+
+def test_groups_are_ranked_by_counts_not_by_lists(spark):
+    """The judgments are counted before the items are shuffled."""
+    check = "array<struct<axiom_id:int,judgment:string,reason:string>>"
+    rows = [(1, 1, "k", 2, None), (2, 2, "k", 2, [(1, "TENSION", "x"), (2, None, "y")]), (3, 3, "k", 1, [(1, "TENSION", "x")] * 3), (4, 4, "k", None, [])]
+    it = DD.ranked_items(spark.createDataFrame(rows, f"item_id long, ord long, story_key string, violation_count int, axiom_check {check}"))
+    assert "axiom_check" not in it.columns and sorted((x.item_id, x.tensions) for x in it.collect()) == [(1, 0), (2, 1), (3, 3), (4, 0)]
+    best = DD.best_of_group(it.withColumn("leader_ord", F.lit(1)).withColumn("key_ord", F.lit(1))).first()
+    assert best.item_id == 2 and best.group_rows == 4
