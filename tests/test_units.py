@@ -858,3 +858,18 @@ def test_groups_are_ranked_by_counts_not_by_lists(spark):
     assert "axiom_check" not in it.columns and sorted((x.item_id, x.tensions) for x in it.collect()) == [(1, 0), (2, 1), (3, 3), (4, 0)]
     best = DD.best_of_group(it.withColumn("leader_ord", F.lit(1)).withColumn("key_ord", F.lit(1))).first()
     assert best.item_id == 2 and best.group_rows == 4
+
+
+def test_blocks_of_one_index_meet_once(spark, monkeypatch):
+    """Two blocks that search each other share a group, and the neighbours stay exact."""
+    X = np.random.default_rng(3).normal(size=(240, 8))
+    X[100:110] = X[0]
+    index = MI.build(_vec_df(spark, X), block_rows=20)
+    sent, deal = [], MI.deal
+    monkeypatch.setattr(MI, "deal", lambda *a, **k: sent.append(deal(*a, **k)) or sent[-1])
+    near, seen = MI.nearest(index, index, 3)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    got = near.toPandas().sort_values(["id", "rank"])
+    assert got["nbr"].tolist() == [int(j) for i in range(240) for j in np.lexsort((np.arange(240), D[i]))[:3]]
+    assert sum(s.count() for s in sent) <= 240 * (index.n_blocks + 2) and seen["compared"] > seen["pairs"] / 2
