@@ -873,3 +873,17 @@ def test_blocks_of_one_index_meet_once(spark, monkeypatch):
     got = near.toPandas().sort_values(["id", "rank"])
     assert got["nbr"].tolist() == [int(j) for i in range(240) for j in np.lexsort((np.arange(240), D[i]))[:3]]
     assert sum(s.count() for s in sent) <= 240 * (index.n_blocks + 2) and seen["compared"] > seen["pairs"] / 2
+
+
+@pytest.mark.parametrize("block_rows", [30, 1000])
+def test_similar_pairs_meet_once(spark, block_rows):
+    """A row is sent once to each block, not once for each side; ids that repeat or are null make no pair of their own."""
+    X = np.random.default_rng(4).normal(size=(200, 3))
+    X[5] = 0
+    ids = [None if i == 7 else 20 if i == 21 else i for i in range(200)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, X)], "id long, embedding array<double>")
+    got = sorted((r.a, r.b) for r in VX.similar_pairs(df, 0.9, block_rows=block_rows).collect())
+    U = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
+    assert got == sorted((min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(200) for j in range(i + 1, 200)
+                         if 7 not in (i, j) and ids[i] != ids[j] and U[i] @ U[j] >= 0.9)
+    assert VX._own_pairs_input(df, "id", "embedding", block_rows).count() == 200 * math.ceil(200 / block_rows)
