@@ -887,3 +887,69 @@ def test_similar_pairs_meet_once(spark, block_rows):
     assert got == sorted((min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(200) for j in range(i + 1, 200)
                          if 7 not in (i, j) and ids[i] != ids[j] and U[i] @ U[j] >= 0.9)
     assert VX._own_pairs_input(df, "id", "embedding", block_rows).count() == 200 * math.ceil(200 / block_rows)
+
+
+def test_nearest_ward_is_the_least_distance_then_id():
+    """Sizes in long and short runs, ties, rows far from the middle, rows beyond single precision."""
+    r = np.random.default_rng(7)
+    far = 1e4 + r.normal(size=(500, 4)) * 1e-3
+    for X in (r.normal(size=(900, 4)), r.integers(0, 3, size=(900, 3)).astype(float), np.r_[far, r.normal(size=(400, 4))], r.normal(size=(900, 4)) * 1e20):
+        n = np.r_[np.ones(600), r.integers(1, 40, 300)]
+        rid, own = r.permutation(900), np.r_[np.arange(700), np.full(200, -1)]
+        nn, dist = VX.nearest_ward(X, n, X, n, rid, own)
+        for i in range(900):
+            d = np.sqrt(2.0 * n[i] * n / (n[i] + n)) * VX.exact_distance(np.broadcast_to(X[i], X.shape), X)
+            if own[i] >= 0:
+                d[i] = np.inf
+            assert nn[i] == np.lexsort((rid, d))[0] and dist[i] == d[nn[i]]
+    assert VX.nearest_ward(X[:1], n[:1], X[:1], n[:1], rid[:1], np.zeros(1, int))[0].tolist() == [-1]
+    sizes = np.sort(np.r_[np.ones(9000, int), np.full(700, 2), np.arange(3, 300), np.full(5000, 400)])
+    cuts = VX._tiles(sizes)
+    assert [x for s, e in cuts for x in range(s, e)] == list(range(len(sizes))) and max(e - s for s, e in cuts) <= VX._RIGHT
+
+
+def test_the_top_in_one_task_holds_no_table_of_distances(monkeypatch):
+    """6,000 clusters in one task, in less than half of the memory of the table of their distances."""
+    import tracemalloc
+    X = np.random.default_rng(5).normal(size=(6000, 8))
+    X[5000:5050] = X[4000]
+    pdf = pd.DataFrame({"cid": np.arange(6000), "n": 1, "s": list(X)})
+    monkeypatch.setattr(CL, "LAST", 50, raising=False)
+    tracemalloc.start()
+    got = next(CL._merge_top(0)([pdf]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6000 * 4 and len(got) == 5999 and got["size"].max() == 6000 and (got["height"] == 0).sum() == 50
+    assert (got["height"] ** 2 / 2).sum() == pytest.approx(((X - X.mean(axis=0)) ** 2).sum())  # WCSS of one cluster
+
+
+@pytest.mark.parametrize("last", [1, 12])
+def test_rounds_in_one_task_match_the_sequential_merges(monkeypatch, last):
+    X = np.random.default_rng(9).normal(size=(60, 4))
+    X[40:45] = X[3]
+    pdf = pd.DataFrame({"cid": np.arange(60), "n": 1, "s": list(X)})
+    want = next(CL._merge_top(0)([pdf]))
+    monkeypatch.setattr(CL, "LAST", last, raising=False)
+    got = next(CL._merge_top(0)([pdf]))
+    key = lambda f: sorted(zip(f["a"], f["b"], f["size"]))
+    apart = lambda f: f[f["height"] > 1e-9]  # noqa: E731  copies join in any order
+    assert key(apart(got)) == key(apart(want)) and sorted(got["height"]) == pytest.approx(_naive_ward_heights(X), abs=1e-9)
+
+
+def test_copies_of_a_row_take_no_rounds(spark):
+    """40 copies of one row, three of another: joined at once, not one pair of them a round."""
+    X = np.random.default_rng(4).normal(size=(60, 3))
+    X[10:49], X[50:52] = X[5], X[49]
+    got = CL.ward_dendrogram(_vec_df(spark, X), top=1).toPandas()
+    assert got["round"].max() < 25 and sorted(got["height"]) == pytest.approx(_naive_ward_heights(X), abs=1e-9)
+    whole = CL.ward_dendrogram(_vec_df(spark, X), top=100).toPandas()
+    got, whole = (f[f["height"] > 1e-9] for f in (got, whole))  # copies join in any order
+    assert sorted(zip(got["a"], got["b"], got["size"])) == sorted(zip(whole["a"], whole["b"], whole["size"]))
+
+
+def test_a_ward_search_is_dealt_to_few_pairs_of_blocks():
+    """Pairs of blocks are enough for the tasks, blocks within their bytes, and rows dealt out a few times."""
+    for wanted, active in ((1, 1), (0, 70_000), (600_000, 600_000), (150_000, 600_000), (90_000, 100_000_000)):
+        bl, br = CL._ward_blocks(wanted, active, 64)
+        assert math.ceil(wanted / bl) * 512 <= CL.SEARCH_BYTES and math.ceil(active / br) * 512 <= CL.SEARCH_BYTES
+    assert CL._ward_blocks(150_000, 600_000, 64) == (3, 11)  # 16 blocks and four before: each row of the table four times
