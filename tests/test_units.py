@@ -953,3 +953,19 @@ def test_a_ward_search_is_dealt_to_few_pairs_of_blocks():
         bl, br = CL._ward_blocks(wanted, active, 64)
         assert math.ceil(wanted / bl) * 512 <= CL.SEARCH_BYTES and math.ceil(active / br) * 512 <= CL.SEARCH_BYTES
     assert CL._ward_blocks(150_000, 600_000, 64) == (3, 11)  # 16 blocks and four before: each row of the table four times
+
+
+def test_wide_buckets_are_compared_as_one_table(spark):
+    """At a low threshold most pairs share a bucket of several tables: rows are dealt out once, the pairs are the same."""
+    from pyspark.sql import functions as F
+    X = rng.normal(size=(300, 16))
+    df = _vec_df(spark, X)
+    got = {(r.a, r.b): r.cosine for r in CJ.similar_pairs_lsh(df, 0.3).collect()}
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if U[i] @ U[j] >= 0.3}
+    assert set(got) <= want and len(got) >= 0.999 * len(want) and all(abs(got[i, j] - U[i] @ U[j]) < 1e-9 for i, j in got)
+    rows = df.select("id", F.col("embedding").alias("v"), F.array(*(F.lit(0).cast("long"),) * 16).alias("keys"))
+    wide = CJ._bucket_blocks(rows, 300, 1024, 1024).collect()
+    assert len(wide) == 300 and {r.t for r in wide} == {-1}
+    rows = df.select("id", F.col("embedding").alias("v"), F.array(*(F.col("id"),) * 16).alias("keys"))
+    assert {(r.t, r.key) for r in CJ._bucket_blocks(rows, 300, 1024, 1024).collect()} == {(t, k) for t in range(16) for k in range(300)}
